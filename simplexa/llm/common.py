@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from simplexa.session import ship
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,6 +77,7 @@ def bucket_expr(doc_id: Column, modulus: int) -> Column:
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the Arrow batches, so that long texts stay within a worker's memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

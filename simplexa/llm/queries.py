@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplexa.llm import bpe, secret_scan, toxicity
+from simplexa.llm import bpe, decontam, secret_scan, toxicity
 from simplexa.llm.common import read_table
 
 
@@ -25,12 +25,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op8_secrets": op8_secrets}
+    return {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

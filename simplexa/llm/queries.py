@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplexa.llm import bpe, decontam, secret_scan, toxicity
+from simplexa.llm import bpe, decontam, secret_scan, substring_dedup, toxicity
 from simplexa.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read_table(spark, sf_dir, "documents"), *_tokenizer())
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -34,7 +38,7 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op8_secrets": op8_secrets}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op8_secrets": op8_secrets}
 
 
 def oracle_sql() -> dict[str, str]:

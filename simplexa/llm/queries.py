@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplexa.llm import bpe, decontam, secret_scan, substring_dedup, toxicity
+from simplexa.llm import bpe, decontam, jaccard_join, secret_scan, substring_dedup, toxicity
 from simplexa.llm.common import read_table
 
 
@@ -37,8 +37,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"))[0]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op8_secrets": op8_secrets}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op8_secrets": op8_secrets, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

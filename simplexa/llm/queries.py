@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplexa.llm import bpe, decontam, html_extract, jaccard_join, line_dedup, secret_scan, substring_dedup, toxicity
+from simplexa.llm import ann, bpe, decontam, html_extract, jaccard_join, line_dedup, secret_scan, substring_dedup, toxicity
 from simplexa.llm.common import read_table
 
 
@@ -45,12 +45,16 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read_table(spark, sf_dir, "documents"))[0]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -14,9 +14,9 @@ documents share one, always.
 
 Links.  Documents that share a signature are tied to the smallest of them; a task first
 ties its own, so that a signature sends one row a task at most.  Ties are verified on
-whole sets.  A signature whose documents are not all connected then is broken; its
-documents from different components are paired and verified in a second round, so that
-no link between components is lost.  Components follow from verified links alone.
+whole sets.  A signature whose documents are not all connected then is broken; those of
+its documents from different components that may still link (see ``_across``) are paired
+and verified in a second round, so that no link between components is lost.  Components follow from verified links alone.
 
 Cases: null and empty texts have size 0 and are their own component; a null doc_id has a
 null component; rows with the same doc_id are one document with the words of each; texts
@@ -217,6 +217,54 @@ def _members(sets: DataFrame, bands: Bands) -> DataFrame:
     return sets.mapInArrow(run, "sig long, doc long")
 
 
+def _differences(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """How each document of a group differs from the group's hub."""
+    num, den = 100 - percent, 100 + percent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hub, doc, comp = (batch.column(i).to_pylist() for i in range(3))
+            linked, need, diff = [], [], []
+            for s, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                h, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                d = np.setxor1d(h, y, assume_unique=True)
+                linked.append(den * len(d) <= num * (len(h) + len(y)))
+                most = num * (len(y) + 100 * len(y) // percent) // den
+                need.append(max(1, (den * len(d) + num * (len(h) - len(y))) // (2 * den) + 1, len(d) - most))
+                diff.append(d.astype(np.int64))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((hub, doc, comp, linked, need, diff), kinds, strict=True)], ["hub", "doc", "comp", "linked", "need", "diff"])
+
+    left, right = sets.select(F.col("doc").alias("hub"), F.col("set").alias("x")), sets.select("doc", F.col("set").alias("y"))
+    rows = grouped.where("hub != doc").join(left, "hub").join(right, "doc").select("hub", "doc", "comp", "x", "y")
+    return rows.mapInArrow(run, "hub long, doc long, comp long, linked boolean, need long, diff array<long>").where(F.size("diff") > 0)
+
+
+def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) from different components of broken signatures that may link, and links with hubs.
+
+    Each signature's documents (sig, doc, comp) are seen by how they differ from a hub
+    among them.  Of two that are both linked with the hub nothing more is to be found.  If x
+    is not, and x and y link, their differences from the hub must share at least ``need``
+    shingles (a bound of y alone), so one of them is among the first ``|diff| - need + 1``
+    of y's in any fixed order: rare ones come first, and those of one document alone
+    meet nobody.  So the pairs of a large group of near copies are not enumerated.
+    """
+    counted = members.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
+    hubs = counted.groupBy("sig").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("hub"))
+    grouped = members.join(hubs, "sig").select("hub", "doc", "comp").distinct()
+    diffs = scratch.table(_differences(grouped, sets, percent))
+    each = diffs.select("hub", "doc", "comp", "linked", "need", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    often = each.groupBy("hub", "e").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("hub", "doc")
+    shared = each.join(often, ["hub", "e"]).withColumn("nth", F.row_number().over(own.orderBy("n", "e"))).withColumn("both", F.count("*").over(own))
+    shared = scratch.table(shared.select("hub", "e", "doc", "comp", "linked", (F.col("nth") <= F.col("both") - F.col("need") + 1).alias("front")))
+    y = shared.where("front").select("hub", "e", F.col("doc").alias("y"), F.col("comp").alias("cy"))
+    x = shared.where("not linked").select("hub", "e", F.col("doc").alias("x"), F.col("comp").alias("cx"))
+    met = x.join(y, ["hub", "e"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return met, diffs.where("linked").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
+
+
 def join(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id) of every row, and the verified links (a, b)."""
     spark = docs.sparkSession
@@ -246,13 +294,9 @@ def join(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> tuple[DataF
         own = comps.select(F.col("v").alias("doc"), "comp")
         members = _members(sets, bands).join(sigs, "sig", "left_semi").join(own, "doc", "left").select("sig", "doc", F.coalesce("comp", "doc").alias("comp")).distinct()
         members = scratch.table(members)
-        # all but the largest component of a signature meet all its documents
-        counted = members.groupBy("sig", "comp").count()
-        main = counted.groupBy("sig").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"))
-        rest = members.join(main, "sig").where("comp != main").select("sig", F.col("doc").alias("d"), F.col("comp").alias("c"))
-        met = rest.join(members, "sig").where("c != comp").select(F.least("d", "doc").alias("a"), F.greatest("d", "doc").alias("b")).distinct()
+        met, with_hubs = _across(members, sets, percent, scratch)
         again = scratch.table(_verify(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, None))
-        links = links.unionByName(again.where("linked").select("a", "b").distinct())
+        links = links.unionByName(again.where("linked").select("a", "b")).unionByName(with_hubs).distinct()
         comps = connected_components(links)
     own = comps.select(F.col("v").alias("doc"), "comp")
     out = sizes.join(own, "doc", "left").select(F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.coalesce("comp", "doc").alias("component_id"))

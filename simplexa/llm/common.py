@@ -42,6 +42,8 @@ class Scratch:
     """Written intermediate tables in the shared folder, removed by ``drop``."""
 
     def __init__(self, spark: SparkSession, name: str):
+        # what is written needs its shuffle files no longer
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0

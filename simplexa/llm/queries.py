@@ -10,14 +10,14 @@ from simplexa.llm import ann, bpe, decontam, html_extract, jaccard_join, line_de
 from simplexa.llm.common import read_table
 
 
-def _tokenizer() -> tuple[str, str]:
+def tokenizer() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(read_table(spark, sf_dir, "documents"), *_tokenizer())
+    return bpe.encode_decode(read_table(spark, sf_dir, "documents"), *tokenizer())
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplexa.llm import ann, bpe, decontam, html_extract, jaccard_join, line_dedup, secret_scan, substring_dedup, toxicity
+from simplexa.llm import ann, bpe, decontam, html_extract, jaccard_join, line_dedup, lm, secret_scan, substring_dedup, toxicity
 from simplexa.llm.common import read_table
 
 
@@ -28,6 +28,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(read_table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
@@ -54,7 +58,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_jaccard_join": op10_jaccard_join}
 
 
 def oracle_sql() -> dict[str, str]:

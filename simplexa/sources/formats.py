@@ -140,7 +140,7 @@ def read_matrix(spark: SparkSession, path: str, name: str = "z", key: str | None
     data = np.load(path, allow_pickle=False)
     x = np.asarray(data[key] if key else data, float)
     x = x[:, None] if x.ndim == 1 else x
-    return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(x)), name: list(x)}), f"row_id long, {name} array<double>")
+    return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(x)), name: x.tolist()}), f"row_id long, {name} array<double>")
 
 
 def component_latent(df: DataFrame, modes: int = 3) -> DataFrame:

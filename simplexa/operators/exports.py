@@ -22,7 +22,7 @@ def overwrite_weight(df: DataFrame, weight: str, field: str = "alignments3D/alph
     return df.withColumn(field, new.cast(df.schema[field].dataType))
 
 
-def append_posterior(df: DataFrame, posteriors: DataFrame, k: int, name: str = "cryodrgn/class_posterior", key: str = "uid") -> DataFrame:
+def append_posterior(df: DataFrame, posteriors: DataFrame, k: int, name: str = "latent/class_posterior", key: str = "uid") -> DataFrame:
     """A posterior field, uniform where there is none (K4)."""
     p = posteriors.select(key, F.col("posterior").alias("_p"))
     return df.join(p, key, "left").withColumn(name, F.coalesce("_p", F.array_repeat(F.lit(1.0 / k), k))).drop("_p")

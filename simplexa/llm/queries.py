@@ -61,5 +61,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_jaccard_join": op10_jaccard_join}
 
 
+#: Words are joined by a space, which none of them holds.
+_OP2 = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+windows as (select doc_id, s, array_to_string(list_slice(w, s, s + 19), ' ') as k from d, unnest(range(1, len(w) - 18)) t(s)),
+later as (select doc_id, s from (select doc_id, s, row_number() over (partition by k order by doc_id, s) as n from windows) where n > 1),
+gone as (select distinct doc_id, i from later, unnest(range(s, s + 20)) t(i)),
+kept as (select d.doc_id, string_agg(d.w[i], ' ' order by i) as t from d, unnest(range(1, len(d.w) + 1)) x(i) where not exists (select 1 from gone g where g.doc_id = d.doc_id and g.i = x.i) group by d.doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, (select count(*) from gone g where g.doc_id = d.doc_id)::bigint as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""
+
+_OP6 = r"""
+with words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+items as (select item_id::varchar as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+sized as (select item, w, least(10, len(w)) as n from items where len(w) > 0),
+pats as (select distinct item, n, array_to_string(list_slice(w, s, s + n - 1), ' ') as k from sized, unnest(range(1, len(w) - n + 2)) t(s)),
+lens as (select distinct n from pats),
+wins as (select doc_id, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') as k from words, lens, unnest(range(1, len(w) - n + 2)) t(s)),
+found as (select doc_id, item, n, s from wins join pats using (n, k)),
+hit as (select doc_id, count(distinct i) as h from found, unnest(range(s, s + n)) t(i) group by 1),
+its as (select doc_id, count(*) as c, string_agg(item, ',' order by item) as l from (select distinct doc_id, item from found) group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(h, 0)::bigint as n_hit, coalesce(c, 0)::bigint as n_items, sha256(coalesce(l, '')) as items_sha256, coalesce(h, 0) > 0 as contaminated
+from words left join hit using (doc_id) left join its using (doc_id)
+"""
+
+_OP10 = r"""
+with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+sh as materialized (select distinct doc_id, array_to_string(list_slice(w, s, s + 2), ' ') as k from w, unnest(range(1, greatest(len(w) - 1, 2))) t(s) where len(w) > 0),
+size as materialized (select doc_id, count(*) as n from sh group by 1),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as i from sh a join sh b on a.k = b.k and a.doc_id < b.doc_id group by 1, 2),
+links as materialized (select a, b from pairs join size x on x.doc_id = a join size y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+both_ways as materialized (select a, b from links union select b, a from links),
+reach(v, r) as (select a, b from both_ways union select reach.v, e.b from reach join both_ways e on e.a = reach.r)
+select w.doc_id, coalesce(size.n, 0)::bigint as n_shingles, least(w.doc_id, coalesce((select min(r) from reach where v = w.doc_id), w.doc_id)) as component_id
+from w left join size using (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op10_jaccard_join": _OP10}

@@ -27,17 +27,6 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def _ready(spark: SparkSession) -> None:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder."""
-    _ready(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 class Scratch:
     """Written intermediate tables in the shared folder, removed by ``drop``."""
 

@@ -5,28 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import cut
+from simplexa.llm.common import Scratch
 
 
 def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     """(v, comp) for every vertex of ``edges`` (a, b); comp is the smallest vertex reachable.
 
-    Each round points every vertex at its smallest neighbour, follows the pointers once,
-    and contracts the edges; stars and copies vanish in a round or two, chains shrink
-    geometrically.  Minima combine before they are shuffled, and a hub's edges may be
-    split over tasks.  Rounds are cut by reliable checkpoints.  Loops and repeated edges
-    are allowed; null ends are dropped.
+    In each round vertices are ordered by a hash with the round as salt; every vertex
+    points at the first of itself and its neighbours, pointers are followed once more, and
+    the edges are contracted.  A random order leaves a fraction of the vertices of any
+    graph, of chains too, so rounds grow with the logarithm of the size; stars vanish in
+    one.  Minima combine before they are shuffled, and a hub's edges may be split over
+    tasks.  Rounds are cut by tables written to the shared folder.  Loops and repeated
+    edges are allowed; null ends are dropped.
     """
+    cut = Scratch(edges.sparkSession, "components").table
     edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = cut(edges.distinct())
     labels = None
-    for _ in range(max_rounds):
+    for i in range(max_rounds):
         if edges.isEmpty():
             break
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(i)).alias("h"), F.col(c).alias("v"))  # noqa: B023, E731
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        point = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("p"))
+        point = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("v"), F.least(rank("a"), F.col("m")).getField("v").alias("p"))
         point = cut(point)
-        # p is its own smallest neighbour's child at worst, so one more step follows it down
         up = point.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         parent = cut(point.join(up, "p").select("v", F.col("pp").alias("p")))
         pa = parent.select(F.col("v").alias("a"), F.col("p").alias("x"))
@@ -43,4 +46,5 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
         raise RuntimeError("components did not settle")
     if labels is None:
         return edges.select(F.col("a").alias("v"), F.col("a").alias("comp"))
-    return labels
+    least = labels.groupBy("comp").agg(F.min("v").alias("least"))
+    return cut(labels.join(least, "comp").select("v", F.col("least").alias("comp")))

@@ -243,15 +243,16 @@ def _differences(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b) from different components of broken signatures that may link, and links with hubs.
 
-    Each signature's documents (sig, doc, comp) are seen by how they differ from a hub
-    among them.  Of two that are both linked with the hub nothing more is to be found.  If x
+    Each signature's documents (sig, doc, comp) are seen by how they differ from a hub,
+    the first document of their largest component.  Of two that are both linked with the hub nothing more is to be found.  If x
     is not, and x and y link, their differences from the hub must share at least ``need``
     shingles (a bound of y alone), so one of them is among the first ``|diff| - need + 1``
     of y's in any fixed order: rare ones come first, and those of one document alone
     meet nobody.  So the pairs of a large group of near copies are not enumerated.
     """
-    counted = members.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
-    hubs = counted.groupBy("sig").agg(F.max_by("first", F.struct("n", -F.col("first"))).alias("hub"))
+    counted = members.groupBy("sig", "comp").agg(F.count("*").alias("n"))
+    # a component goes by its smallest document, so that few hubs serve many signatures
+    hubs = counted.groupBy("sig").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("hub"))
     grouped = members.join(hubs, "sig").select("hub", "doc", "comp").distinct()
     diffs = scratch.table(_differences(grouped, sets, percent))
     each = diffs.select("hub", "doc", "comp", "linked", "need", F.size("diff").alias("size"), F.explode("diff").alias("e"))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
 
-#: Pool functions by name: (p_a, p_b, lambda) -> vector.
-POOLS: dict[str, Callable[[Column, Column, Column], Column]] = {"linear": sx.linear_pool, "log": sx.log_pool}
+#: Pool functions by name: weight of a class from (a, b, ln a, ln b, lambda); weights are normalised after.
+POOLS: dict[str, Callable[..., Column]] = {
+    "linear": lambda a, b, la, lb, lam: lam * a + (F.lit(1.0) - lam) * b,
+    "log": lambda a, b, la, lb, lam: F.exp(lam * la + (F.lit(1.0) - lam) * lb),
+}
 
 
 def mean_entropies(df: DataFrame, temperatures: Sequence[float], posterior: str = "posterior") -> list[float]:
@@ -44,19 +47,31 @@ def lambda_sweep(joined: DataFrame, lambdas: Sequence[float], k: int, pools: Seq
     """Hard and soft populations, sharpness and entropy of pooled posteriors.
 
     ``joined`` has p_a and p_b.  The rows are multiplied by the grid of settings and
-    summed at once; nothing but (settings x classes) sums is shuffled.
+    summed at once; nothing but (settings x classes) sums is shuffled.  Components are
+    scalar columns here, so that the whole computation is one stage of generated code.
     """
+    one = [c for i in range(k) for c in (F.get("p_a", F.lit(i)).alias(f"a{i}"), F.get("p_b", F.lit(i)).alias(f"b{i}"))]
+    logs = [F.ln(F.greatest(f"{x}{i}", F.lit(sx.TINY))).alias(f"l{x}{i}") for i in range(k) for x in "ab"]
     grid = F.array(*[F.struct(F.lit(p).alias("pool"), F.lit(float(x)).alias("lam")) for p in pools for x in lambdas])
-    rows = joined.select("p_a", "p_b", F.explode(grid).alias("g"))
-    pooled = F.lit(None).cast("array<double>")
-    for p in pools:
-        pooled = F.when(F.col("g.pool") == p, POOLS[p](F.col("p_a"), F.col("p_b"), F.col("g.lam"))).otherwise(pooled)
-    rows = rows.select(F.col("g.pool").alias("pool"), F.col("g.lam").alias("lam"), pooled.alias("p"))
-    rows = rows.select("pool", "lam", "p", sx.argmax(F.col("p")).alias("hard"), F.array_max("p").alias("m"), sx.entropy(F.col("p")).alias("h"))
+    rows = joined.select(*one).select("*", *logs).withColumn("g", F.explode(grid))
+
+    def weight(i: int) -> Column:
+        out = F.lit(None).cast("double")
+        for p in pools:
+            out = F.when(F.col("g.pool") == p, POOLS[p](*[F.col(f"{x}{i}") for x in ("a", "b", "la", "lb")], F.col("g.lam"))).otherwise(out)
+        return out.alias(f"w{i}")
+
+    rows = rows.select(F.col("g.pool").alias("pool"), F.col("g.lam").alias("lam"), *[weight(i) for i in range(k)])
+    total = F.greatest(sum((F.col(f"w{i}") for i in range(1, k)), F.col("w0")), F.lit(sx.TINY))
+    rows = rows.select("pool", "lam", *[(F.col(f"w{i}") / total).alias(f"p{i}") for i in range(k)])
+    top = F.greatest(*[f"p{i}" for i in range(k)]) if k > 1 else F.col("p0")
+    hard = F.coalesce(*[F.when(F.col(f"p{i}") >= top - F.lit(sx.TINY), i) for i in range(k)])  # equal up to rounding: the first
+    clipped = [F.greatest(f"p{i}", F.lit(sx.TINY)) for i in range(k)]
+    rows = rows.select("*", top.alias("m"), hard.alias("hard"), (-sum((c * F.ln(c) for c in clipped[1:]), clipped[0] * F.ln(clipped[0]))).alias("h"))
     return rows.groupBy("pool", "lam").agg(
         F.count("*").alias("n"), F.avg("m").alias("mean_maxpost"), F.avg("h").alias("mean_entropy"),
         *[F.avg((F.col("hard") == i).cast("double")).alias(f"hard_{i}") for i in range(k)],
-        *[F.avg(F.get("p", F.lit(i))).alias(f"soft_{i}") for i in range(k)],
+        *[F.avg(f"p{i}").alias(f"soft_{i}") for i in range(k)],
     )
 
 

@@ -276,7 +276,7 @@ LAMS = [i / 20 for i in range(21)]
 def _pool_sql() -> str:
     lin = "[" + ",".join(f"lam*p_a[{i}]+(1-lam)*p_b[{i}]" for i in (1, 2, 3)) + "]"
     log = "[" + ",".join(f"exp(lam*ln(greatest(p_a[{i}],1e-12))+(1-lam)*ln(greatest(p_b[{i}],1e-12)))" for i in (1, 2, 3)) + "]"
-    cols = "count(*) as n, round(avg(list_max(p)), 6) as mean_maxpost, round(avg(-(" + "+".join(f"greatest(p[{i}],1e-12)*ln(greatest(p[{i}],1e-12))" for i in (1, 2, 3)) + ")), 6) as mean_entropy, " + ", ".join(f"round(avg((list_position(p,list_max(p))={i + 1})::int), 6) as hard_{i}" for i in range(3)) + ", " + ", ".join(f"round(avg(p[{i + 1}]), 6) as soft_{i}" for i in range(3))
+    cols = "count(*) as n, round(avg(list_max(p)), 6) as mean_maxpost, round(avg(-(" + "+".join(f"greatest(p[{i}],1e-12)*ln(greatest(p[{i}],1e-12))" for i in (1, 2, 3)) + ")), 6) as mean_entropy, " + ", ".join(f"round(avg((list_position(list_transform(p, lambda x: x>=list_max(p)-1e-12), true)={i + 1})::int), 6) as hard_{i}" for i in range(3)) + ", " + ", ".join(f"round(avg(p[{i + 1}]), 6) as soft_{i}" for i in range(3))
     return BOTH + f", l as (select x/20.0::double as lam from range(21) r(x)), w as (select 'linear' as pool, lam, {lin} as w from ab, l union all select 'log', lam, {log} from ab, l), p as (select pool, lam, list_transform(w, lambda x: x/greatest(w[1]+w[2]+w[3],1e-12)) as p from w) select pool, round(lam, 6) as lam, {cols} from p group by 1, lam"
 
 

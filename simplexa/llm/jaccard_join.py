@@ -218,7 +218,7 @@ def _members(sets: DataFrame, bands: Bands) -> DataFrame:
 
 
 def _differences(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """How each document of a group differs from the group's hub."""
+    """How each document of a group differs from the group's hub; a copy of the hub has an empty difference and is linked."""
     num, den = 100 - percent, 100 + percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +237,7 @@ def _differences(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame
 
     left, right = sets.select(F.col("doc").alias("hub"), F.col("set").alias("x")), sets.select("doc", F.col("set").alias("y"))
     rows = grouped.where("hub != doc").join(left, "hub").join(right, "doc").select("hub", "doc", "comp", "x", "y")
-    return rows.mapInArrow(run, "hub long, doc long, comp long, linked boolean, need long, diff array<long>").where(F.size("diff") > 0)
+    return rows.mapInArrow(run, "hub long, doc long, comp long, linked boolean, need long, diff array<long>")
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -217,6 +217,22 @@ def test_join_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_join(docs, 3, 90)
 
 
+def test_join_late_copies_behind_unlinked_variants(spark):
+    """Copies of the first document whose signatures are all headed by variants in their own task."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(120)]
+    docs = [(0, " ".join(base))]
+    for i in range(1, 241):
+        w, k = list(base), rng.randrange(2, 112)
+        w[k : k + 6] = [f"n{i}x{j}" for j in range(6)]
+        docs.append((i, " ".join(w)))
+    tasks = [docs[:61], *([*docs[1 + 60 * t : 61 + 60 * t], *[(1000 * t + c, " ".join(base)) for c in range(3)]] for t in (1, 2, 3))]
+    rows = [d for task in tasks for d in task]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(tasks, len(tasks)).flatMap(lambda t: t), "doc_id long, text string")
+    out, _ = jaccard_join.join(df)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_join(rows, 3, 90)
+
+
 def test_join_null_ids_and_keep(spark):
     docs = [(None, "a b c d"), (1, "a b c d"), (2, "a b c d"), (1, "a b c d"), (3, "")]
     df = spark.createDataFrame(odd(docs), EXTRA)

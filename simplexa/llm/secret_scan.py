@@ -38,9 +38,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "literal", "constant")
 
-#: name ["'] sign value; the value is a quoted literal or a bare token
+#: name ["'] sign value; the value is a quoted literal or a bare token.  Names and blanks
+#: are of any length and possessive, so that the search stays linear.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})["']?[ \t]{0,8}(?::=|=>|[:=])[ \t]{0,8}(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<bare>[A-Za-z0-9+/_.=-]+))""",
+    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<bare>[A-Za-z0-9+/_.=-]+))""",
     re.ASCII,
 )
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z", re.ASCII)

@@ -120,6 +120,18 @@ def test_propagation():
     assert secret_scan.added_spans('password = "changeme"', [], 5.0) == []
 
 
+@pytest.mark.parametrize("blanks", [" " * 9, " " * 40, "\t" * 12, " \t" * 5000])
+def test_aligned_assignments(blanks):
+    secret = "Zx81kPq92LmVbT55"
+    for text, kind in [
+        (f'db_pwd{blanks}= "{secret}"', 3),
+        (f'db_pwd ={blanks}"{secret}"', 3),
+        (f'k{blanks}={blanks}"{secret}"\ndb_pwd{blanks}={blanks}k', 4),
+        (f'{"long_" * 40}pwd{blanks}= "{secret}"', 3),
+    ]:
+        assert [(text[a:b], k) for a, k, b in secret_scan.added_spans(text, secret_scan.base_spans(text), 5.0)] == [(secret, kind)]
+
+
 def test_secret_table(spark):
     rows = spark.createDataFrame([*ODD, (5, "é token = abcdefghijkl0", 1, "", 0.0)], EXTRA)
     got = {r.doc_id: r for r in secret_scan.scan(rows).collect()}

@@ -224,12 +224,20 @@ def _covered(spans: str):
 def remove(docs: DataFrame, bench: DataFrame, *, window: int = 10, shard_words: int = 1_000_000, block_words: int = 4_000_000) -> DataFrame:
     """The documents, all columns, with every hit span cut from ``text`` (from its first to its last word)."""
     small_batches(docs.sparkSession)
-    for block in _blocks(bench, window, block_words):
-        docs = docs.mapInArrow(_cutter(block, shard_words, docs.schema.names.index("text")), docs.schema)
-    return docs
+    at = docs.schema.names.index("text")
+    blocks = _blocks(bench, window, block_words)
+    # the text stays as it is until all blocks have searched it; spans travel in a last column
+    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.array().cast("array<long>").alias("_spans"))
+    wide = found.schema
+    for i, block in enumerate(blocks):
+        last = i + 1 == len(blocks)
+        found = found.mapInArrow(_cutter(block, at, last), docs.schema if last else wide)
+    return found
+
 
+def _cutter(block: bytes, at: int, last: bool):
+    """Adds the spans of one block to those in the last column; the last block's pass cuts all of them."""
 
-def _cutter(block: bytes, shard_words: int, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = pickle.loads(block)
         for b in batches:
@@ -237,17 +245,24 @@ def _cutter(block: bytes, shard_words: int, at: int):
             texts = b.column(at).to_pylist()
             for t in texts:
                 shard.add(words_of(t))
-            spans, _ = shard.search()
-            for i, mine in spans.items():
+            mine, _ = shard.search()
+            spans = [_merged([*zip(old[::2], old[1::2], strict=True), *mine.get(i, [])]) for i, old in enumerate(b.column(b.num_columns - 1).to_pylist())]
+            arrays = list(b.columns)
+            if not last:
+                arrays[-1] = pa.array([[x for s in found for x in s] for found in spans], b.schema.field(b.num_columns - 1).type)
+                yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+                continue
+            for i, found in enumerate(spans):
+                if not found:
+                    continue
                 raw = texts[i].encode()
                 places = [m.span() for m in WORDS.finditer(raw)]
-                keep, last = [], 0
-                for a, e in mine:
-                    keep.append(raw[last : places[a][0]])
-                    last = places[e - 1][1]
-                texts[i] = b"".join([*keep, raw[last:]]).decode()
-            arrays = list(b.columns)
+                keep, end = [], 0
+                for a, e in found:
+                    keep.append(raw[end : places[a][0]])
+                    end = places[e - 1][1]
+                texts[i] = b"".join([*keep, raw[end:]]).decode()
             arrays[at] = pa.array(texts, b.schema.field(at).type)
-            yield pa.RecordBatch.from_arrays(arrays, schema=b.schema)
+            yield pa.RecordBatch.from_arrays(arrays[:-1], schema=pa.schema(list(b.schema)[:-1]))
 
     return run

@@ -287,6 +287,17 @@ def test_remove_keeps_the_rest(spark):
     assert decontam.remove(d, b).first().text == "Keep this. ! And that."
 
 
+def test_remove_over_blocks(spark):
+    """Passages of different blocks overlap, and a cut would join words into a window the text never held."""
+    docs = [(1, "x a b c d e f y"), (2, "p q a b c d r s"), (3, "plain"), (4, None)]
+    bench = [(10, "a b c d"), (11, "c d e f"), (12, "p q r s")]
+    d, b = spark.createDataFrame(odd(docs), EXTRA), spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
+    for block in (4, 10**6):
+        cut = decontam.remove(d, b, window=4, block_words=block)
+        assert cut.columns == d.columns
+        assert {r.doc_id: r.text for r in cut.collect()} == {1: "x  y", 2: "p q  r s", 3: "plain", 4: None}
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for _ in range(30):

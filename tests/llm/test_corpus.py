@@ -407,6 +407,16 @@ def test_balanced_parts():
 # --- pipeline --------------------------------------------------------------------------
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    import corpus_pipeline as p
+
+    base = [f"b{i}" for i in range(60)]
+    near = [*base[:30], "other", *base[31:]]  # 51 of 61 five-word shingles in common
+    far = [*base[:20], "x", *base[21:40], "y", *base[41:]]  # 46 of 66
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in p.dedup_documents(spark, docs, "").collect()) == [1, 3]
+
+
 def test_pipeline(spark, sf001):
     import corpus_pipeline as p
 

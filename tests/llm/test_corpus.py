@@ -350,6 +350,24 @@ def test_language_model_probabilities_sum_to_one(spark):
     assert sum(10 ** got[i] for i in ids) <= 1 + 1e-6
 
 
+def test_language_model_tells_contexts_apart(spark):
+    """Two words whose mixed hashes agree in 16 bits keep their own followers."""
+    import xxhash
+
+    seen, n = {}, 0
+    while True:
+        h = int(lm._mix(np.array([xxhash.xxh3_64_intdigest(b"c%d" % n)], np.uint64) + np.uint64(lm.M2))[0]) >> 48
+        if h in seen:
+            break
+        seen[h], n = n, n + 1
+    a, b = f"c{seen[h]}", f"c{n}"
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
+    train = [(i, f"{a} x" if i % 2 else f"{b} y") for i in range(1000, 1400)]
+    docs = [*train, (held[0], f"{a} x"), (held[1], f"{a} y")]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 1
+
+
 def test_language_model_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     one = lm.score(spark.createDataFrame([(i, "a") for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")).collect()

@@ -518,19 +518,19 @@ def _cells(spark, m: np.ndarray) -> DataFrame:
 @query()
 def mc_confusion(spark, sf):
     m = _fit(spark, sf, max_iter=8)[1].model
-    return confusion.sampled_confusion(spark, m.weights, m.means, m.covs, 20_000)
+    return confusion.sampled_confusion(spark, m.weights, m.means, m.covs, 50_000)
 
 
 @query()
 def equalprior_confusion(spark, sf):
     m = _fit(spark, sf, max_iter=8)[1].model
-    return confusion.sampled_confusion(spark, m.weights, m.means, m.covs, 20_000, use_weights=False)
+    return confusion.sampled_confusion(spark, m.weights, m.means, m.covs, 50_000, use_weights=False)
 
 
 @query()
 def analytic_multiclass(spark, sf):
     stats = confusion.moments_local(fx.prot_a(spark, sf), "hard", "posterior", K)
-    return confusion.analytical_multiclass(spark, stats, K, 20_000)
+    return confusion.analytical_multiclass(spark, stats, K, 50_000)
 
 
 @query()
@@ -588,7 +588,7 @@ def ami(spark, sf):
 
 @query()
 def silhouette(spark, sf):
-    return agreement.silhouette(fx.latent(spark, sf), "z", "hard", 500)
+    return agreement.silhouette(fx.latent(spark, sf), "z", "hard", 8_000)
 
 
 @query()

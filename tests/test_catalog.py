@@ -45,3 +45,21 @@ def test_entry(spark):
     assert e.entry(spark).count() == 3
     assert set(catalog.queries()) <= set(e.queries())
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_sample_sizes_of_the_reference(monkeypatch):
+    from unittest.mock import MagicMock
+
+    from simplexa.plans import catalog
+
+    asked = {}
+    monkeypatch.setattr(catalog.agreement, "silhouette", lambda t, z, label, rows: asked.setdefault("silhouette", rows) and MagicMock())
+    monkeypatch.setattr(catalog.fx, "latent", lambda spark, sf: None)
+    monkeypatch.setattr(catalog.confusion, "moments_local", lambda *a: None)
+    monkeypatch.setattr(catalog.confusion, "analytical_multiclass", lambda spark, stats, k, n: asked.setdefault("multiclass", n) and MagicMock())
+    monkeypatch.setattr(catalog.fx, "prot_a", lambda spark, sf: None)
+    monkeypatch.setattr(catalog, "_fit", lambda *a, **k: (None, type("R", (), {"model": type("M", (), {"weights": 0, "means": 0, "covs": 0})})))
+    monkeypatch.setattr(catalog.confusion, "sampled_confusion", lambda spark, w, m, c, n, use_weights=True: asked.setdefault(("sampled", use_weights), n) and MagicMock())
+    for name in ("silhouette", "analytic_multiclass", "mc_confusion", "equalprior_confusion"):
+        catalog.queries()[name](MagicMock(), "")
+    assert asked == {"silhouette": 8_000, "multiclass": 50_000, ("sampled", True): 50_000, ("sampled", False): 50_000}

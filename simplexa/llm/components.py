@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from simplexa.llm.common import Scratch
 
 
-def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch | None = None, *, max_rounds: int = 60) -> DataFrame:
     """(v, comp) for every vertex of ``edges`` (a, b); comp is the smallest vertex reachable.
 
     In each round vertices are ordered by a hash with the round as salt; every vertex
@@ -16,10 +16,13 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     the edges are contracted.  A random order leaves a fraction of the vertices of any
     graph, of chains too, so rounds grow with the logarithm of the size; stars vanish in
     one.  Minima combine before they are shuffled, and a hub's edges may be split over
-    tasks.  Rounds are cut by tables written to the shared folder.  Loops and repeated
-    edges are allowed; null ends are dropped.
+    tasks.  Rounds are cut by tables written to the shared folder, which go when the result
+    is written (to ``scratch``, where given).  Loops and repeated edges are allowed; null
+    ends are dropped.
     """
-    cut = Scratch(edges.sparkSession, "components").table
+    rounds = Scratch(edges.sparkSession, "components")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    cut = rounds.table
     edges = edges.select("a", "b").where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
     edges = cut(edges.distinct())
     labels = None
@@ -45,6 +48,10 @@ def connected_components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame
     else:
         raise RuntimeError("components did not settle")
     if labels is None:
-        return edges.select(F.col("a").alias("v"), F.col("a").alias("comp"))
-    least = labels.groupBy("comp").agg(F.min("v").alias("least"))
-    return cut(labels.join(least, "comp").select("v", F.col("least").alias("comp")))
+        out = edges.select(F.col("a").alias("v"), F.col("a").alias("comp"))
+    else:
+        least = labels.groupBy("comp").agg(F.min("v").alias("least"))
+        out = labels.join(least, "comp").select("v", F.col("least").alias("comp"))
+    out = scratch.table(out, "components")
+    rounds.drop()
+    return out

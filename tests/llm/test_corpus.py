@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,16 +94,11 @@ def test_passages_repeated_rows_and_text(spark):
 
 
 def edit(a, b):
-    p = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        c = [i]
-        for j, y in enumerate(b, 1):
-            c.append(min(p[j] + 1, c[-1] + 1, p[j - 1] + (x != y)))
-        p = c
-    return p[-1]
+    return duckdb.execute("select levenshtein(?, ?)", [a, b]).fetchone()[0]
 
 
-def brute_lines(docs, sims, similarity):
+def brute_lines(docs, similarity):
+    """The occurrences to drop, by edit similarity of all pairs alone."""
     occ = defaultdict(list)
     for i, t in docs:
         for n, line in enumerate((t or "").split("\n")):
@@ -112,7 +108,7 @@ def brute_lines(docs, sims, similarity):
     for i, a in enumerate(classes):
         for b in classes[:i]:
             x, y = " ".join(a), " ".join(b)
-            if (sims[a] ^ sims[b]).bit_count() <= line_dedup.DISTANCE and edit(x, y) <= int((1 - similarity) * max(len(x), len(y)) + 1e-9):
+            if edit(x, y) <= int((1 - similarity) * max(len(x), len(y)) + 1e-9):
                 edges.append((a, b))
     comp = groups(edges)
     first = {}
@@ -141,11 +137,9 @@ def test_lines(spark):
             lines.append(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w) + rng.choice(["", "."]))
         docs.append((d, "\n".join(lines)))
     df = spark.createDataFrame(odd(docs), EXTRA)
-    words = df.select(F.explode(F.split("text", "\n")).alias("l")).select(line_dedup.words(F.col("l")).alias("w")).where("size(w) > 0").distinct()
-    h = F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))
-    sims = {tuple(r.w): r.s for r in words.select("w", line_dedup.simhash(h, F.size(h)).alias("s")).collect()}
-    want = brute_lines(docs, sims, 0.85)
-    assert {(r.doc, p) for r in line_dedup.removed_lines(df).collect() for p in r.gone} == want
+    whole = brute_lines(docs, 0.85)
+    want = {(r.doc, p) for r in line_dedup.removed_lines(df).collect() for p in r.gone}
+    assert want <= whole and len(want) >= 0.95 * len(whole)
     out = line_dedup.dedup(df)
     assert out.columns == df.columns
     for r in out.collect():
@@ -156,13 +150,53 @@ def test_lines(spark):
     assert line_dedup.dedup(df.limit(0)).count() == 0
 
 
-def test_simhash_paths_agree(spark):
+def test_lines_of_the_test_table(spark, sf001):
+    """Recall on real lines: all pairs that share two words in a row, by edit similarity alone."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()]
+    rows = defaultdict(list)
+    for i, t in docs:
+        for n, line in enumerate((t or "").split("\n")):
+            if w := tuple(re.findall(r"[^\W_]+", line.lower())):
+                rows[w].append((i, n))
+    lines, near = list(rows), defaultdict(set)
+    for k, w in enumerate(lines):
+        for j in range(max(1, len(w) - 1)):
+            near[w[j : j + 2]].add(k)
+    text = [" ".join(w) for w in lines]
+    pairs = {(a, b) for v in near.values() for a in v for b in v if a < b and abs(len(text[a]) - len(text[b])) <= 0.15 * max(len(text[a]), len(text[b])) and len(set(lines[a]) & set(lines[b])) >= 0.6 * max(len(set(lines[a])), len(set(lines[b])))}
+    comp = groups([(a, b) for a, b in pairs if len(text[a]) < 3000 and edit(text[a], text[b]) <= int(0.15 * max(len(text[a]), len(text[b])) + 1e-9)])
+    first = {}
+    for k, w in enumerate(lines):
+        first[comp.get(k, k)] = min([*rows[w], *([first[comp.get(k, k)]] if comp.get(k, k) in first else [])])
+    whole = {o for k, w in enumerate(lines) for o in rows[w] if o != first[comp.get(k, k)]}
+    got = {(r.doc, p) for r in line_dedup.removed_lines(spark.read.parquet(f"{sf001}/documents.parquet")).collect() for p in r.gone}
+    assert len(got & whole) >= 0.95 * len(whole)
+
+
+def test_lines_of_a_large_near_group(spark):
+    """Copies of one line with a few words changed: more than one round of hubs; unrelated lines share a block."""
+    rng = random.Random(9)
+    base = [f"word{rng.randrange(10**6)}" for _ in range(40)]
+    near = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"word{rng.randrange(10**6)}"
+        near.append(" ".join(w))
+    other = [" ".join(sorted(base)[:6] + [f"else{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(20)]
+    docs = list(enumerate(near + other))
+    got = {(r.doc, p) for r in line_dedup.removed_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect() for p in r.gone}
+    whole = brute_lines(docs, 0.85)
+    assert got <= whole and len(got) >= 0.95 * len(whole)
+
+
+def test_block_simhash(spark):
     rng = random.Random(6)
-    df = spark.createDataFrame([([rng.getrandbits(64) - (1 << 63) for _ in range(n)],) for n in (1, 2, 5, 254, 255, 256, 400)], "h array<long>")
-    h, n = F.col("h"), F.size("h")
-    for r in df.select(line_dedup.simhash(h, n).alias("a"), line_dedup._counted(h, n, 9).alias("b"), "h").collect():
-        want = sum(1 << b for b in (9 * j + k for j in range(7) for k in range(6)) if sum(x >> b & 1 for x in r.h) > len(r.h) // 2)
-        assert r.a == r.b == want
+    rows = [([rng.getrandbits(62) for _ in range(4)],) for _ in range(20)]
+    got = spark.createDataFrame(rows, "h array<long>").select("h", *[line_dedup.simhash([F.col("h")[j] for j in range(n)]).alias(f"s{n}") for n in (1, 2, 3, 4)]).collect()
+    for r in got:
+        for n in (1, 2, 3, 4):
+            assert r[f"s{n}"] == sum(1 << b for b in range(62) if sum(x >> b & 1 for x in r.h[:n]) > n // 2)
 
 
 # --- shingles --------------------------------------------------------------------------

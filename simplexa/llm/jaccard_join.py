@@ -4,7 +4,7 @@ A document's set: the distinct ``shingle``-word shingles of its lower-cased (A-Z
 with fewer words the whole sequence; without words it is empty and linked with nothing.
 Two documents link when ``100 * intersection >= percent * union``.
 
-Signatures.  Sets are put in bands of sizes, wide by the threshold to the third power; a
+Signatures.  Sets are put in bands of sizes, wide by a power of the threshold; a
 set near the lower end of the band above joins that band as well, so that any two sets
 that can link share a band.  Within a band at most ``k`` shingles differ.  The shingle
 domain is cut by hash into ``n1`` parts of ``n2`` pieces, where ``n1 * (k2 + 1) > k``:
@@ -12,6 +12,13 @@ in some part at most ``k2`` pieces differ, so some choice of ``n2 - k2`` pieces
 agrees.  Each choice is a signature (the sum of the hashes of its shingles): linked
 documents share one, always.
 
+An empty signature (no shingle of the set in the chosen pieces) says nothing, and all sets
+of a band that lack shingles there would meet in it.  So a band has more parts than needed,
+by ``slack``: with that many spare parts, a linked pair agrees in some part outside any
+``spare`` parts.  A set with empty signatures in at most ``spare`` parts leaves its empty
+ones out; by any such set a linked pair still shares a signature.  Only sets with more,
+among which pairs could be missed, keep theirs, so they meet each other there.
+
 Links.  Documents that share a signature are tied to the smallest of them; a task first
 ties its own, so that a signature sends one row a task at most.  Ties are verified on
 whole sets.  A signature whose documents are not all connected then is broken; those of
@@ -52,15 +59,19 @@ class Bands:
 
     def __init__(self, percent: int, top: int = 1 << 31):
         self.percent = percent
+        # narrow bands and spare parts keep the signatures of low thresholds, which cover few shingles, from being empty
+        power, slack = (3, 0.04) if percent >= 90 else (1, 0.15)
         self.lows = [1]
         while self.lows[-1] < top:
             low = self.lows[-1]
-            self.lows.append(max(low + 1, math.floor(low * (100 / percent) ** 3) + 1))
+            self.lows.append(max(low + 1, math.floor(low * (100 / percent) ** power) + 1))
         self.low = np.array(self.lows, np.int64)
         high = self.low[1:] - 1
         #: linked sets a, b differ in at most (|a| + |b|) (100 - p) / (100 + p) shingles
         self.k = 2 * high * (100 - percent) // (100 + percent)
-        self.n1 = np.where(self.k == 0, 1, -(-(self.k + 1) // (K2 + 1)))
+        least = np.where(self.k == 0, 1, -(-(self.k + 1) // (K2 + 1)))
+        self.spare = np.where(self.k == 0, 0, np.ceil(slack * least).astype(np.int64))
+        self.n1 = least + self.spare
 
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(which set, band) pairs: its own band, and the next one if it can link into it."""
@@ -108,16 +119,21 @@ def signatures(doc: np.ndarray, x: np.ndarray, n_docs: int, bands: Bands) -> tup
     base = np.concatenate(([0], np.cumsum(n1 * N2)))
     part = ((e >> np.uint64(8)) % n1[pair].astype(np.uint64)).astype(np.int64)
     piece = (_mix(e + _u(0x51ED27)) % np.uint64(N2)).astype(np.int64)
+    place = base[pair] + part * N2 + piece
     sums = np.zeros(int(base[-1]), np.uint64)
-    np.add.at(sums, base[pair] + part * N2 + piece, _mix(e + _u(0xA076)))
+    np.add.at(sums, place, _mix(e + _u(0xA076)))
     sums = sums.reshape(-1, N2)
+    held = np.bincount(place, minlength=int(base[-1])).reshape(-1, N2) > 0
     owner = np.repeat(np.arange(len(which)), n1)
     index = np.arange(len(sums)) - (base[owner] // N2)
     key = _mix((band[owner] * 1_000_003 + 17).astype(np.uint64) * _u(M1) + index.astype(np.uint64))
     exact = bands.k[band[owner]] == 0  # nothing may differ: one signature of the whole set
     out_doc, out_sig = [which[owner[exact]]], [_mix(sums[exact].sum(axis=1, dtype=np.uint64) + key[exact])]
-    some = ~exact
+    # sets with empty signatures in more parts than are to spare keep them
+    hollow = held.sum(axis=1) <= K2  # some choice of N2 - K2 pieces holds nothing
+    keeps = np.bincount(owner, weights=hollow, minlength=len(which)) > bands.spare[band]
     for c, (i, j) in enumerate(CHOICES):
+        some = ~exact & (held[:, i] | held[:, j] | keeps[owner])
         out_doc.append(which[owner[some]])
         out_sig.append(_mix(sums[some, i] + sums[some, j] + key[some] * np.uint64(2 * c + 3)))
     return np.concatenate(out_doc), np.concatenate(out_sig)

@@ -21,9 +21,11 @@ among which pairs could be missed, keep theirs, so they meet each other there.
 
 Links.  Documents that share a signature are tied to the smallest of them; a task first
 ties its own, so that a signature sends one row a task at most.  Ties are verified on
-whole sets.  A signature whose documents are not all connected then is broken; those of
-its documents from different components that may still link (see ``_across``) are paired
-and verified in a second round, so that no link between components is lost.  Components follow from verified links alone.
+whole sets.  A signature whose documents are not all connected then is broken.  Of two
+documents the pair was verified already; of up to ``FEW`` those from different components
+are paired and verified in a second round; of more, those that may still link (see
+``_across``).  So no link between components is lost.  Components follow from verified
+links alone.
 
 Cases: null and empty texts have size 0 and are their own component; a null doc_id has a
 null component; rows with the same doc_id are one document with the words of each; texts
@@ -47,6 +49,8 @@ from simplexa.llm.substring_dedup import M1, WordHash, _groups, _mix
 
 CHUNK = 1_500_000
 N2, K2 = 3, 1
+#: up to so many documents of a broken signature are paired as they are
+FEW = 8
 CHOICES = ((0, 1), (0, 2), (1, 2))
 
 
@@ -220,17 +224,18 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, bands: Bands | None
 
 
 def _members(sets: DataFrame, bands: Bands) -> DataFrame:
-    """(sig, doc) of stored sets."""
+    """(sig, doc, size) of stored sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = [np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()]
             if not parts:
                 continue
-            d, g = signatures(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), np.concatenate(parts), len(parts), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(np.array(b.column(0).to_pylist(), np.int64)[d])], ["sig", "doc"])
+            sizes = np.array([len(p) for p in parts], np.int64)
+            d, g = signatures(np.repeat(np.arange(len(parts)), sizes), np.concatenate(parts), len(parts), bands)
+            yield pa.RecordBatch.from_arrays([pa.array(g.astype(np.int64)), pa.array(np.array(b.column(0).to_pylist(), np.int64)[d]), pa.array(sizes[d])], ["sig", "doc", "size"])
 
-    return sets.mapInArrow(run, "sig long, doc long")
+    return sets.mapInArrow(run, "sig long, doc long, size long")
 
 
 def _differences(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -309,9 +314,14 @@ def join(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> tuple[DataF
         apart = broken.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         sigs = apart.select(F.explode("shared").alias("sig")).distinct()
         own = comps.select(F.col("v").alias("doc"), "comp")
-        members = _members(sets, bands).join(sigs, "sig", "left_semi").join(own, "doc", "left").select("sig", "doc", F.coalesce("comp", "doc").alias("comp")).distinct()
+        members = _members(sets, bands).join(sigs, "sig", "left_semi").join(own, "doc", "left").select("sig", "doc", "size", F.coalesce("comp", "doc").alias("comp")).distinct()
         members = scratch.table(members)
-        met, with_hubs = _across(members, sets, percent, scratch)
+        counted = members.groupBy("sig").agg(F.count("*").alias("n"))
+        few = members.join(counted.where(F.col("n").between(3, FEW)), "sig")
+        x, y = few.select("sig", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca")), few.select("sig", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
+        near = x.join(y, "sig").where("a < b and ca != cb").where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")).select("a", "b")
+        met, with_hubs = _across(members.join(counted.where(F.col("n") > FEW), "sig", "left_semi"), sets, percent, scratch)
+        met = met.unionByName(near).distinct()
         again = scratch.table(_verify(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, None))
         links = links.unionByName(again.where("linked").select("a", "b")).unionByName(with_hubs).distinct()
         comps = connected_components(links)

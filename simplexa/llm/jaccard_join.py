@@ -220,7 +220,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int, bands: Bands | None
 
     left = sets.select(F.col("doc").alias("a"), F.col("set").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("set").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, shared array<long>")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean, shared array<long>")
 
 
 def _members(sets: DataFrame, bands: Bands) -> DataFrame:
@@ -245,20 +245,21 @@ def _differences(grouped: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hub, doc, comp = (batch.column(i).to_pylist() for i in range(3))
-            linked, need, diff = [], [], []
+            linked, need, least, diff = [], [], [], []
             for s, t in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 h, y = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 d = np.setxor1d(h, y, assume_unique=True)
                 linked.append(den * len(d) <= num * (len(h) + len(y)))
                 most = num * (len(y) + 100 * len(y) // percent) // den
+                least.append(max(1, len(d) - most))
                 need.append(max(1, (den * len(d) + num * (len(h) - len(y))) // (2 * den) + 1, len(d) - most))
                 diff.append(d.astype(np.int64))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((hub, doc, comp, linked, need, diff), kinds, strict=True)], ["hub", "doc", "comp", "linked", "need", "diff"])
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((hub, doc, comp, linked, need, least, diff), kinds, strict=True)], ["hub", "doc", "comp", "linked", "need", "least", "diff"])
 
     left, right = sets.select(F.col("doc").alias("hub"), F.col("set").alias("x")), sets.select("doc", F.col("set").alias("y"))
-    rows = grouped.where("hub != doc").join(left, "hub").join(right, "doc").select("hub", "doc", "comp", "x", "y")
-    return rows.mapInArrow(run, "hub long, doc long, comp long, linked boolean, need long, diff array<long>")
+    rows = grouped.where("hub != doc").join(left.hint("merge"), "hub").join(right.hint("merge"), "doc").select("hub", "doc", "comp", "x", "y")
+    return rows.mapInArrow(run, "hub long, doc long, comp long, linked boolean, need long, least long, diff array<long>")
 
 
 def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -269,21 +270,22 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     is not, and x and y link, their differences from the hub must share at least ``need``
     shingles (a bound of y alone), so one of them is among the first ``|diff| - need + 1``
     of y's in any fixed order: rare ones come first, and those of one document alone
-    meet nobody.  So the pairs of a large group of near copies are not enumerated.
+    meet nobody.  The same holds for x with ``least``, a bound of x alone whatever y is.  So the pairs of a large group of near copies are not enumerated.
     """
     counted = members.groupBy("sig", "comp").agg(F.count("*").alias("n"))
     # a component goes by its smallest document, so that few hubs serve many signatures
     hubs = counted.groupBy("sig").agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("hub"))
     grouped = members.join(hubs, "sig").select("hub", "doc", "comp").distinct()
     diffs = scratch.table(_differences(grouped, sets, percent))
-    each = diffs.select("hub", "doc", "comp", "linked", "need", F.size("diff").alias("size"), F.explode("diff").alias("e"))
+    each = diffs.select("hub", "doc", "comp", "linked", "need", "least", F.explode("diff").alias("e"))
     often = each.groupBy("hub", "e").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("hub", "doc")
-    shared = each.join(often, ["hub", "e"]).withColumn("nth", F.row_number().over(own.orderBy("n", "e"))).withColumn("both", F.count("*").over(own))
-    shared = scratch.table(shared.select("hub", "e", "doc", "comp", "linked", (F.col("nth") <= F.col("both") - F.col("need") + 1).alias("front")))
+    shared = each.join(often.hint("merge"), ["hub", "e"]).withColumn("nth", F.row_number().over(own.orderBy("n", "e"))).withColumn("both", F.count("*").over(own))
+    first = lambda bound: F.col("nth") <= F.col("both") - F.col(bound) + 1
+    shared = scratch.table(shared.select("hub", "e", "doc", "comp", first("need").alias("front"), (~F.col("linked") & first("least")).alias("apart")).where("front or apart"))
     y = shared.where("front").select("hub", "e", F.col("doc").alias("y"), F.col("comp").alias("cy"))
-    x = shared.where("not linked").select("hub", "e", F.col("doc").alias("x"), F.col("comp").alias("cx"))
-    met = x.join(y, ["hub", "e"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    x = shared.where("apart").select("hub", "e", F.col("doc").alias("x"), F.col("comp").alias("cx"))
+    met = x.join(y.hint("merge"), ["hub", "e"]).where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return met, diffs.where("linked").select(F.least("hub", "doc").alias("a"), F.greatest("hub", "doc").alias("b"))
 
 
@@ -304,7 +306,7 @@ def join(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> tuple[DataF
     pairs = scratch.table(first.where(F.col("a").isNotNull()).select("a", "b").distinct())
     early.drop()
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = scratch.table(_sets(known.join(wanted, "doc", "left_semi").select("doc", "text"), shingle))
+    sets = scratch.table(_sets(known.join(wanted.hint("merge"), "doc", "left_semi").select("doc", "text"), shingle))
     checked = scratch.table(_verify(pairs, sets, percent, bands))
     links = checked.where("linked").select("a", "b").distinct()
     comps = connected_components(links)
@@ -314,12 +316,12 @@ def join(docs: DataFrame, *, shingle: int = 3, percent: int = 90) -> tuple[DataF
         apart = broken.join(ca, "a", "left").join(cb, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
         sigs = apart.select(F.explode("shared").alias("sig")).distinct()
         own = comps.select(F.col("v").alias("doc"), "comp")
-        members = _members(sets, bands).join(sigs, "sig", "left_semi").join(own, "doc", "left").select("sig", "doc", "size", F.coalesce("comp", "doc").alias("comp")).distinct()
+        members = _members(sets, bands).join(sigs.hint("merge"), "sig", "left_semi").join(own.hint("merge"), "doc", "left").select("sig", "doc", "size", F.coalesce("comp", "doc").alias("comp")).distinct()
         members = scratch.table(members)
         counted = members.groupBy("sig").agg(F.count("*").alias("n"))
         few = members.join(counted.where(F.col("n").between(3, FEW)), "sig")
         x, y = few.select("sig", F.col("doc").alias("a"), F.col("size").alias("sa"), F.col("comp").alias("ca")), few.select("sig", F.col("doc").alias("b"), F.col("size").alias("sb"), F.col("comp").alias("cb"))
-        near = x.join(y, "sig").where("a < b and ca != cb").where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")).select("a", "b")
+        near = x.join(y.hint("merge"), "sig").where("a < b and ca != cb").where(100 * F.least("sa", "sb") >= percent * F.greatest("sa", "sb")).select("a", "b")
         met, with_hubs = _across(members.join(counted.where(F.col("n") > FEW), "sig", "left_semi"), sets, percent, scratch)
         met = met.unionByName(near).distinct()
         again = scratch.table(_verify(met.join(checked.select("a", "b"), ["a", "b"], "left_anti"), sets, percent, None))

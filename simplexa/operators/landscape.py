@@ -49,29 +49,34 @@ def free_energy_1d(df: DataFrame, column: str, grid: np.ndarray, scale: float =
 
 
 def extrema(f: np.ndarray) -> tuple[list[int], list[int]]:
-    """Indices of local minima and maxima; flats carry the last slope forward."""
-    s = np.sign(np.diff(f))
-    for i in range(1, len(s)):
-        if s[i] == 0:
-            s[i] = s[i - 1]
-    return [i for i in range(1, len(s)) if s[i - 1] < 0 < s[i]], [i for i in range(1, len(s)) if s[i - 1] > 0 > s[i]]
+    """Indices of local minima and maxima (G2): where a run of falling steps gives way to one of rising steps, or the
+    reverse; level steps belong to the run before them."""
+    steps = np.sign(np.diff(f))
+    sloped = np.flatnonzero(steps)
+    turn = np.diff(steps[sloped])
+    return sloped[1:][turn > 0].tolist(), sloped[1:][turn < 0].tolist()
 
 
 def basins_1d(f: np.ndarray, grid: np.ndarray, barrier: float = 0.5) -> list[dict]:
-    """Wells separated by barriers of at least ``barrier``: at the weakest one the shallower well goes."""
-    wells = extrema(f)[0] or [int(f.argmin())]
-    while len(wells) > 1:
-        tops = [float(f[a : b + 1].max()) for a, b in zip(wells, wells[1:], strict=False)]
-        rise = [t - max(f[a], f[b]) for t, a, b in zip(tops, wells, wells[1:], strict=False)]
-        i = int(np.argmin(rise))
-        if rise[i] >= barrier:
-            break
-        wells.pop(i if f[wells[i]] > f[wells[i + 1]] else i + 1)
-    out = []
-    for n, w in enumerate(wells):
-        right = float(f[w : wells[n + 1] + 1].max() - f[w]) if n + 1 < len(wells) else float("nan")
-        out.append({"position": float(grid[w]), "depth": float(f[w]), "barrier_right": right})
-    return out
+    """Wells of a persistence of at least ``barrier``.
+
+    Saddles between neighbouring wells are opened from the lowest up; at each the higher of
+    the two bottoms it joins ends, and its persistence is the saddle's height above it.
+    """
+    wells = np.array(extrema(f)[0] or [int(f.argmin())])
+    saddles = np.array([f[a : b + 1].max() for a, b in zip(wells[:-1], wells[1:], strict=True)])
+    lasting = np.full(len(wells), np.inf)
+    first, last = np.arange(len(wells)), np.arange(len(wells))  # the run of opened wells that each end of a run belongs to
+    deepest = list(range(len(wells)))  # of the run, kept at its first well
+    for s in np.argsort(saddles, kind="stable"):
+        left, right = first[s], s + 1
+        low, high = sorted((deepest[left], deepest[right]), key=lambda w: (f[wells[w]], w))
+        lasting[high] = saddles[s] - f[wells[high]]
+        end = last[right]
+        first[end], last[left], deepest[left] = left, end, low
+    kept = wells[lasting >= barrier]
+    walls = [float(f[a : b + 1].max() - f[a]) for a, b in zip(kept[:-1], kept[1:], strict=True)] + [float("nan")]
+    return [{"position": float(grid[w]), "depth": float(f[w]), "barrier_right": r} for w, r in zip(kept, walls, strict=True)]
 
 
 def band(df: DataFrame, column: str, grid: np.ndarray, reps: int = 200, scale: float = 1.0, fine: int = 2048, seed: int = 0) -> np.ndarray:
@@ -106,41 +111,45 @@ def density_2d(df: DataFrame, x: str, y: str, nx: int = 140, ny: int = 140, scal
 
 
 def flood(f: np.ndarray, threshold: float) -> tuple[np.ndarray, list[int], list[float]]:
-    """Watershed of a surface, lowest cells first, 8 neighbours.
+    """Watershed of a surface over the edges of its grid, by their higher ends.
 
-    Where two basins meet, the one with the higher bottom is absorbed if it is shallower
-    than ``threshold``.  Returns the basin of every cell, the cells of the bottoms, and
-    the depths at which basins met, largest first.
+    Cells are known by their rank in height, so that a basin's least member is its bottom
+    and stands for it.  An edge can open only when its higher end is reached; that cell
+    joins the lowest of the basins its edges lead to, and those of the others that are
+    shallower than ``threshold`` there drain into it too.  Returns the basin of every
+    cell, the cells of the bottoms, and the depths at which basins met, largest first.
     """
-    ny, nx = f.shape
-    flat = f.ravel()
-    label, parent, bottom = np.full(f.size, -1), [], []
-    met: dict[int, float] = {}
-
-    def find(a: int) -> int:
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for c in np.argsort(flat, kind="stable"):
-        y, x = divmod(int(c), nx)
-        near = {find(label[v * nx + u]) for v in range(max(y - 1, 0), min(y + 2, ny)) for u in range(max(x - 1, 0), min(x + 2, nx)) if label[v * nx + u] >= 0}
-        if not near:
-            parent.append(len(parent))
-            bottom.append(int(c))
-            label[c] = len(parent) - 1
-            continue
-        low, *others = sorted(near, key=lambda b: (flat[bottom[b]], b))
-        label[c] = low
-        for b in others:
-            depth = float(flat[c] - flat[bottom[b]])
-            met.setdefault(b, depth)
-            if depth < threshold:
-                parent[b] = low
-    roots = sorted({find(b) for b in range(len(parent))})
-    new = {r: i for i, r in enumerate(roots)}
-    return np.array([new[find(b)] for b in label]).reshape(f.shape), [bottom[r] for r in roots], sorted(met.values(), reverse=True)
+    order = np.argsort(f, axis=None, kind="stable")
+    level = f.ravel()[order]
+    rank = np.empty(f.size, np.int64)
+    rank[order] = np.arange(f.size)
+    g = rank.reshape(f.shape)
+    sides = ((g[:, 1:], g[:, :-1]), (g[1:], g[:-1]), (g[1:, 1:], g[:-1, :-1]), (g[1:, :-1], g[:-1, 1:]))
+    ends = np.sort(np.concatenate([np.stack((a.ravel(), b.ravel()), axis=1) for a, b in sides]), axis=1)
+    ends = ends[np.argsort(ends[:, 1], kind="stable")]
+    drains = list(range(f.size))
+    depths: dict[int, float] = {}
+
+    def bottom(cell: int) -> int:
+        path = []
+        while drains[cell] != cell:
+            path.append(cell)
+            cell = drains[cell]
+        for p in path:
+            drains[p] = cell
+        return cell
+
+    reached, starts = np.unique(ends[:, 1], return_index=True)
+    for cell, lower in zip(reached.tolist(), np.split(ends[:, 0], starts[1:]), strict=True):
+        lowest, *rest = sorted({bottom(c) for c in lower.tolist()})
+        drains[cell] = lowest
+        for b in rest:
+            depths.setdefault(b, float(level[cell] - level[b]))
+            if level[cell] - level[b] < threshold:
+                drains[b] = lowest
+    names, labels = np.unique([bottom(c) for c in rank.tolist()], return_inverse=True)
+    # basins are numbered by the height of their bottoms
+    return labels.reshape(f.shape), order[names].tolist(), sorted(depths.values(), reverse=True)
 
 
 def basin_counts(f: np.ndarray, thresholds: list[float]) -> list[tuple[float, int]]:
@@ -167,11 +176,16 @@ def populated_counts(df: DataFrame, f: np.ndarray, gx: np.ndarray, gy: np.ndarra
 
 def merge_minor(labels: np.ndarray, bottoms: list[int], counts: np.ndarray, gx: np.ndarray, gy: np.ndarray, minimum: float) -> tuple[np.ndarray, list[int]]:
     """Basins with too few rows join the nearest that has enough (G7, J13); renumbered from left to right."""
-    at = np.array([(gx[b % len(gx)], gy[b // len(gx)]) for b in bottoms])
-    keep = [i for i in range(len(bottoms)) if counts[i] >= minimum] or [int(np.argmax(counts))]
-    keep.sort(key=lambda i: at[i][0])
-    to = [keep.index(i) if i in keep else int(((at[keep] - at[i]) ** 2).sum(1).argmin()) for i in range(len(bottoms))]
-    return np.array(to)[labels], [bottoms[i] for i in keep]
+    row, col = np.divmod(np.asarray(bottoms), len(gx))
+    x, y = np.asarray(gx)[col], np.asarray(gy)[row]
+    enough = np.asarray(counts) >= minimum
+    if not enough.any():
+        enough[np.argmax(counts)] = True
+    kept = np.flatnonzero(enough)
+    kept = kept[np.argsort(x[kept], kind="stable")]
+    target = np.hypot(x[:, None] - x[kept], y[:, None] - y[kept]).argmin(axis=1)
+    target[kept] = np.arange(len(kept))
+    return target[labels], [bottoms[k] for k in kept]
 
 
 def landscape(df: DataFrame, vector: str, d: int, label: str = "hard", *, nx: int = 140, ny: int = 140, barrier: float = 0.5, min_share: float = 0.02) -> tuple[DataFrame, dict]:

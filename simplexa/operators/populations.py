@@ -65,28 +65,21 @@ def project_to_simplex(v: np.ndarray) -> np.ndarray:
 
 def deconvolve(pi: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Populations x with C'x = pi, on the simplex (L2)."""
-    try:
-        x = np.linalg.solve(c.T, pi)
-    except np.linalg.LinAlgError:
-        x = np.linalg.lstsq(c.T, pi, rcond=None)[0]
-    return project_to_simplex(x)
+    return project_to_simplex(np.linalg.lstsq(c.T, pi, rcond=None)[0])
 
 
 def corrected(df: DataFrame, k: int) -> DataFrame:
-    """Observed, soft and confusion-corrected populations of every class."""
-    from simplexa.operators.confusion import soft_posterior_confusion
-
-    spark = df.sparkSession
-    conf = soft_posterior_confusion(df, k)
-    pi = observed(df, k)
-    c, p = np.zeros((k, k)), np.zeros(k)
-    for r in conf.collect():  # k * k cells
-        c[r.i, r.j] = r.value
-    for r in pi.collect():
-        p[r["class"]] = r.fraction
-    x = deconvolve(p, sanitise(c))
-    fixed = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "class int, corrected_soft double")
-    return pi.select("class", F.col("fraction").alias("observed_hard")).join(soft(df, k).withColumnRenamed("fraction", "observed_soft"), "class").join(fixed, "class")
+    """Observed, soft and confusion-corrected populations of every class, from one aggregation by hard class."""
+    by = df.groupBy("hard").agg(F.count("*").alias("n"), *[F.sum(F.get("posterior", F.lit(i))).alias(f"s{i}") for i in range(k)])
+    n, mass = np.zeros(k), np.zeros((k, k))  # mass[i, j]: of component i in the rows of hard class j
+    for r in by.collect():  # a row a class
+        n[r.hard] = r.n
+        mass[:, r.hard] = [r[f"s{i}"] for i in range(k)]
+    rows = max(n.sum(), 1.0)
+    confusion = mass / np.maximum(mass.sum(axis=1, keepdims=True), 1e-12)
+    x = deconvolve(n / rows, sanitise(confusion))
+    out = [(i, float(n[i] / rows), float(mass[i].sum() / rows), float(x[i])) for i in range(k)]
+    return df.sparkSession.createDataFrame(out, "class int, observed_hard double, observed_soft double, corrected_soft double")
 
 
 def simplex_projection(df: DataFrame, group: str, index: str, value: str) -> DataFrame:

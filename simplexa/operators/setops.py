@@ -43,7 +43,7 @@ def combine(a: DataFrame, b: DataFrame, kind: str, key: str = "row_id") -> DataF
 
 def rebase(selection: DataFrame, earlier: DataFrame) -> DataFrame:
     """Numbers within a filtered selection as original row numbers (U5); ``earlier``: position, row_id."""
-    return selection.join(earlier, selection.row_id == earlier.position).select(earlier.row_id)
+    return earlier.join(selection.select(F.col("row_id").alias("position")), "position").select("row_id")
 
 
 def positions(selection: DataFrame, key: str = "row_id") -> DataFrame:

@@ -75,11 +75,6 @@ def deconvolved_3x3(spark, sf):
     return populations.corrected(fx.prot_a(spark, sf), K).select("class", F.col("corrected_soft").alias("corrected"))
 
 
-@query()
-def corrected_populations(spark, sf):
-    return populations.corrected(fx.prot_a(spark, sf), K)
-
-
 @query("select c.i::int as class_index, 'P'||c.i as label, case when c.i<1 then 'dummy' else 'protein' end as kind, count(h.h) as hard_count, round(count(h.h)/(select count(*) from fx_job_a)::double, 6) as hard_fraction from range(4) c(i) left join (select list_position(posterior,list_max(posterior))-1 as h from fx_job_a) h on h.h=c.i group by c.i", "fx_job_a")
 def class_occupancy(spark, sf):
     return populations.occupancy(fx.job_a(spark, sf), 4, 1)
@@ -581,12 +576,22 @@ def cca(spark, sf):
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(latent.canonical_correlations(t, "a", 2, "b", 2))], "i int, corr double")
 
 
-@query()
+LG = lambda x: f"lgamma(({x})+1)"
+
+
+@query(
+    T + ", m as (select sum(n) as m from t), ra as (select i, sum(n) as a from t group by 1), rb as (select j, sum(n) as b from t group by 1), h as (select (select -sum(a/m*ln(a/m)) from ra, m) as ha, (select -sum(b/m*ln(b/m)) from rb, m) as hb, (select sum(n/m*ln(n*m/(a*b))) from t join ra using (i) join rb using (j), m) as mi), "
+    f"e as (select sum(k/m*ln(m*k/(a*b))*exp({LG('a')}+{LG('b')}+{LG('m-a')}+{LG('m-b')}-{LG('m')}-{LG('k')}-{LG('a-k')}-{LG('b-k')}-{LG('m-a-b+k')})) as emi from (select a, b, m, unnest(range(greatest(1, a+b-m)::bigint, least(a,b)::bigint+1))::double as k from ra, rb, m)) select round((mi-emi)/((ha+hb)/2-emi), 6) as ami from h, e",
+    "fx_prot_a", "fx_prot_b",
+)
 def ami(spark, sf):
     return spark.createDataFrame([(agreement.ami(agreement.contingency_local(_both(spark, sf), "hard_a", "hard_b")),)], "ami double")
 
 
-@query()
+@query(
+    ", d as (select a.uid, a.hard as own, b.hard as other, avg(sqrt(" + "+".join(f"pow(a.z[{i}]-b.z[{i}],2)" for i in (1, 2, 3, 4)) + ")) as d from fx_latent a join fx_latent b on a.uid<>b.uid group by 1,2,3), s as (select uid, max(case when own=other then d end) as a, min(case when own<>other then d end) as b from d group by 1) select round(avg(case when a is null or b is null then 0 else (b-a)/greatest(a,b) end), 6) as silhouette from s",
+    "fx_latent",
+)  # the sample of 8,000 rows holds the whole table of every test scale
 def silhouette(spark, sf):
     return agreement.silhouette(fx.latent(spark, sf), "z", "hard", 8_000)
 
@@ -605,8 +610,12 @@ def conditional_mean_path(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from simplexa.plans import more_queries  # noqa: F401  (registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from simplexa.plans import more_queries  # noqa: F401
+
     return dict(ORACLES)

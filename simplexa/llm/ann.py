@@ -12,7 +12,8 @@ all rows hold is one entry; parts are searched in blocks of bounded size, each b
 of its own, and the best of each block are merged by query.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or
-non-finite components, and rows without an id, take no part; rows with the query's id are
+non-finite components, and rows without an id, take no part; an id with several vectors asks
+with the smallest of them; rows with the query's id are
 never its candidates; ties go to the smaller id; with fewer than ``k`` candidates all are
 returned; a query whose parts hold too few is searched against all parts.
 """
@@ -135,10 +136,14 @@ class Model:
         return np.argsort(-self.router(x), axis=1, kind="stable")[:, :n]
 
 
-def learn(x: np.ndarray, total: int, *, k: int = 10, part_rows: int = 2048, max_parts: int = 64, target_recall: float = 0.97, seed: int = 7) -> Model:
-    """Parts, router and number of probes from a sample of ``total`` vectors."""
-    parts = int(min(max_parts, max(1, total // part_rows), max(1, len(x) // (4 * k))))
-    if parts < 4:
+def learn(x: np.ndarray, total: int, *, k: int = 10, part_rows: int = 1024, target_recall: float = 0.97, seed: int = 7) -> Model:
+    """Parts, router and number of probes from a sample of ``total`` vectors.
+
+    A part for every ``part_rows`` vectors, at least eight, as far as the sample has
+    4 k vectors for each; only tables of fewer than 8 k vectors have no parts to learn.
+    """
+    parts = min(max(8, total // part_rows), len(x) // (4 * k))
+    if parts < 2:
         return Model(None, 1, 1)
     rng = np.random.default_rng(seed)
     graph = neighbour_graph(x, k)
@@ -249,10 +254,10 @@ def search(vectors: DataFrame, *, every: int = 100, k: int = 10, sample_rows: in
     placed = scratch.table(_routed(entries, model, 1, _ENTRY))
     # parts of more rows than a block are searched in several
     blocks = placed.groupBy("part").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    rows = placed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).select("part", "block", "vec", "ids")  # at most max_parts rows
+    rows = placed.join(F.broadcast(blocks), "part").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")).select("part", "block", "vec", "ids")  # a row a part, of which the sample bounds the number
     wanted = vectors.select(F.col("vec_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vec", lambda v: v != 0)
-    wanted = wanted.where((F.col("query_id") % every == 0) & (F.size("vec") == dims.d) & finite).dropDuplicates(["query_id"])
+    wanted = wanted.where((F.col("query_id") % every == 0) & (F.size("vec") == dims.d) & finite).groupBy("query_id").agg(F.min("vec").alias("vec"))
 
     def run(asked: DataFrame, probes: int) -> DataFrame:
         routed = _routed(asked.select("query_id", "vec"), model, probes, "query_id long, vec array<double>")

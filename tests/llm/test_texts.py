@@ -1,8 +1,12 @@
 """Operators that judge a text by itself: BPE, toxicity, secrets, pages."""
 
+import time
+import re
 import base64
 import hashlib
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -186,3 +190,35 @@ def test_page_table(spark):
     got = html_extract.extract(df).collect()
     assert len(got) == 4 and {r.n_chars for r in got if r.page_id != 1} == {0} and all(r.n_chars == len(r.text) for r in got)
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def neutral(page, every=False):
+    """The page with all telling names taken away; with ``every`` all its elements are alike."""
+    names = "article|nav|aside|footer|header|form|main|section" + ("|ul|li|p|h1|h2|h3|ol|table|td|tr" if every else "")
+    return re.sub(r'\s(class|id|role)="[^"]*"', "", re.sub(rf"<(/?)({names})\b[^>]*>", r"<\1div>", page))
+
+
+def test_pages_without_telling_names(spark, sf01):
+    pages = spark.read.parquet(f"{sf01}/pages.parquet")
+    weights = html_extract.fit(pages)
+    told = [r.html for r in pages.select("html").collect()]
+    changed = 0
+    for every, least in ((False, 0.99), (True, 0.95)):
+        both = kept = true = 0
+        for page in told:
+            truth = set(html_extract.main_text(page, weights).split("\n"))
+            found = html_extract.blocks(neutral(page, every))
+            labels = html_extract.label(found, weights)
+            changed += sum(k != (c > 0) for k, c in zip(labels, html_extract.costs(found, weights) if found else [], strict=True))
+            both += sum(k and b.text in truth for b, k in zip(found, labels, strict=True))
+            kept += sum(labels)
+            true += sum(b.text in truth for b in found)
+        assert both >= least * kept and both >= least * true
+    assert changed > 0  # by the cut
+
+
+def test_deep_pages_in_linear_time():
+    for page in ("<div>" * 20_000 + "x" + "<p>a</p></b>" * 20_000, "<b>" * 20_000 + "<p>t</i>" * 20_000, "<div>t" * 20_000):
+        start = time.time()
+        html_extract.main_text(page)
+        assert time.time() - start < 10

@@ -3,9 +3,10 @@
 A lexer reads source and configuration syntax out of free text.  Three rules yield
 the base kinds: ``assign`` (a sensitive target name, an assignment sign, a value),
 ``access`` and ``hex`` (token shapes).  A fourth rule reads every assignment
-(``name = "literal"``, ``"name": 'literal'``, ``NAME=literal``, ``a = b``) into
+(``name = "literal"``, ``"name": 'literal'``, ``NAME=literal``, ``a = b``,
+``name = f("literal")``, ``<name>literal</name>``, the first line of a block scalar) into
 name-literal and name-name pairs.  Names bound to names are resolved to the literals
-behind them (constant propagation), and every literal is scored by how sensitive the
+bound to them there (constant propagation in the order of the text), and every literal is scored by how sensitive the
 names that reach it are and by its own randomness.  Literals that score at least
 ``threshold`` and overlap no base span are added as ``literal``, or as ``constant``
 where only propagation makes them sensitive.
@@ -23,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,12 +41,15 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "literal", "constant")
 
-#: name ["'] sign value; the value is a quoted literal or a bare token.  Names and blanks
-#: are of any length and possessive, so that the search stays linear.
+NAME, QUOTED = r"[A-Za-z_][A-Za-z0-9_.-]*+", r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')"""
+#: An assignment (a quoted literal with escapes, a call, the first line of a block scalar, or a bare token behind the
+#: sign) or an element around a literal.  Names and blanks are of any length and possessive, so that the search stays linear.
 PAIR = re.compile(
-    r"""(?<![A-Za-z0-9_.-])(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:"(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<bare>[A-Za-z0-9+/_.=-]+))""",
+    rf"""(?<![A-Za-z0-9_.-])(?P<name>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:(?P<quoted>{QUOTED})|(?P<call>{NAME})\((?P<args>[^()\n]*+)\)|[|>][+-]?[ \t]*+\n[ \t]++(?P<block>[^\s]++)|(?P<bare>[A-Za-z0-9+/_.=-]+))"""
+    rf"""|<(?P<element>{NAME})(?:[ \t][^<>\n]*+)?>[ \t]*+(?P<inner>[^<>\s]++)[ \t]*+</""",
     re.ASCII,
 )
+STRING = re.compile(QUOTED, re.ASCII)
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How strongly a word of a target name tells of a secret.
@@ -80,50 +86,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def lexed(text: str) -> list[tuple[str, int, int, bool]]:
-    """(name, start and end of the value, quoted) of every assignment."""
+    """(name, start and end of the value, literal for certain) of every assignment, call argument and element."""
     pairs = []
     for m in PAIR.finditer(text):
-        which = "d" if m["d"] is not None else "s" if m["s"] is not None else "bare"
-        pairs.append((m["name"], *m.span(which), which != "bare"))
+        if m["element"] is not None:
+            pairs.append((m["element"], *m.span("inner"), True))
+        elif m["quoted"] is not None:
+            pairs.append((m["name"], m.start("quoted") + 1, m.end("quoted") - 1, True))
+        elif m["call"] is not None:
+            at = m.start("args")
+            pairs += [(m["name"], at + q.start() + 1, at + q.end() - 1, True) for q in STRING.finditer(m["args"])]
+        else:
+            which = "block" if m["block"] is not None else "bare"
+            pairs.append((m["name"], *m.span(which), which == "block"))
     return pairs
 
 
+def reached(text: str, pairs: list[tuple[str, int, int, bool]]) -> dict[int, float]:
+    """The greatest sensitivity that reaches each binding through names bound to its name.
+
+    A name stands for its latest binding before, or, where there is none, its first behind.
+    """
+    bound: dict[str, list[int]] = {}
+    for i, (name, *_) in enumerate(pairs):
+        bound.setdefault(name, []).append(i)
+
+    def target(i: int) -> int | None:
+        name, a, b, literal = pairs[i]
+        if literal or not IDENT.match(value := text[a:b]) or value == name or not (at := bound.get(value)):
+            return None
+        k = bisect_left(at, i)
+        return at[k - 1] if k else at[0]
+
+    best: dict[int, float] = {}
+    follow = [(score, i) for i, (name, *_) in enumerate(pairs) if (score := name_score(name)) > 0]
+    for score, i in follow:  # grows while names lead on
+        t = target(i)
+        if t is not None and score > best.get(t, 0.0):
+            best[t] = score
+            follow.append((score, t))
+    return best
+
+
 def added_spans(text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     pairs = lexed(text)
     if not pairs:
         return []
-    direct: dict[tuple[int, int], float] = {}
-    reach: dict[tuple[int, int], float] = {}
-    literals: dict[str, list[tuple[int, int]]] = {}
-    names: dict[str, set[str]] = {}
-    for name, a, b, quoted in pairs:
-        value = text[a:b]
-        if not quoted and IDENT.match(value) and value != name:
-            names.setdefault(name, set()).add(value)
-        literals.setdefault(name, []).append((a, b))
-        direct[a, b] = max(direct.get((a, b), 0.0), name_score(name))
-    # each sensitive name passes its score on along name = name bindings
-    best: dict[str, float] = {}
-    heap = sorted(((name_score(n), n) for n in names if name_score(n) > 0))
-    while heap:
-        score, name = heap.pop()
-        for other in names.get(name, ()):
-            if score > best.get(other, 0.0):
-                best[other] = score
-                heap.append((score, other))
-    for name, score in best.items():
-        for span in literals.get(name, ()):
-            reach[span] = max(reach.get(span, 0.0), score)
-    found, at = [], 0
-    for a, b in sorted(direct):
-        own, far = direct[a, b], reach.get((a, b), 0.0)
+    reach = reached(text, pairs)
+    spans: dict[tuple[int, int], tuple[float, float]] = {}
+    for i, (name, a, b, _) in enumerate(pairs):
+        own, far = spans.get((a, b), (0.0, 0.0))
+        spans[a, b] = max(own, name_score(name)), max(far, reach.get(i, 0.0))
+    starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    found = []
+    for (a, b), (own, far) in sorted(spans.items()):
         if max(own, far) <= 0 or (value := literal_score(text[a:b])) <= 0 or max(own, far) + value < threshold:
             continue
-        while at < len(base) and base[at][2] <= a:
-            at += 1
-        if any(s < b and e > a for s, _, e in base[max(0, at - 3) : at + 3]):
+        before = bisect_left(starts, b)  # base spans that start before the end
+        if before and ends[before - 1] > a:
             continue
         found.append((a, 3 if own >= far else 4, b))
     return found

@@ -222,3 +222,18 @@ def test_deep_pages_in_linear_time():
         start = time.time()
         html_extract.main_text(page)
         assert time.time() - start < 10
+
+
+def test_lexed_forms():
+    secret = "Zx81kPq92LmVbT55"
+    for text in (f'signing_key = load("{secret}")', f"<db-pwd> {secret} </db-pwd>", f"private_key: |\n    {secret}\n", 'pwd = "Zx81k\\"Pq92LmVbT55"', f'auth = f("a", \'{secret}\')'):
+        got = [text[a:b] for a, _, b in secret_scan.added_spans(text, secret_scan.base_spans(text), 5.0)]
+        assert got in ([secret], ['Zx81k\\"Pq92LmVbT55'])
+    # the binding in force counts; a name that is bound later stands for its first binding
+    text = 'a = "Qw82kPq92LmVbT55"\na = "Zx81kPq92LmVbT55"\ndb_pwd = a\n'
+    assert [text[a:b] for a, _, b in secret_scan.added_spans(text, [], 5.0)] == [secret]
+    text = 'db_pwd = a\na = b\nb = "Zx81kPq92LmVbT55"\n'
+    assert [text[a:b] for a, _, b in secret_scan.added_spans(text, [], 5.0)] == [secret]
+    start = time.time()
+    secret_scan.added_spans("a = b\nb = a\n" * 20_000 + 'x: "' + "\\" * 100_000 + "<a" * 50_000, [], 5.0)
+    assert time.time() - start < 10

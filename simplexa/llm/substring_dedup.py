@@ -223,8 +223,6 @@ class FingerprintIndex:
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Add a batch (doc, text); returns (doc, pos, packed) of places whose fingerprint is not unique."""
-        if len(self.runs) > self.max_runs:
-            self.compact()
         w = Window.partitionBy("fp", F.col("pos") < 0)
         dealt = fingerprints(docs, self.window, self.anchor).repartition(self.buckets, "fp")
         ranked = dealt.withColumn("total", F.sum("n").over(w)).withColumn("nth", F.row_number().over(w.orderBy("doc", "pos")))
@@ -240,6 +238,11 @@ class FingerprintIndex:
         self.runs.append(new)
         return found
 
+    def settle(self) -> None:
+        """Compact if there are more than ``max_runs`` runs; what ``ingest`` returned must be written by then."""
+        if len(self.runs) > self.max_runs:
+            self.compact()
+
     def drop(self) -> None:
         for i in range(1, self.made + 1):
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
@@ -337,7 +340,7 @@ def _digests(pending: DataFrame, window: int, anchor: int) -> DataFrame:
 _OUT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def dedup(docs: DataFrame, *, window: int = 20, anchor: int = 10, batches: int = 2, max_runs: int = 4, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, window: int = 20, anchor: int = 10, batches: int = 2, max_runs: int = 1, texts: bool = False) -> DataFrame:
     """One row per document: its words, how many are removed, digest of the rest (with ``texts`` also the rest)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -354,6 +357,7 @@ def dedup(docs: DataFrame, *, window: int = 20, anchor: int = 10, batches: int =
         if i < len(cuts):
             part = part.where(F.col("doc") <= cuts[i])
         found = early.table(index.ingest(part))
+        index.settle()
         candidates = found if candidates is None else candidates.unionByName(found)
     index.drop()
     prepared = scratch.table(_prepare(docs, candidates), "prepared")

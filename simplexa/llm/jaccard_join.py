@@ -278,9 +278,9 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     grouped = members.join(hubs, "sig").select("hub", "doc", "comp").distinct()
     diffs = scratch.table(_differences(grouped, sets, percent))
     each = diffs.select("hub", "doc", "comp", "linked", "need", "least", F.explode("diff").alias("e"))
-    often = each.groupBy("hub", "e").agg(F.count("*").alias("n")).where("n > 1")
     own = Window.partitionBy("hub", "doc")
-    shared = each.join(often.hint("merge"), ["hub", "e"]).withColumn("nth", F.row_number().over(own.orderBy("n", "e"))).withColumn("both", F.count("*").over(own))
+    counted = each.withColumn("n", F.count("*").over(Window.partitionBy("hub", "e"))).where("n > 1")
+    shared = counted.withColumn("nth", F.row_number().over(own.orderBy("n", "e"))).withColumn("both", F.count("*").over(own))
     first = lambda bound: F.col("nth") <= F.col("both") - F.col(bound) + 1
     shared = scratch.table(shared.select("hub", "e", "doc", "comp", first("need").alias("front"), (~F.col("linked") & first("least")).alias("apart")).where("front or apart"))
     y = shared.where("front").select("hub", "e", F.col("doc").alias("y"), F.col("comp").alias("cy"))

@@ -1,8 +1,8 @@
 """Bootstrap by Poisson weights.
 
-Every row gets a weight for each replicate as a function of (row, replicate, seed), so
-replicates are columns of one aggregation: no row is copied and nothing but class sums
-is shuffled.
+Every row gets a weight for each replicate as a function of (row, replicate, seed).  Rows
+are exploded by replicate, some at a time, before the partial aggregation, so nothing but
+class sums is shuffled.
 """
 
 from __future__ import annotations

@@ -66,8 +66,14 @@ class CsReader(DataSourceReader):
             yield (p.start + i, *values) if "row_id" in self.names else tuple(values)
 
 
+def _encoded(v):
+    if isinstance(v, list | tuple):
+        return [_encoded(x) for x in v]
+    return v.encode() if isinstance(v, str) else v
+
+
 class CsWriter(DataSourceWriter):
-    """One file a task: ``<path>/part-<n>.cs``, in the types of ``schema``."""
+    """One file a task: ``<path>/part-<n>.cs``, in the types of ``schema``; text as UTF-8, as wide as the file's longest."""
 
     def __init__(self, path: str, schema: StructType):
         self.path, self.schema = path, schema
@@ -76,11 +82,12 @@ class CsWriter(DataSourceWriter):
         out = []
         for i, f in enumerate(self.schema.fields):
             t, shape = f.dataType, []
-            v = rows[0][i]
+            values = [r[i] for r in rows]
             while isinstance(t, ArrayType):
-                shape.append(len(v))
-                v, t = v[0], t.elementType
-            base = "f4" if isinstance(t, FloatType) else "f8" if isinstance(t, DoubleType) else "S256" if isinstance(t, StringType) else "u8" if f.name == "uid" else "i8" if isinstance(t, LongType) else "i4"
+                shape.append(len(values[0]))
+                values, t = [x for v in values for x in v], t.elementType
+            wide = max((len(v) for v in values), default=0) if isinstance(t, StringType) else 0
+            base = "f4" if isinstance(t, FloatType) else "f8" if isinstance(t, DoubleType) else f"S{max(1, wide)}" if isinstance(t, StringType) else "u8" if f.name == "uid" else "i8" if isinstance(t, LongType) else "i4"
             out.append((f.name, base, tuple(shape)) if shape else (f.name, base))
         return np.dtype(out)
 
@@ -89,7 +96,7 @@ class CsWriter(DataSourceWriter):
 
         from pyspark import TaskContext
 
-        rows = [tuple(r) for r in iterator]
+        rows = [tuple(_encoded(v) for v in r) for r in iterator]
         if rows:
             dt = self._dtype(rows)
             fix = [tuple(int(np.int64(v).astype(np.uint64)) if dt[i] == np.dtype("u8") else v for i, v in enumerate(r)) for r in rows]

@@ -68,3 +68,14 @@ def test_stream_equals_batch(spark, sf001, tmp_path):
     got = {(r.i, r.j): r.value for r in stream.confusion_of(spark.table("sums"), 3).collect()}
     want = {(r.i, r.j): r.value for r in confusion.soft_posterior_confusion(batch, 3).collect()}
     assert all(abs(got[k] - v) < 1e-9 for k, v in want.items())
+
+
+def test_cs_strings_whole(spark, tmp_path):
+    """Text of any length and alphabet is written whole, alone and in arrays."""
+    texts = ["", "x" * 300, "é" * 400, "μ.mrc"]
+    df = spark.createDataFrame([(i, t, [t, "a"]) for i, t in enumerate(texts)], "uid long, path string, both array<string>").coalesce(1)
+    df.write.format("cs").option("path", str(tmp_path / "out")).mode("append").save()
+    rows = formats.read_cs(spark, str(next((tmp_path / "out").glob("*.cs"))), columns=["uid", "path"]).collect()
+    assert {r.uid: r.path for r in rows} == dict(enumerate(texts))
+    back = np.load(next((tmp_path / "out").glob("*.cs")))
+    assert [x.decode() for x in back["both"][:, 0]] == texts

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
-from simplexa.operators import agreement, confusion, exports, filters, joins, landscape, latent, ordered, populations, setops, volumes
+from simplexa.operators import agreement, confusion, exports, filters, joins, landscape, latent, modes, ordered, populations, setops, volumes
 from simplexa.plans import fixtures as fx
 from simplexa.plans.catalog import BOTH, ORACLES, P3, K, _both, query
 
@@ -376,3 +376,8 @@ def map_zscores(spark, sf):
 def map_reproducibility(spark, sf):
     maps = _maps(spark, sf)
     return volumes.reproducibility(maps, volumes.shared_mask(maps, 0.9))
+
+
+@query()
+def mode_count(spark, sf):
+    return modes.mode_count(fx.latent(spark, sf), "z")

@@ -282,3 +282,25 @@ def test_referee(both):
     assert 0 < m["ari"] <= 1 and 0 < m["agreement"] <= 1
     out = ensemble.export_weights(both, 0.5, 2.0, 3, 3)
     assert out.count() == both.count()
+
+
+def test_mode_count(spark):
+    """Separate clouds are modes of their own; centres are fixed points further apart than the width; no rows, no modes."""
+    from simplexa.operators import modes
+
+    rng = np.random.default_rng(3)
+    clouds = [rng.normal(c, 0.3, (200, 2)) for c in ((0, 0), (8, 0), (0, 9), (9, 9), (20, 4))]
+    rows = [(i, z.tolist()) for i, z in enumerate(np.concatenate(clouds))]
+    df = spark.createDataFrame([*rows, (9999, None)], "uid long, z array<double>")
+    got = modes.mode_count(df, "z").first()
+    assert (got.modes, got.sampled) == (5, 1000) and 0 < got.bandwidth < 4
+    x = clouds[0]
+    assert len(modes.mean_shift(x, 1.0)) == 1
+    width = modes.bandwidth(x)
+    centres = modes.mean_shift(x, width)
+    for i, c in enumerate(centres):
+        assert np.linalg.norm(x[np.linalg.norm(x - c, axis=1) <= width].mean(0) - c) <= 2e-3 * width
+        assert all(np.linalg.norm(c - o) > width for o in centres[:i])
+    assert modes.mode_count(df.where("uid < 0"), "z").first().modes == 0
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "uid long, z array<double>")
+    assert modes.mode_count(same, "z").first().modes == 1

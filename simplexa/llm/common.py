@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,13 @@ class Scratch:
         df.write.bucketBy(buckets, key).option("path", self.path(name)).format("parquet").saveAsTable(table)
         return self.spark.table(table)
 
+    def forget(self, table: str) -> None:
+        """Drop one bucketed table with its files."""
+        self.tables.remove(table)
+        location = self.spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first().data_type
+        self.spark.sql(f"DROP TABLE {table}")
+        self.remove(location)
+
     def remove(self, path: str) -> None:
         jvm = self.spark.sparkContext._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -82,5 +90,18 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the jobs run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ship(spark)
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def only(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])

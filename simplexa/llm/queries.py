@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from simplexa.llm import ann, bpe, decontam, html_extract, jaccard_join, line_dedup, lm, secret_scan, substring_dedup, toxicity
+from simplexa.llm import ann, bpe, centroid_clustering, decontam, exact_dedup, html_extract, jaccard_join, line_dedup, lm, phrases, secret_scan, substring_dedup, toxicity
 from simplexa.llm.common import read_table
 
 
@@ -57,8 +57,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(read_table(spark, sf_dir, "documents"))[0]
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup(read_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_jaccard_join": op10_jaccard_join}
+    return {"op1_bpe": op1_bpe, "op2_substring_dedup": op2_substring_dedup, "op3_line_dedup": op3_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_toxicity": op5_toxicity, "op6_decontamination": op6_decontamination, "op7_html_extraction": op7_html_extraction, "op8_secrets": op8_secrets, "op9_nearest_neighbours": op9_nearest_neighbours, "op10_jaccard_join": op10_jaccard_join, "op11_exact_dedup": op11_exact_dedup, "op12_centroid_clustering": op12_centroid_clustering, "op13_phrase_collocations": op13_phrase_collocations}
 
 
 #: Words are joined by a space, which none of them holds.
@@ -99,5 +111,43 @@ from w left join size using (doc_id)
 """
 
 
+_OP11 = """
+with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+g as (select t, max(doc_id) as keep_id, count(*) as group_size from t group by t)
+select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, sha256(t) as text_sha256 from t join g using (t)
+"""
+
+
+def _op12(k: int = 8, rounds: int = 10) -> str:
+    """Every round as two views: distances to the nearest centroid, then floors of means (``//`` truncates)."""
+    fine = "len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and not isnan(x) and not isinf(x))) = 64"
+    views = [
+        f"kept as materialized (select row_number() over () as r, vec_id, embedding as e, sha256('3:' || vec_id::varchar) as h from embeddings where {fine})",
+        "x as materialized (select r, i, floor(1024 * e[i]::double)::bigint as v from kept, unnest(range(1, 65)) t(i))",
+        f"c0 as materialized (select s.k, x.i, x.v from (select r, row_number() over (order by h nulls last, e) - 1 as k from kept order by h nulls last, e limit {k}) s join x using (r))",
+    ]
+    for n in range(rounds + 1):
+        views.append(f"a{n} as materialized (select r, arg_min(k, d * {k} + k) as k, min(d) as d from (select x.r, c.k, sum((x.v - c.v) * (x.v - c.v))::bigint as d from x join c{n} c using (i) group by 1, 2) group by r)")
+        if n < rounds:
+            views.append(f"m{n} as materialized (select a.k, x.i, sum(x.v)::bigint as s, count(*) as n from a{n} a join x using (r) group by 1, 2)")
+            views.append(f"c{n + 1} as materialized (select c.k, c.i, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, c.v) as v from c{n} c left join m{n} m on m.k = c.k and m.i = c.i)")
+    last = f"select vec_id, a.k::int as cluster, a.d as distance, (sum(a.d) over (partition by a.k))::bigint as cluster_inertia, (sum(a.d) over ())::bigint as inertia, f.s as centroid_sha256 from kept join a{rounds} a using (r) join (select k, sha256(string_agg(v::varchar, ',' order by i)) as s from c{rounds} group by k) f on f.k = a.k"
+    return "with " + ", ".join(views) + " " + last
+
+
+_OP13 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+w as materialized (select lang, regexp_extract_all(p, '[^\x20\x09]+') as w from p),
+g as materialized (select lang, k, array_to_string(list_slice(w, s, s + k - 1), ' ') as phrase, count(*) as f from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from w, unnest(range(1, 6)) t(k)) group by all having count(*) >= 100),
+n as (select lang, sum(len(w))::bigint as n from w group by lang),
+c as materialized (select lang, phrase, f as a, k as words, string_split(phrase, ' ') as v from g where k >= 2),
+held as (select lang, array_to_string(list_slice(v, s, s + k - 1), ' ') as phrase, max(a) as most from (select *, unnest(range(1, words - k + 2)) as s from c, unnest(range(2, 5)) t(k) where k < words) group by all),
+cuts as (select c.lang, c.phrase, a, k, array_to_string(v[1:k], ' ') as x, array_to_string(v[k + 1:], ' ') as y from c left join held using (lang, phrase), unnest(range(1, 5)) t(k) where k < words and (most is null or 100 * most < 100 * a)),
+s as (select cuts.lang, cuts.phrase, a, cuts.k as k, l.f as l, r.f as r, n, ((1000::hugeint * a * n) // (l.f::hugeint * r.f))::bigint as score from cuts join g l on l.lang = cuts.lang and l.phrase = x join g r on r.lang = cuts.lang and r.phrase = y join n on n.lang = cuts.lang),
+b as (select *, row_number() over (partition by lang, phrase order by score, k) as best from s)
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank, phrase, a, l, r, n, score from b where best = 1) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op10_jaccard_join": _OP10}
+    return {"op2_substring_dedup": _OP2, "op6_decontamination": _OP6, "op10_jaccard_join": _OP10, "op11_exact_dedup": _OP11, "op12_centroid_clustering": _op12(), "op13_phrase_collocations": _OP13}

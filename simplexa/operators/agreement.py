@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
+from simplexa.operators.quantiles import quantiles
 from simplexa.operators.joins import align
 
 
@@ -100,7 +101,7 @@ def posterior_quality(df: DataFrame, k: int, posterior: str = "posterior") -> Da
     """One row: largest component, margin and entropy of all posteriors."""
     t = df.select(F.array_max(posterior).alias("m"), sx.top2_margin(F.col(posterior)).alias("g"), sx.entropy(F.col(posterior)).alias("h"))
     return t.agg(
-        F.count("*").alias("n"), F.avg("m").alias("mean_max"), F.stddev_pop("m").alias("sd_max"), F.percentile("m", 0.5).alias("median_max"),
+        F.count("*").alias("n"), F.avg("m").alias("mean_max"), F.stddev_pop("m").alias("sd_max"), F.lit(quantiles(t, "m", [0.5])[0]).cast("double").alias("median_max"),
         F.avg((F.col("m") > 0.5).cast("double")).alias("share_05"), F.avg((F.col("m") > 0.8).cast("double")).alias("share_08"), F.avg((F.col("m") > 0.9).cast("double")).alias("share_09"),
         F.avg("g").alias("mean_margin"), F.stddev_pop("g").alias("sd_margin"), F.avg("h").alias("mean_entropy"),
         F.avg((F.col("h") > 0.95 * math.log(k)).cast("double")).alias("share_near_uniform"),
@@ -142,7 +143,7 @@ def label_confidence(df: DataFrame, column: str) -> DataFrame:
     c = F.col(column)
     ok = df.where(c.isNotNull() & ~F.isnan(c))
     tail = lambda t: F.avg((c > t).cast("double"))
-    return ok.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.percentile(c, 0.5).alias("median"), tail(0.5).alias("share_05"), tail(0.9).alias("share_09"), tail(0.99).alias("share_099"))
+    return ok.agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.lit(quantiles(ok, c, [0.5])[0]).cast("double").alias("median"), tail(0.5).alias("share_05"), tail(0.9).alias("share_09"), tail(0.99).alias("share_099"))
 
 
 def threshold_sweep(df: DataFrame, thresholds: Sequence[float], k: int, label: str = "hard", vector: str = "posterior") -> DataFrame:

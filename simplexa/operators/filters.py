@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
+from simplexa.operators.quantiles import quantiles
 
 
 def class_split(k: int, dummies: int = 6, protein: Sequence[int] | None = None) -> tuple[list[int], list[int]]:
@@ -49,10 +50,10 @@ def above(df: DataFrame, threshold: float, vector: str = "posterior", inclusive:
 
 def confidence_tiers(df: DataFrame, js: str = "js", agree: str = "agree") -> DataFrame:
     """full, hard, hcperm, hc: nested by agreement and by divergence below its 66th and 33rd percentile."""
-    cuts = df.agg(F.percentile(js, 0.66).alias("p66"), F.percentile(js, 0.33).alias("p33"))
+    p66, p33 = (F.lit(x).cast("double") for x in quantiles(df, js, [0.66, 0.33]))
     ok = F.col(agree) == 1
-    tier = F.when(ok & (F.col(js) < F.col("p33")), "hc").when(ok & (F.col(js) < F.col("p66")), "hcperm").when(ok, "hard").otherwise("full")
-    return df.crossJoin(F.broadcast(cuts)).withColumn("tier", tier).drop("p66", "p33")  # one row
+    tier = F.when(ok & (F.col(js) < p33), "hc").when(ok & (F.col(js) < p66), "hcperm").when(ok, "hard").otherwise("full")
+    return df.withColumn("tier", tier)
 
 
 def pair_mass(df: DataFrame, i: int, j: int, k: int) -> DataFrame:

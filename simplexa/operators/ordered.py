@@ -7,12 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from simplexa.operators.quantiles import by_group, quantiles
+
 
 def quantile_cut(df: DataFrame, column: str, k: int, name: str = "cut") -> DataFrame:
     """Equal-population classes by interpolated quantile edges; ties stay together."""
-    edges = df.agg(F.percentile(column, [i / k for i in range(1, k)]).alias("edges"))
-    cut = F.aggregate("edges", F.lit(0), lambda n, e: n + F.when(F.col(column) >= e, 1).otherwise(0))
-    return df.crossJoin(F.broadcast(edges)).withColumn(name, cut).drop("edges")  # one row
+    cut = F.lit(0)
+    for edge in quantiles(df, column, [i / k for i in range(1, k)]):
+        cut = cut + F.when(F.col(column) >= F.lit(edge).cast("double"), 1).otherwise(0)
+    return df.withColumn(name, cut)
 
 
 def turning_points(grid: DataFrame, order: str, value: str) -> DataFrame:
@@ -70,7 +73,9 @@ def conditional_means(df: DataFrame, axis: str, vector: str, d: int, centres: Se
 
 def class_order(df: DataFrame, axis: str = "pc1", label: str = "hard") -> DataFrame:
     """Mean, median and deviation of an axis by class, and the classes' order along it."""
-    t = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"), F.avg(axis).alias("mean"), F.percentile(axis, 0.5).alias("median"), F.stddev_pop(axis).alias("sd"))
+    t = df.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"), F.avg(axis).alias("mean"), F.stddev_pop(axis).alias("sd"))
+    medians = df.sparkSession.createDataFrame([(c, m[0]) for c, m in by_group(df, axis, [0.5], label).items()], f"_c {t.schema['class'].dataType.simpleString()}, median double")
+    t = t.join(F.broadcast(medians), F.col("class").eqNullSafe(F.col("_c")), "left").select("class", "n", "mean", "median", "sd")  # a row a class
     return t.withColumn("order", (F.row_number().over(Window.orderBy("mean", "class")) - 1).cast("int"))  # one row a class
 
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from simplexa.operators.quantiles import quantiles
 from simplexa.session import ship
 
 AXES = ["x", "y", "z"]
@@ -17,8 +18,7 @@ AXES = ["x", "y", "z"]
 def shared_mask(maps: DataFrame, q: float = 0.9) -> DataFrame:
     """Voxels whose mean over all maps exceeds its q-th quantile (V1)."""
     mean = maps.groupBy(*AXES).agg(F.avg("v").alias("m"))
-    cut = mean.agg(F.percentile("m", q).alias("cut"))
-    return mean.crossJoin(F.broadcast(cut)).where("m > cut").select(*AXES)  # one row
+    return mean.where(F.col("m") > F.lit(quantiles(mean, "m", [q])[0]).cast("double")).select(*AXES)
 
 
 def correlation(pair: DataFrame, a: str = "va", b: str = "vb", undefined: float = 0.0) -> DataFrame:
@@ -43,8 +43,8 @@ def difference(pair: DataFrame, mask: DataFrame | None = None) -> tuple[DataFram
 def localisation(diff: DataFrame, share: float = 0.05) -> DataFrame:
     """Share of the squared difference held by the top voxels (V6, W13); ties at the cut count fully."""
     s = diff.select((F.col("d") * F.col("d")).alias("s"))
-    cut = s.agg(F.percentile("s", 1 - share).alias("cut"))
-    return s.crossJoin(F.broadcast(cut)).agg((F.sum(F.when(F.col("s") >= F.col("cut"), F.col("s")).otherwise(0.0)) / F.sum("s")).alias("top_share"))  # one row
+    cut = F.lit(quantiles(s, "s", [1 - share])[0]).cast("double")
+    return s.agg((F.sum(F.when(F.col("s") >= cut, F.col("s")).otherwise(0.0)) / F.sum("s")).alias("top_share"))
 
 
 def core_density(maps: DataFrame, core: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -18,3 +18,14 @@ def ship(spark: SparkSession) -> None:
     paths = env.get("PYTHONPATH", "").split(":") if env.get("PYTHONPATH") else []
     if ROOT not in paths:
         env["PYTHONPATH"] = ":".join([*paths, ROOT])
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder of ``spark.checkpoint.dir``, with its lineage cut.
+
+    Only where that is unset (tests on one machine) a folder beside the warehouse is used.
+    """
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()

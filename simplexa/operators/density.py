@@ -11,8 +11,9 @@ the cells within it, except those that lie in its own component.  The result is
 spanning tree of all mutual reachabilities; edges are ordered by weight and ends, so that
 ties make no cycles.
 
-The condensed tree is built on the driver from the n - 1 tree edges, which is why ``clusters``
-works on a sample of at most ``rows`` points, as the reference analysis does.
+Components are merged and the condensed tree is built on the driver, from no more than n - 1
+tree edges, which is why ``clusters`` works on a sample of at most ``rows`` points, as the
+reference analysis does.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.session import checkpointed, ship
+from simplexa.session import Written, ship
 
 CELL_ROWS = 128
 PIVOTS = 4096
@@ -58,6 +59,9 @@ class Cells:
 
     def __init__(self, pts: DataFrame, cell_rows: int = CELL_ROWS):
         ship(pts.sparkSession)
+        self.spark = pts.sparkSession
+        self.written = Written(self.spark, "density")
+        pts = self.written(pts)
         self.n = pts.count()
         pivots = pts.orderBy(F.xxhash64("id"), "id").limit(min(PIVOTS, max(1, self.n // cell_rows))).select("id", "v").collect()
         self.pivots = np.array([r.v for r in pivots]).reshape(len(pivots), -1)
@@ -70,7 +74,7 @@ class Cells:
                     d = _distances(_matrix(b.column(1)), p)
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "v", "weight", "cell", "off"])
 
-        self.points = checkpointed(pts.select("id", "v", "weight").mapInArrow(place, "id long, v array<double>, weight long, cell int, off double"))
+        self.points = self.written(pts.select("id", "v", "weight").mapInArrow(place, "id long, v array<double>, weight long, cell int, off double"))
         self.radius = np.zeros(len(p))
         for r in self.points.groupBy("cell").agg(F.max("off").alias("r")).collect():  # a row a pivot
             self.radius[r.cell] = r.r
@@ -92,9 +96,9 @@ class Cells:
 
     def visit(self, routed: DataFrame, held: DataFrame, run, schema: str) -> DataFrame:
         """``run`` over the queries and the points of each cell; the queries of a crowded cell are cut into blocks."""
-        routed = checkpointed(routed)
+        routed = self.written(routed)
         rows = routed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).collect()  # a row a pivot at most
-        sizes = lambda: F.broadcast(routed.sparkSession.createDataFrame([tuple(r) for r in rows], "cell int, blocks int"))
+        sizes = lambda: F.broadcast(self.spark.createDataFrame([tuple(r) for r in rows], "cell int, blocks int"))
         asked = routed.join(sizes(), "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
         there = held.join(sizes(), "cell").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         return asked.groupBy("cell", "block").cogroup(there.groupBy("cell", "block")).applyInArrow(run, schema)
@@ -135,16 +139,14 @@ def cores(near: DataFrame, min_samples: int, k: int) -> DataFrame:
     return near.select("id", step["d"].alias("core"), reach.alias("reach"), "near")
 
 
-def _lightest(edges: DataFrame) -> DataFrame:
-    """The first edge of each component in the order of weight and ends."""
-    return edges.groupBy("comp").agg(F.min(F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.col("into"))).alias("e"))
+def _lightest(edges: DataFrame) -> dict[int, tuple]:
+    """The first edge (w, lo, hi, into) of each component in the order of weight and ends."""
+    found = edges.groupBy("comp").agg(F.min(F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "into")).alias("e"))
+    return {r.comp: tuple(r.e) for r in found.collect()}
 
 
-def _to_pivots(cells: Cells, state: DataFrame) -> DataFrame:
+def _to_pivots(cells: Cells, state: DataFrame, ids: np.ndarray, core: np.ndarray, comp: np.ndarray) -> DataFrame:
     """Edges between points and pivots of other components: no component is without one, so all have a bound to search within."""
-    held = {r.id: r for r in state.where(F.col("id").isin(cells.pivot_ids)).select("id", "core", "comp").collect()}
-    there = [held[i] for i in cells.pivot_ids]
-    ids, core, comp = np.array([r.id for r in there]), np.array([r.core for r in there]), np.array([r.comp for r in there])
     p = cells.pivots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,69 +169,72 @@ def _to_pivots(cells: Cells, state: DataFrame) -> DataFrame:
 def reached(cells: Cells, min_samples: int) -> DataFrame:
     """``cores`` of all points, written."""
     k = max(min_samples, 8)
-    return checkpointed(cores(neighbours(cells, k), min_samples, k))
+    return cells.written(cores(neighbours(cells, k), min_samples, k))
 
 
-def spanning_tree(cells: Cells, info: DataFrame) -> DataFrame:
-    """(a, b, w): the minimum spanning tree of mutual reachability, from ``reached``."""
+def spanning_tree(cells: Cells, info: DataFrame) -> list[tuple[int, int, float]]:
+    """(a, b, w): the minimum spanning tree of mutual reachability, from ``reached``.
+
+    Edges are found by Spark; the driver holds the component of each point and the tree,
+    both no longer than the sample.
+    """
+    spark = cells.spark
     core = info.select("id", "core")
     pairs = info.select(F.col("id").alias("a"), F.col("core").alias("ca"), F.explode("near").alias("e")).select("a", "ca", F.col("e.id").alias("b"), F.col("e.d").alias("d")).where("a <> b")
-    graph = pairs.join(core.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w"))
-    graph = checkpointed(graph.unionByName(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).distinct())
-    held = checkpointed(cells.points.select("id", "v", "cell").join(info.select("id", "core", "reach"), "id"))
-    comps = checkpointed(held.select("id", F.col("id").alias("comp")))
-    tree, left = None, cells.n
-    while left > 1:
+    graph = cells.written(pairs.join(core.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b").select("a", "b", F.greatest("d", "ca", "cb").alias("w")))
+    held = cells.written(cells.points.select("id", "v", "cell").join(info.select("id", "core", "reach"), "id"))
+    known_core = core.orderBy("id").toArrow()
+    ids, cored = known_core.column("id").to_numpy(), known_core.column("core").to_numpy()
+    pivot = np.searchsorted(ids, cells.pivot_ids)
+    comp, tree = ids.copy(), {}
+    while len(np.unique(comp)) > 1:
+        comps = spark.createDataFrame(pa.table({"id": ids, "comp": comp}))
+        state = held.join(comps, "id")
         side = lambda x, c: comps.select(F.col("id").alias(x), F.col("comp").alias(c))
-        out = graph.join(side("a", "comp"), "a").join(side("b", "into"), "b").where("comp <> into").select("comp", "a", "b", "w", "into")
-        state = checkpointed(held.join(comps, "id"))
-        known = out.unionByName(_to_pivots(cells, state))
-        first = checkpointed(_lightest(known).select("comp", F.col("e.w").alias("w"), "e"))
-
-        open_ = state.join(first.select("comp", "w"), "comp", "left").select("id", "v", "comp", F.coalesce("w", F.lit(float("inf"))).alias("bound"), "core", "reach").where("reach <= bound and core <= bound")
-        skip = state.groupBy("cell").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")).where("comp = other").select("cell", "comp")
-
-        def foreign(asked: pa.Table, there: pa.Table) -> pa.Table:
-            """The lightest edge of each component among those of a block of queries into a cell."""
-            best: dict[int, tuple] = {}
-            if asked.num_rows and there.num_rows:
-                comp, core, ids, bound = (asked.column(c).to_numpy() for c in ("comp", "core", "id", "bound"))
-                comp2, core2, ids2 = (there.column(c).to_numpy() for c in ("comp", "core", "id"))
-                w = np.maximum(_distances(_matrix(asked.column("v")), _matrix(there.column("v"))), np.maximum(core[:, None], core2[None, :]))
-                w[comp[:, None] == comp2[None, :]] = np.inf
-                low = w.min(1)
-                for i in np.flatnonzero((low <= bound) & np.isfinite(low)):
-                    for j in np.flatnonzero(w[i] == low[i]):
-                        a, b = int(ids[i]), int(ids2[j])
-                        e = (float(low[i]), min(a, b), max(a, b), a, b, int(comp2[j]))
-                        if int(comp[i]) not in best or e[:3] < best[int(comp[i])][:3]:
-                            best[int(comp[i])] = e
-            rows = [(c, e[3], e[4], e[0], e[5]) for c, e in best.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
-            return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["comp", "a", "b", "w", "into"])
-
-        routed = cells.routed(open_, skip).join(core, "id")
-        searched = cells.visit(routed, state.select("cell", "id", "v", "comp", "core"), foreign, "comp long, a long, b long, w double, into long")
-        known = first.select("comp", F.col("e.lo").alias("a"), F.col("e.hi").alias("b"), "w", F.col("e.into").alias("into"))
-        chosen = checkpointed(_lightest(known.unionByName(searched)))
-        new = chosen.select(F.col("e.lo").alias("a"), F.col("e.hi").alias("b"), F.col("e.w").alias("w")).distinct()
-        tree = new if tree is None else tree.unionByName(new)
-
-        # each component points at the one its edge leads into; the smaller of two that point at each other is a root
-        to = chosen.select("comp", F.col("e.into").alias("up"))
-        mutual = to.join(to.select(F.col("comp").alias("up"), F.col("up").alias("upup")), "up", "left")
-        up = checkpointed(mutual.select("comp", F.when((F.col("upup") == F.col("comp")) & (F.col("comp") < F.col("up")), F.col("comp")).otherwise(F.col("up")).alias("up")))
-        while True:
-            higher = up.select(F.col("comp").alias("up"), F.col("up").alias("upup"))
-            jumped = checkpointed(up.join(higher, "up").select("comp", F.col("upup").alias("up"), (F.col("up") != F.col("upup")).alias("moved")))
-            up = jumped.select("comp", "up")
-            if not jumped.where("moved").limit(1).count():
-                break
-        comps = checkpointed(comps.join(up, "comp").select("id", F.col("up").alias("comp")))
-        left = comps.select("comp").distinct().count()
-    if tree is None:
-        return cells.points.sparkSession.createDataFrame([], "a long, b long, w double")
-    return tree
+        apart = graph.join(side("a", "comp"), "a").join(side("b", "into"), "b").where("comp <> into").select("comp", "a", "b", "w", "into")
+        back = apart.select(F.col("into").alias("comp"), F.col("b").alias("a"), F.col("a").alias("b"), "w", F.col("comp").alias("into"))
+        best = _lightest(apart.unionByName(back).unionByName(_to_pivots(cells, state, ids[pivot], cored[pivot], comp[pivot])))
+
+        # points that may have a nearer one than their list holds
+        bounds = spark.createDataFrame(pa.table({"comp": list(best), "bound": [e[0] for e in best.values()]}))
+        open_ = state.join(bounds, "comp").where("reach <= bound and core <= bound").select("id", "v", "comp", "bound", "core")
+        whole = state.groupBy("cell").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")).where("comp = other").select("cell", "comp")
+        routed = cells.routed(open_, whole).join(core, "id")
+        for c, e in _lightest(cells.visit(routed, state.select("cell", "id", "v", "comp", "core"), _foreign, "comp long, a long, b long, w double, into long")).items():
+            best[c] = min(best[c], e)
+
+        up = {c: c for c in best}
+
+        def top(c: int, up: dict = up) -> int:
+            while up[c] != c:
+                up[c] = up[up[c]]
+                c = up[c]
+            return c
+
+        for c, (w, lo, hi, into) in best.items():
+            tree[lo, hi] = w
+            x, y = sorted((top(c), top(into)))
+            up[y] = x
+        comp = np.array([top(c) for c in comp.tolist()], np.int64)
+    return [(a, b, w) for (a, b), w in tree.items()]
+
+
+def _foreign(asked: pa.Table, there: pa.Table) -> pa.Table:
+    """The lightest edge of each component from a block of queries into a cell."""
+    best: dict[int, tuple] = {}
+    if asked.num_rows and there.num_rows:
+        comp, core, ids, bound = (asked.column(c).to_numpy() for c in ("comp", "core", "id", "bound"))
+        comp2, core2, ids2 = (there.column(c).to_numpy() for c in ("comp", "core", "id"))
+        w = np.maximum(_distances(_matrix(asked.column("v")), _matrix(there.column("v"))), np.maximum(core[:, None], core2[None, :]))
+        w[comp[:, None] == comp2[None, :]] = np.inf
+        low = w.min(1)
+        for i in np.flatnonzero((low <= bound) & np.isfinite(low)):
+            for j in np.flatnonzero(w[i] == low[i]):
+                e = (float(low[i]), *sorted((int(ids[i]), int(ids2[j]))), int(comp2[j]))
+                best[int(comp[i])] = min(e, best.get(int(comp[i]), e))
+    rows = [(c, lo, hi, w, into) for c, (w, lo, hi, into) in best.items()]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["comp", "a", "b", "w", "into"])
 
 
 def condensed(ids: np.ndarray, weights: np.ndarray, core: np.ndarray, edges: list[tuple[int, int, float]], min_cluster_size: int) -> np.ndarray:
@@ -304,19 +309,24 @@ def condensed(ids: np.ndarray, weights: np.ndarray, core: np.ndarray, edges: lis
 
 
 def clusters(df: DataFrame, vector: str, *, min_cluster_size: int = 2000, min_samples: int = 50, rows: int = 40_000, key: str = "uid", seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(key, label) of a hashed sample of at most ``rows`` rows; -1 is noise."""
+    """(key, label) of a hashed sample of at most ``rows`` rows; -1 is noise.
+
+    Rows without a key or with nulls or non-finite components have no label and are absent.
+    """
+    spark = df.sparkSession
     sample = df.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
-    pts = checkpointed(points(sample, vector, key))
-    if pts.isEmpty():
-        return sample.select(key, F.lit(-1).alias("label"))
+    kept = Written(spark, "density-sample")
+    sample = kept(sample.select(F.col(key), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("v")))
+    pts = kept(points(sample, "v", key))
+    found = pts.select("id", "weight").orderBy("id").toArrow()
+    if not found.num_rows:
+        return spark.createDataFrame([], sample.select(key, F.lit(-1).alias("label")).schema)
     cells = Cells(pts, cell_rows)
     info = reached(cells, min_samples)
-    edges = [(r.a, r.b, r.w) for r in spanning_tree(cells, info).collect()]  # fewer than ``rows``, as are the points
-    found = pts.select("id", "weight").join(info.select("id", "core"), "id").collect()
-    ids, weights, core = (np.array([r[i] for r in found], t) for i, t in enumerate((np.int64, np.int64, np.float64)))
+    edges = spanning_tree(cells, info)
+    ids, weights = found.column("id").to_numpy(), found.column("weight").to_numpy()
+    core = info.select("id", "core").orderBy("id").toArrow().column("core").to_numpy()
+    cells.written.drop()
     label = condensed(ids, weights, core, edges, min_cluster_size)
-    spark = df.sparkSession
-    named = spark.createDataFrame([(int(i), int(c)) for i, c in zip(ids, label, strict=True)], "id long, label int")
-    by_vector = pts.select("id", "v").join(named, "id").select("v", "label")
-    own = sample.select(F.col(key), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("v"))
-    return own.join(by_vector, "v").select(key, "label")
+    named = spark.createDataFrame(pa.table({"id": ids, "label": label.astype(np.int32)}))
+    return sample.join(pts.join(named, "id").select("v", "label"), "v").select(key, "label")

@@ -1,13 +1,13 @@
 """Gaussian mixtures by EM over DataFrame aggregates.
 
-An iteration is one aggregation: responsibilities are column expressions generated from
-the parameters, and only the sufficient statistics of the components reach the driver.
+An iteration is one pass over the rows, shared by all models that are fitted at once (see
+``em``); only the sufficient statistics of the components reach the driver.  Scoring is by column expressions.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
+from simplexa.operators import em
 from simplexa.operators.confusion import log_density, moments_local
 
 
@@ -70,20 +71,6 @@ def predict(df: DataFrame, model: Mixture, vector: str = "x") -> DataFrame:
     return t.withColumn("label", sx.argmax(F.col("_l"))).drop("_l")
 
 
-def _step(df: DataFrame, model: Mixture, vector: str, weight: str | None):
-    k, d = model.means.shape
-    t = predict(df, model, vector)
-    w = F.col(weight) if weight else F.lit(1.0)
-    x = _coords(vector, d)
-    r = [F.get("resp", F.lit(c)) * w for c in range(k)]
-    aggs = [F.sum(w).alias("n"), F.sum(F.col("loglik") * w).alias("ll")]
-    for c in range(k):
-        aggs.append(F.sum(r[c]).alias(f"r{c}"))
-        aggs += [F.sum(r[c] * x[i]).alias(f"m{c}_{i}") for i in range(d)]
-        aggs += [F.sum(r[c] * x[i] * x[j]).alias(f"s{c}_{i}_{j}") for i in range(d) for j in range(i, d)]
-    return t.agg(*aggs).first()
-
-
 def _from_hard(df: DataFrame, vector: str, d: int, k: int, label: str, reg: float) -> Mixture:
     """Weights, means and covariances of the hard classes; an empty class gets the overall ones."""
     stats = moments_local(df, label, vector, d)
@@ -110,34 +97,20 @@ def seeded(df: DataFrame, vector: str, d: int, k: int, seed: int, reg: float, ke
     return Mixture(np.full(k, 1 / k), np.array(means), np.tile(cov, (k, 1, 1)))
 
 
+def _start(df: DataFrame, vector: str, d: int, k: int, init: str | Mixture, reg: float, seed: int, key: str) -> Mixture:
+    return init if isinstance(init, Mixture) else seeded(df, vector, d, k, seed, reg, key) if init == "seed" else _from_hard(df, vector, d, k, init, reg)
+
+
+def fit_all(df: DataFrame, vector: str, d: int, starts: Sequence[Mixture], **options) -> list[Fit]:
+    """Mixtures from several starts, all in the same passes over the rows; see ``em.fit`` for the options."""
+    found = em.fit(df, vector, d, [(m.weights, m.means, m.covs) for m in starts], **options)
+    return [Fit(Mixture(*f["model"]), float(f["loglik"]), int(round(f["n"])), f["n_iter"], f["converged"]) for f in found]
+
+
 def fit(df: DataFrame, vector: str, d: int, k: int, *, init: str | Mixture = "hard", reg: float = 1e-6, max_iter: int = 500, tol: float = 1e-5, seed: int = 0, n_init: int = 1, weight: str | None = None, key: str = "uid") -> Fit:
-    """Full-covariance mixture (M1): ``init`` names a label column, is "seed", or is a mixture to start from."""
-    if init == "seed" and n_init > 1:
-        fits = [fit(df, vector, d, k, init=seeded(df, vector, d, k, seed + i, reg, key), reg=reg, max_iter=max_iter, tol=tol, weight=weight) for i in range(n_init)]
-        return max(fits, key=lambda f: f.loglik)
-    model = init if isinstance(init, Mixture) else seeded(df, vector, d, k, seed, reg, key) if init == "seed" else _from_hard(df, vector, d, k, init, reg)
-    last, converged, it = -math.inf, False, 0
-    for it in range(1, max_iter + 1):
-        s = _step(df, model, vector, weight)
-        ll = s.ll / s.n
-        weights, means, covs = [], [], []
-        for c in range(k):
-            r = max(s[f"r{c}"], 1e-12)
-            mu = np.array([s[f"m{c}_{i}"] for i in range(d)]) / r
-            cov = np.empty((d, d))
-            for i in range(d):
-                for j in range(i, d):
-                    cov[i, j] = cov[j, i] = s[f"s{c}_{i}_{j}"] / r - mu[i] * mu[j]
-            weights.append(r / s.n)
-            means.append(mu)
-            covs.append(cov + reg * np.eye(d))
-        model = Mixture(np.array(weights) / sum(weights), np.array(means), np.array(covs))
-        if abs(ll - last) < tol:
-            converged = True
-            break
-        last = ll
-    final = predict(df, model, vector).agg(F.avg("loglik").alias("ll"), F.count("*").alias("n")).first()
-    return Fit(model, final.ll, final.n, it, converged)
+    """Full-covariance mixture (M1): ``init`` names a label column, is "seed", or is a mixture to start from; of ``n_init`` seeds the best."""
+    starts = [_start(df, vector, d, k, init, reg, seed + i, key) for i in range(n_init if init == "seed" else 1)]
+    return max(fit_all(df, vector, d, starts, reg=reg, max_iter=max_iter, tol=tol, weight=weight, key=key), key=lambda f: f.loglik)
 
 
 def diagnostics(f: Fit) -> dict:
@@ -145,13 +118,11 @@ def diagnostics(f: Fit) -> dict:
     return {"converged": f.converged, "n_iter": f.n_iter, "bic": f.bic, "aic": f.aic, "loglik": f.loglik, "weights": f.model.weights.tolist(), "cond": [float(np.linalg.cond(c)) for c in f.model.covs]}
 
 
-def bic_sweep(df: DataFrame, vector: str, d: int, ks: range, **options) -> list[dict]:
-    """Criteria for a range of component numbers (M4, M5)."""
-    out = []
-    for k in ks:
-        f = fit(df, vector, d, k, **({"init": "seed"} | options))
-        out.append({"k": k, "bic": f.bic, "aic": f.aic, "loglik": f.loglik, "converged": f.converged, "min_weight": float(f.model.weights.min())})
-    return out
+def bic_sweep(df: DataFrame, vector: str, d: int, ks: range, *, reg: float = 1e-6, seed: int = 0, key: str = "uid", init: str = "seed", **options) -> list[dict]:
+    """Criteria for a range of component numbers, fitted in the same passes (M4, M5)."""
+    starts = [_start(df, vector, d, k, init, reg, seed, key) for k in ks]
+    fits = fit_all(df, vector, d, starts, reg=reg, key=key, **options)
+    return [{"k": k, "bic": f.bic, "aic": f.aic, "loglik": f.loglik, "converged": f.converged, "min_weight": float(f.model.weights.min())} for k, f in zip(ks, fits, strict=True)]
 
 
 def best_k(sweep: list[dict]) -> int:
@@ -162,15 +133,21 @@ def repetition(df: DataFrame, vector: str, d: int, k: int, extra: range = range(
     """k + r components, spare ones seeded beside existing means; weights by nearest base mean."""
     base = fit(df, vector, d, k, **options)
     rng = np.random.default_rng(seed)
-    out = []
+    starts = []
     for r in extra:
         pick = [i % k for i in range(r)]
-        start = Mixture(
-            np.append(base.model.weights, base.model.weights[pick]) / (1 + base.model.weights[pick].sum()),
-            np.vstack([base.model.means, base.model.means[pick] + 0.05 * rng.standard_normal((r, d))]),
-            np.concatenate([base.model.covs, base.model.covs[pick]]),
+        starts.append(
+            Mixture(
+                np.append(base.model.weights, base.model.weights[pick]) / (1 + base.model.weights[pick].sum()),
+                np.vstack([base.model.means, base.model.means[pick] + 0.05 * rng.standard_normal((r, d))]),
+                np.concatenate([base.model.covs, base.model.covs[pick]]),
+            )
         )
-        f = base if r == 0 else fit(df, vector, d, k + r, **(options | {"init": start}))
+    spare = [i for i, r in enumerate(extra) if r]
+    fits = dict(zip(spare, fit_all(df, vector, d, [starts[i] for i in spare], **{n: v for n, v in options.items() if n in ("reg", "max_iter", "tol", "weight", "key")}), strict=True)) if spare else {}
+    out = []
+    for i, r in enumerate(extra):
+        f = fits.get(i, base)
         near = ((f.model.means[:, None] - base.model.means[None]) ** 2).sum(2).argmin(1)
         out.append({"r": r, "weights": np.bincount(near, f.model.weights, k).tolist(), "bic": f.bic})
     return out
@@ -189,11 +166,9 @@ def held_out(df: DataFrame, vector: str, d: int, ks: range, seed: int = 0, key:
     """Mean log likelihood of the 30 % of rows that were not fitted."""
     part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10))
     train, test = df.where(part < 7), df.where(part >= 7)
-    out = []
-    for k in ks:
-        f = fit(train, vector, d, k, init="seed", seed=seed, key=key)
-        out.append({"k": k, "held_out": predict(test, f.model, vector).agg(F.avg("loglik").alias("x")).first().x})
-    return out
+    fits = fit_all(train, vector, d, [_start(train, vector, d, k, "seed", 1e-6, seed, key) for k in ks], key=key)
+    scores = em.expectation(em.columns(test, vector, d), {i: (f.model.weights, f.model.means, f.model.covs) for i, f in enumerate(fits)}, d)
+    return [{"k": k, "held_out": float(scores[i][1] / scores[i][0])} for i, k in enumerate(ks)]
 
 
 def expected_max_responsibility(separation: float, n: int = 200_000, seed: int = 0) -> float:

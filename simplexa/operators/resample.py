@@ -1,8 +1,7 @@
 """Bootstrap by Poisson weights.
 
-Every row gets a weight for each replicate as a function of (row, replicate, seed).  Rows
-are exploded by replicate, some at a time, before the partial aggregation, so nothing but
-class sums is shuffled.
+Every row gets a weight for each replicate as a function of (row, replicate, seed).  All
+replicates are summed in one pass over the rows (see ``em``), without copies of them.
 """
 
 from __future__ import annotations
@@ -11,38 +10,23 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.operators import confusion, gmm, joins, populations
+from simplexa.operators import confusion, em, gmm, joins, populations
 
 
 def poisson(rep: int | Column, seed: int = 0, key: str = "uid") -> Column:
-    """A Poisson(1) draw, by inversion of a hash."""
+    """A Poisson(1) draw as a column, by inversion of a hash; for fitters that read a weight column."""
     rep = F.lit(rep) if isinstance(rep, int) else rep
     u = F.xxhash64(F.col(key), rep, F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    out, cum, p = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(1, 12):
-        cum += p
-        out = out + F.when(u >= cum, 1).otherwise(0)
-        p /= k
+    out = F.lit(0)
+    for cum in em.CUMULATIVE[:-1]:
+        out = out + F.when(u >= float(cum), 1).otherwise(0)
     return out
 
 
-def _long(df: DataFrame, reps: int, block: int, sums) -> list:
-    """Rows (rep, class sums) of all replicates, ``block`` at a time."""
-    out = []
-    for a in range(0, reps, block):
-        ids = F.array(*[F.lit(i) for i in range(a, min(reps, a + block))])
-        t = df.withColumn("rep", F.explode(ids)).withColumn("w", poisson(F.col("rep"))).where("w > 0")
-        out += sums(t).collect()  # reps x classes rows
-    return out
-
-
-def replicate_populations(df: DataFrame, k: int, reps: int = 200, block: int = 50, correct: bool = True) -> np.ndarray:
+def replicate_populations(df: DataFrame, k: int, reps: int = 200, correct: bool = True, key: str = "uid", seed: int = 0) -> np.ndarray:
     """(reps, 3, k): hard, soft and confusion-corrected populations of each replicate."""
-    sums = lambda t: t.groupBy("rep", "hard").agg(F.sum("w").alias("n"), *[F.sum(F.get("posterior", F.lit(i)) * F.col("w")).alias(f"s{i}") for i in range(k)])
-    n, s = np.zeros((reps, k)), np.zeros((reps, k, k))
-    for r in _long(df, reps, block, sums):
-        n[r.rep, r.hard] = r.n
-        s[r.rep, :, r.hard] = [r[f"s{i}"] for i in range(k)]
+    sums = em.replicate_moments(df, "posterior", k, k, reps, key=key, seed=seed)
+    n, s = sums[:, :, 0], sums[:, :, 1:].transpose(0, 2, 1)  # s[rep, component, class]
     out = np.zeros((reps, 3, k))
     for b in range(reps):
         out[b, 0] = n[b] / max(n[b].sum(), 1)
@@ -64,23 +48,35 @@ def population_ci(df: DataFrame, k: int, reps: int = 200, ci: float = 0.95) -> D
     return df.sparkSession.createDataFrame(rows, "kind string, class int, mean double, std double, lo double, hi double")
 
 
-def refit(df: DataFrame, vector: str, d: int, base: gmm.Mixture, reps: int = 30, fitter=None, **options) -> dict[str, np.ndarray]:
-    """Parameters of mixtures fitted to weighted rows, components aligned with the base by distance."""
-    fitter = fitter or (lambda t: gmm.fit(t, vector, d, len(base.weights), init=base, weight="w", **options))
+def refit(df: DataFrame, vector: str, d: int, base: gmm.Mixture, reps: int = 30, fitter: gmm.Fitter | None = None, **options) -> dict[str, np.ndarray]:
+    """Parameters of mixtures fitted to resampled rows, components aligned with the base by distance.
+
+    All replicates start at the base and share their passes; a caller's own ``fitter`` gets the
+    rows of one replicate at a time, with their weights in a column ``w``.
+    """
+    if fitter:
+        fits = [fitter(df.withColumn("w", poisson(b).cast("double")).where("w > 0")) for b in range(reps)]
+    else:
+        fits = gmm.fit_all(df, vector, d, [base] * reps, reps=True, **options)
     w, m, c = [], [], []
-    for b in range(reps):
-        f = fitter(df.withColumn("w", poisson(b).cast("double")).where("w > 0")).model
-        order = joins.hungarian(np.sqrt(((base.means[:, None] - f.means[None]) ** 2).sum(2)))
-        w.append(f.weights[order])
-        m.append(f.means[order])
-        c.append(f.covs[order])
-    return {"weights": np.array(w), "means": np.array(m), "covs": np.array(c)}
+    for f in fits:
+        order = joins.hungarian(np.sqrt(((base.means[:, None] - f.model.means[None]) ** 2).sum(2)))
+        w.append(f.model.weights[order])
+        m.append(f.model.means[order])
+        c.append(f.model.covs[order])
+    return {"weights": np.array(w), "means": np.array(m), "covs": np.array(c), "n_iter": np.array([f.n_iter for f in fits])}
 
 
-def class_moments_bootstrap(df: DataFrame, k: int, reps: int = 20) -> np.ndarray:
+def class_moments_bootstrap(df: DataFrame, k: int, reps: int = 20, key: str = "uid", seed: int = 0) -> np.ndarray:
     """(reps, k, k): the analytic pairwise confusion of each replicate."""
+    sums = em.replicate_moments(df, "posterior", k, k, reps, key=key, seed=seed, second=True)
     out = []
-    for b in range(reps):
-        t = df.withColumn("w", poisson(b)).where("w > 0").withColumn("c", F.explode(F.sequence(F.lit(1), F.col("w"))))
-        out.append(confusion.analytical_pairwise(confusion.moments_local(t, "hard", "posterior", k), k))
+    for rep in sums:
+        stats = {}
+        for c, row in enumerate(rep):
+            n = row[0]
+            if n >= 2:
+                mean = row[1 : 1 + k] / n
+                stats[c] = (n, mean, (row[1 + k :].reshape(k, k) - n * np.outer(mean, mean)) / (n - 1))
+        out.append(confusion.analytical_pairwise(stats, k))
     return np.array(out)

@@ -483,8 +483,8 @@ def fsc(spark, sf):
 
 
 def _fit(spark, sf, **options):
-    t = _alr(spark, sf).select("uid", "hard", "posterior", "x").cache()
-    return t, gmm.fit(t, "x", 2, K, **({"init": "hard", "max_iter": 25} | options))
+    t = _alr(spark, sf).select("uid", "hard", "posterior", "x")
+    return t, gmm.fit(t, "x", 2, K, **({"init": "hard"} | options))
 
 
 @query()
@@ -495,14 +495,14 @@ def gmm_fit(spark, sf):
 
 @query()
 def gmm_bic_sweep(spark, sf):
-    t = _alr(spark, sf).select("uid", "x").cache()
-    return spark.createDataFrame([tuple(r.values()) for r in gmm.bic_sweep(t, "x", 2, range(1, 4), max_iter=10)], "k int, bic double, aic double, loglik double, converged boolean, min_weight double")
+    t = _alr(spark, sf).select("uid", "x")
+    return spark.createDataFrame([tuple(r.values()) for r in gmm.bic_sweep(t, "x", 2, range(1, 7))], "k int, bic double, aic double, loglik double, converged boolean, min_weight double")
 
 
 @query()
 def class_repetition(spark, sf):
-    t = _alr(spark, sf).select("uid", "hard", "x").cache()
-    rows = [(r["r"], c, w, r["bic"]) for r in gmm.repetition(t, "x", 2, K, range(3), init="hard", max_iter=8) for c, w in enumerate(r["weights"])]
+    t = _alr(spark, sf).select("uid", "hard", "x")
+    rows = [(r["r"], c, w, r["bic"]) for r in gmm.repetition(t, "x", 2, K, range(4), init="hard", max_iter=300, tol=1e-4) for c, w in enumerate(r["weights"])]
     return spark.createDataFrame(rows, "r int, class int, weight double, bic double")
 
 
@@ -512,13 +512,13 @@ def _cells(spark, m: np.ndarray) -> DataFrame:
 
 @query()
 def mc_confusion(spark, sf):
-    m = _fit(spark, sf, max_iter=8)[1].model
+    m = _fit(spark, sf)[1].model
     return confusion.sampled_confusion(spark, m.weights, m.means, m.covs, 50_000)
 
 
 @query()
 def equalprior_confusion(spark, sf):
-    m = _fit(spark, sf, max_iter=8)[1].model
+    m = _fit(spark, sf)[1].model
     return confusion.sampled_confusion(spark, m.weights, m.means, m.covs, 50_000, use_weights=False)
 
 
@@ -535,7 +535,7 @@ def analytic_pairwise(spark, sf):
 
 @query()
 def bhattacharyya_overlap(spark, sf):
-    m = _fit(spark, sf, max_iter=8)[1].model
+    m = _fit(spark, sf)[1].model
     return _cells(spark, confusion.overlap(confusion.pairwise(m.means, m.covs)))
 
 

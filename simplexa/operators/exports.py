@@ -6,11 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
-
-
-def subset(selection: DataFrame, table: DataFrame, path: str, by: str = "class", key: str = "uid") -> None:
-    """Selected rows of a table, one folder a class (K1, K2)."""
-    table.join(selection.select(key, by), key).write.mode("overwrite").partitionBy(by).parquet(path)
+from simplexa.session import Written
+from simplexa.sources import formats
+
+
+def subset(selection: DataFrame, table: DataFrame, path: str, by: str = "class", key: str = "uid", twin: DataFrame | None = None, files: int = 1) -> DataFrame:
+    """Selected rows of a table as ``.cs`` files, ``path``/<class>/main, one folder a class (K1, K2, G10); returns rows by class.
+
+    With ``twin`` the passthrough fields of the same rows go to ``path``/<class>/passthrough, in the same
+    files and order; a row must be in both tables.  Rows are ordered by key.
+    """
+    rows = table.join(selection.select(key, F.col(by).alias("_by")), key)
+    if twin is not None:
+        rows = rows.join(twin.select(key, F.struct(*[F.col(f"`{c}`") for c in twin.columns]).alias("_twin")), key)
+    own = [F.col(f"`{c}`") for c in table.columns]
+    written = Written(table.sparkSession, "subset")
+    held = written(rows)  # both tables are cut from the same rows
+    counts = held.groupBy(F.col("_by").alias(by)).agg(F.count("*").alias("n")).orderBy(by).collect()
+    for name, _ in counts:
+        mine = held.where(F.col("_by").eqNullSafe(F.lit(name))).repartition(files, key).sortWithinPartitions(key)
+        formats.write_cs(mine.select(*own), f"{path}/{name}/main")
+        if twin is not None:
+            formats.write_cs(mine.select("_twin.*"), f"{path}/{name}/passthrough")
+    out = table.sparkSession.createDataFrame([tuple(r) for r in counts], f"{by} {selection.schema[by].dataType.simpleString()}, n long")
+    written.drop()
+    return out
 
 
 def overwrite_weight(df: DataFrame, weight: str, field: str = "alignments3D/alpha", mode: str = "replace") -> DataFrame:

@@ -11,11 +11,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
-from simplexa.operators import em
+from simplexa.operators import em, kernel
 from simplexa.operators.confusion import log_density, moments_local
 
 
@@ -164,13 +164,35 @@ def continuity(df: DataFrame, column: str, key: str = "uid", seed: int = 0) -> d
 
 def held_out(df: DataFrame, vector: str, d: int, ks: range, seed: int = 0, key: str = "uid") -> list[dict]:
     """Mean log likelihood of the 30 % of rows that were not fitted."""
-    part = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10))
-    train, test = df.where(part < 7), df.where(part >= 7)
+    train, test = kernel.halves(df, key=key, seed=seed)
     fits = fit_all(train, vector, d, [_start(train, vector, d, k, "seed", 1e-6, seed, key) for k in ks], key=key)
     scores = em.expectation(em.columns(test, vector, d), {i: (f.model.weights, f.model.means, f.model.covs) for i, f in enumerate(fits)}, d)
     return [{"k": k, "held_out": float(scores[i][1] / scores[i][0])} for i, k in enumerate(ks)]
 
 
+def back_projected(spark: SparkSession, model: Mixture, n: int, k: int, *, ref: int = -1, mean: np.ndarray | None = None, scale: np.ndarray | None = None, seed: int = 0) -> DataFrame:
+    """(id, component, posterior): ``n`` draws from a mixture in log-ratio space, back in probabilities.
+
+    Components are drawn by weight; ``mean`` and ``scale`` undo a standardisation first.  A draw
+    depends on its number and the seed only.
+    """
+    from simplexa.operators.confusion import _noise
+
+    d = model.means.shape[1]
+    chol = np.linalg.cholesky(model.covs)
+    u = F.xxhash64("id", F.lit(seed), F.lit("component")).bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
+    c = F.lit(0)
+    for edge in np.cumsum(model.weights)[:-1]:
+        c = c + F.when(u >= float(edge), 1).otherwise(0)
+    rows = spark.range(n).withColumn("component", c).withColumns({f"e{a}": e for a, e in enumerate(_noise("component", seed, d))})
+    pick = lambda f: F.element_at(F.array(*[F.lit(float(f(i))) for i in range(len(model.weights))]), F.col("component") + 1)
+    y = []
+    for a in range(d):
+        v = pick(lambda i, a=a: model.means[i, a]) + sum(pick(lambda i, a=a, b=b: chol[i, a, b]) * F.col(f"e{b}") for b in range(a + 1))
+        y.append(v * float(scale[a]) + float(mean[a]) if scale is not None else v)
+    return rows.withColumn("y", F.array(*y)).select("id", "component", "y", sx.inverse_alr(F.col("y"), k, ref).alias("posterior"))
+
+
 def expected_max_responsibility(separation: float, n: int = 200_000, seed: int = 0) -> float:
     """Mean largest responsibility of two unit Gaussians so far apart."""
     x = np.random.default_rng(seed).standard_normal(n) + separation / 2

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
 from simplexa.operators import agreement, ordered
+from simplexa.session import Written, ship
 
 
 def mean_cov(df: DataFrame, vector: str, d: int, ddof: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
@@ -68,7 +72,7 @@ def ellipse(cov: np.ndarray, sds: float = 1.0) -> tuple[float, float, float]:
 
 
 def canonical_correlations(df: DataFrame, x: str, dx: int, y: str, dy: int, ridge: float = 1e-4) -> np.ndarray:
-    """Singular values of the whitened cross covariance; with a ridge (L10) or, at 0, by pseudo-inverse."""
+    """Singular values of the whitened cross covariance; with a ridge (L10) or, at 0, by pseudo-inverse."""
     both = df.withColumn("_b", F.concat(x, y))
     _, _, c = mean_cov(both, "_b", dx + dy)
     cx, cy, cxy = c[:dx, :dx], c[dx:, dx:], c[:dx, dx:]
@@ -81,6 +85,53 @@ def canonical_correlations(df: DataFrame, x: str, dx: int, y: str, dy: int, ridg
     return np.clip(np.linalg.svd(root(cx).T @ cxy @ root(cy), compute_uv=False), 0, 1)[: min(dx, dy)]
 
 
+def triangle(df: DataFrame, vector: str, d: int, mean: np.ndarray, fan: int = 32) -> np.ndarray:
+    """R of a QR factorisation of the centred rows: one small triangle a task, merged as a tree."""
+
+    def fold(r: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.concatenate((r, x)), mode="r")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, rows = np.zeros((0, d)), 0
+        for b in batches:
+            if b.num_rows:
+                r, rows = fold(r, np.column_stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(d)]) - mean), rows + b.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r.tolist()], pa.list_(pa.list_(pa.float64())))], ["r"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        r = np.zeros((0, d))
+        for m in t.column("r").to_pylist():
+            r = fold(r, np.array(m))
+        return pa.table([pa.array([r.tolist()], pa.list_(pa.list_(pa.float64())))], ["r"])
+
+    ship(df.sparkSession)
+    written = Written(df.sparkSession, "qr")
+    rows = df.where(F.col(vector).isNotNull()).select(*[F.get(vector, F.lit(i)).cast("double").alias(f"x{i}") for i in range(d)])
+    level = written(rows.mapInArrow(task, "r array<array<double>>").withColumn("n", F.monotonically_increasing_id()))
+    while (count := level.count()) > 1:
+        place = F.row_number().over(Window.orderBy("n")) - 1  # a row a task
+        merged = level.withColumn("g", F.floor(place / fan)).groupBy("g").applyInArrow(merge, "r array<array<double>>")
+        level = written(merged.withColumn("n", F.monotonically_increasing_id()))
+        if count <= fan:
+            break
+    found = level.select("r").first()
+    written.drop()
+    out = np.zeros((d, d))
+    if found:
+        r = np.array(found.r)
+        out[: len(r)] = r
+    return out
+
+
+def canonical_correlations_qr(df: DataFrame, x: str, dx: int, y: str, dy: int) -> np.ndarray:
+    """Canonical correlations from orthonormal bases of the centred columns, which squares no singular value."""
+    both = df.withColumn("_b", F.concat(x, y))
+    r = triangle(both, "_b", dx + dy, mean_cov(both, "_b", dx + dy)[1])
+    qx, qy = np.linalg.qr(r[:, :dx])[0], np.linalg.qr(r[:, dx:])[0]
+    return np.clip(np.linalg.svd(qx.T @ qy, compute_uv=False), 0, 1)
+
+
 def lda(df: DataFrame, vector: str, d: int, label: str = "hard", ridge: float = 1e-9) -> tuple[np.ndarray, np.ndarray, dict]:
     """Discriminant axes, overall mean and class statistics, from per-class moments."""
     from simplexa.operators.confusion import moments_local
@@ -112,7 +163,7 @@ def lda_predict(df: DataFrame, vector: str, fitted: dict, name: str = "pred") ->
 
 def separability(df: DataFrame, vector: str, d: int, label: str = "hard", k: int = 5, seed: int = 0, key: str = "uid") -> DataFrame:
     """Cross-validated recall of each class and balanced accuracy."""
-    t = ordered.folds(df, k, seed, key)
+    t = ordered.folds(df, k, seed, key, label)
     parts = [lda_predict(t.where(F.col("fold") == i), vector, lda(t.where(F.col("fold") != i), vector, d, label)[2]) for i in range(k)]
     whole = parts[0]
     for p in parts[1:]:

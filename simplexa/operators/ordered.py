@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from simplexa.operators.quantiles import by_group, quantiles
+from simplexa.operators.ranks import permutation, running
 
 
 def quantile_cut(df: DataFrame, column: str, k: int, name: str = "cut") -> DataFrame:
@@ -80,12 +81,13 @@ def class_order(df: DataFrame, axis: str = "pc1", label: str = "hard") -> DataFr
 
 
 def split_half(df: DataFrame, seed: int = 0, key: str = "uid") -> DataFrame:
-    """Halves by a hash of the key, the same whatever the partitioning."""
-    return df.withColumn("half", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(2)).cast("int"))
+    """Alternating places of a seeded permutation: halves that differ by at most one row."""
+    return permutation(df, key=key, seed=seed, name="_place").withColumn("half", (F.col("_place") % 2).cast("int")).drop("_place")
 
 
-def folds(df: DataFrame, k: int = 5, seed: int = 0, key: str = "uid") -> DataFrame:
-    return df.withColumn("fold", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(k)).cast("int"))
+def folds(df: DataFrame, k: int = 5, seed: int = 0, key: str = "uid", label: str | None = None) -> DataFrame:
+    """k folds that differ by at most one row, with ``label`` in every class."""
+    return permutation(df, key=key, seed=seed, by=label, name="_place").withColumn("fold", (F.col("_place") % k).cast("int")).drop("_place")
 
 
 def orientation(df: DataFrame, axis: str = "pc1", label: str = "hard") -> DataFrame:
@@ -120,8 +122,9 @@ def evenly_spaced(df: DataFrame, n: int, key: str = "uid") -> DataFrame:
     return df.join(p.where(F.floor(F.col("position") / step) != F.floor((F.col("position") - 1) / step)), key)
 
 
-def top(df: DataFrame, column: str, n: int) -> DataFrame:
-    return df.orderBy(F.col(column).desc()).limit(n)
+def top(df: DataFrame, column: str, n: int, key: str = "uid") -> DataFrame:
+    """The n largest; of equal ones those with the smaller key."""
+    return df.orderBy(F.col(column).desc(), key).limit(n)
 
 
 def latest(df: DataFrame, name: str = "name", pattern: str = r"(\d+)") -> DataFrame:
@@ -133,5 +136,5 @@ def ecdf_gap(df: DataFrame, column: str) -> DataFrame:
     """Largest gap of the empirical distribution from the uniform one on its range."""
     n = df.groupBy(column).agg(F.count("*").alias("n"))
     b = n.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.sum("n").alias("total"))
-    run = n.withColumn("cum", F.sum("n").over(Window.orderBy(column)))
+    run = running(n, column, "n")
     return run.crossJoin(b).agg(F.max(F.abs(F.col("cum") / F.col("total") - (F.col(column) - F.col("lo")) / (F.col("hi") - F.col("lo")))).alias("gap"))

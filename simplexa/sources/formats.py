@@ -1,21 +1,26 @@
 """Readers and writers of the file formats.
 
-``cs``: a NumPy structured array; a Python data source with row-range partitions and
-column pruning by ``columns``.  Files are read on the executors, so their folder must be
-one that all of them see.
+``cs``: a NumPy structured array, or a folder of them; a Python data source of record batches
+with row-range partitions, column pruning by ``columns`` and pushed comparisons, and a sink
+with a two-phase commit.  ``matrix``: arrays of ``.npy`` and ``.npz``, read by ranges of rows.
+Files are read and written by the executors, so their folder must be one that all of them see.
 """
 
 from __future__ import annotations
 
 import io
+import pickle
 import struct
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 from simplexa.session import ship
@@ -35,14 +40,17 @@ def _spark_type(dt: np.dtype):
     return IntegerType() if dt.kind in "iu" and dt.itemsize < 4 or dt == np.int32 else LongType()
 
 
-def _value(v, dt: np.dtype):
-    if dt.subdtype:
-        return v.tolist()
-    if dt.kind == "S":
-        return bytes(v).decode()
-    if dt.kind == "u" and dt.itemsize == 8:
-        return int(np.uint64(v).astype(np.int64))  # the bit pattern
-    return v.item()
+def _files(path: str) -> list[str]:
+    """The file, or the part files of a folder in their order; row numbers count within a file."""
+    import os
+
+    path = path.removeprefix("file://").removeprefix("file:")
+    if not os.path.isdir(path):
+        return [path]
+    found = sorted(f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-") and f.endswith(".cs"))
+    if not found:
+        raise FileNotFoundError(f"no part files in {path}")
+    return found
 
 
 class RowRange(InputPartition):
@@ -50,62 +58,167 @@ class RowRange(InputPartition):
         self.path, self.start, self.stop = path, start, stop
 
 
-class CsReader(DataSourceReader):
-    def __init__(self, path: str, names: list[str], rows: int):
-        self.path, self.names, self.rows = path, names, rows
-
-    def partitions(self):
-        n = len(np.load(self.path, mmap_mode="r"))
-        return [RowRange(self.path, a, min(a + self.rows, n)) for a in range(0, n, self.rows)] or [RowRange(self.path, 0, 0)]
+def _ranges(path: str, n: int, rows: int) -> list[RowRange]:
+    return [RowRange(path, a, min(a + rows, n)) for a in range(0, n, rows)] or [RowRange(path, 0, 0)]
 
-    def read(self, p: RowRange) -> Iterator[tuple]:
-        part = np.load(p.path, mmap_mode="r")[p.start : p.stop]
-        kinds = [part.dtype[n] for n in self.names if n != "row_id"]
-        for i, row in enumerate(part):
-            values = [_value(row[n], k) for n, k in zip([n for n in self.names if n != "row_id"], kinds, strict=True)]
-            yield (p.start + i, *values) if "row_id" in self.names else tuple(values)
 
+def _arrow(values: np.ndarray, t) -> pa.Array:
+    """A field of a structured array as Arrow: strided copies, no rows."""
+    if isinstance(t, ArrayType):
+        inner = _arrow(values.reshape(-1, *values.shape[2:]), t.elementType)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]), inner)
+    if isinstance(t, StringType):
+        return pa.array(values.tolist(), pa.binary()).cast(pa.string()) if values.dtype.kind == "S" else pa.array(values.tolist(), pa.string())
+    values = np.ascontiguousarray(values)
+    if values.dtype == np.uint64:
+        return pa.array(values.view(np.int64))  # the bit pattern
+    return pa.array(values.astype({LongType: np.int64, IntegerType: np.int32, FloatType: np.float32, DoubleType: np.float64}[type(t)]))
 
-def _encoded(v):
-    if isinstance(v, list | tuple):
-        return [_encoded(x) for x in v]
-    return v.encode() if isinstance(v, str) else v
 
+#: filters that a scan answers itself, by the comparison they make
+COMPARISONS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
 
-class CsWriter(DataSourceWriter):
-    """One file a task: ``<path>/part-<n>.cs``, in the types of ``schema``; text as UTF-8, as wide as the file's longest."""
 
-    def __init__(self, path: str, schema: StructType):
-        self.path, self.schema = path, schema
+class CsReader(DataSourceReader):
+    """Ranges of rows of a memory-mapped file as record batches, columns and simple comparisons on scalar fields applied before."""
+
+    def __init__(self, path: str, schema: StructType, rows: int, batch: int = 8192):
+        self.path, self.schema, self.rows, self.batch, self.filters = path, schema, rows, batch, []
+
+    def pushFilters(self, filters):
+        scalar = {f.name for f in self.schema.fields if not isinstance(f.dataType, ArrayType | StringType)}
+        for f in filters:
+            name = f.attribute[0] if getattr(f, "attribute", None) else None
+            if name in scalar and len(f.attribute) == 1 and (type(f) in COMPARISONS and f.value is not None or isinstance(f, In)):
+                self.filters.append((name, "in" if isinstance(f, In) else type(f).__name__, [v for v in f.value if v is not None] if isinstance(f, In) else f.value))
+            elif isinstance(f, IsNotNull) and name in scalar:
+                continue  # a field of a file is never null
+            else:
+                yield f
 
-    def _dtype(self, rows) -> np.dtype:
+    def partitions(self):
+        return [r for f in _files(self.path) for r in _ranges(f, len(np.load(f, mmap_mode="r")), self.rows)]
+
+    def _kept(self, part: np.ndarray, first: int) -> np.ndarray:
+        keep = np.ones(len(part), bool)
+        for name, kind, value in self.filters:
+            own = np.arange(first, first + len(part)) if name == "row_id" else np.asarray(part[name])
+            own = own.view(np.int64) if own.dtype == np.uint64 and own.flags.c_contiguous else own.astype(np.int64) if own.dtype == np.uint64 else own
+            keep &= np.isin(own, value) if kind == "in" else next(f for t, f in COMPARISONS.items() if t.__name__ == kind)(own, value)
+        return keep
+
+    def read(self, p: RowRange) -> Iterator[pa.RecordBatch]:
+        whole = np.load(p.path, mmap_mode="r")
+        for a in range(p.start, p.stop, self.batch):
+            part = whole[a : min(a + self.batch, p.stop)]
+            at = np.flatnonzero(self._kept(part, a)) if self.filters else np.arange(len(part))
+            columns = [pa.array(a + at) if f.name == "row_id" else _arrow(part[f.name][at], f.dataType) for f in self.schema.fields]
+            yield pa.RecordBatch.from_arrays(columns, self.schema.fieldNames())
+
+
+class Staged(WriterCommitMessage):
+    def __init__(self, files: list[str], folder: str):
+        self.files, self.folder = files, folder
+
+
+class CsWriter(DataSourceArrowWriter):
+    """Files ``<path>/part-<n>.cs`` in the types of ``schema``; text as UTF-8, as wide as the file's longest.
+
+    A task spools its batches, learning lengths and widths, then writes its file from them
+    block by block, all under ``<path>/_staging-<job>``.  ``commit`` moves the files of the
+    tasks that count into place; ``abort`` removes the folder.  Arrays of a field have one shape.
+    """
+
+    def __init__(self, path: str, schema: StructType, overwrite: bool):
+        import uuid
+
+        self.path, self.schema, self.overwrite = path, schema, overwrite
+        self.job = uuid.uuid4().hex
+        self.staging = f"{path}/_staging-{self.job}"
+
+    def _field(self, name: str, t, column: pa.Array, seen: dict) -> None:
+        shape = []
+        while pa.types.is_list(column.type):
+            lengths = pc.unique(pc.list_value_length(column)).to_pylist()
+            if len(lengths) > 1 or None in lengths:
+                raise ValueError(f"{name}: a field of a structured file has arrays of one length, not {lengths}")
+            shape.append(lengths[0] if lengths else 0)
+            column = column.flatten()
+        if column.null_count:
+            raise ValueError(f"{name}: a structured file holds no nulls")
+        wide = (pc.max(pc.binary_length(column)).as_py() or 0) if pa.types.is_string(column.type) else 0
+        before = seen.setdefault(name, [shape, 1])
+        if before[0] != shape:
+            raise ValueError(f"{name}: arrays of one length, not {before[0]} and {shape}")
+        before[1] = max(before[1], wide)
+
+    def _dtype(self, seen: dict) -> np.dtype:
         out = []
-        for i, f in enumerate(self.schema.fields):
-            t, shape = f.dataType, []
-            values = [r[i] for r in rows]
+        for f in self.schema.fields:
+            t = f.dataType
             while isinstance(t, ArrayType):
-                shape.append(len(values[0]))
-                values, t = [x for v in values for x in v], t.elementType
-            wide = max((len(v) for v in values), default=0) if isinstance(t, StringType) else 0
-            base = "f4" if isinstance(t, FloatType) else "f8" if isinstance(t, DoubleType) else f"S{max(1, wide)}" if isinstance(t, StringType) else "u8" if f.name == "uid" else "i8" if isinstance(t, LongType) else "i4"
+                t = t.elementType
+            shape, wide = seen[f.name]
+            base = "f4" if isinstance(t, FloatType) else "f8" if isinstance(t, DoubleType) else f"S{wide}" if isinstance(t, StringType) else "u8" if f.name == "uid" else "i8" if isinstance(t, LongType) else "i4"
             out.append((f.name, base, tuple(shape)) if shape else (f.name, base))
         return np.dtype(out)
 
-    def write(self, iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         import os
 
         from pyspark import TaskContext
 
-        rows = [tuple(_encoded(v) for v in r) for r in iterator]
-        if rows:
-            dt = self._dtype(rows)
-            fix = [tuple(int(np.int64(v).astype(np.uint64)) if dt[i] == np.dtype("u8") else v for i, v in enumerate(r)) for r in rows]
-            os.makedirs(self.path, exist_ok=True)
-            final = f"{self.path}/part-{TaskContext.get().partitionId():05d}.cs"
-            with open(f"{final}.{TaskContext.get().taskAttemptId()}", "wb") as f:
-                np.save(f, np.array(fix, dt))
-            os.replace(f.name, final)  # a repeated task replaces its own file
-        return WriterCommitMessage()
+        context = TaskContext.get()
+        name = f"{self.staging}/part-{context.partitionId():05d}-{context.taskAttemptId()}"
+        os.makedirs(self.staging, exist_ok=True)
+        spool, n, seen, sink = f"{name}.arrow", 0, {}, None
+        for b in iterator:
+            if not b.num_rows:
+                continue
+            for f, column in zip(self.schema.fields, b.columns, strict=True):
+                self._field(f.name, f.dataType, column, seen)
+            sink = sink or pa.ipc.new_file(spool, b.schema)
+            sink.write_batch(b)
+            n += b.num_rows
+        if sink is None:
+            return Staged([], self.staging)
+        sink.close()
+        dt = self._dtype(seen)
+        with open(f"{name}.cs", "wb") as out, pa.memory_map(spool) as source:
+            np.lib.format.write_array_header_1_0(out, {"descr": np.lib.format.dtype_to_descr(dt), "fortran_order": False, "shape": (n,)})
+            held = pa.ipc.open_file(source)
+            for i in range(held.num_record_batches):
+                b = held.get_batch(i)
+                block = np.zeros(b.num_rows, dt)
+                for (field, column) in zip(dt.names, b.columns, strict=True):
+                    while pa.types.is_list(column.type):
+                        column = column.flatten()
+                    base = dt[field].base
+                    values = np.array(column.cast(pa.binary()).to_pylist(), base) if base.kind == "S" else column.to_numpy(zero_copy_only=False)
+                    block[field] = (values.view(np.uint64) if base == np.uint64 else values).reshape(b.num_rows, *dt[field].shape)
+                out.write(block.tobytes())
+        os.remove(spool)
+        return Staged([f"{name}.cs"], self.staging)
+
+    def commit(self, messages) -> None:
+        import os
+        import shutil
+
+        files = [f for m in messages if m for f in m.files]
+        os.makedirs(self.path, exist_ok=True)
+        if self.overwrite:
+            for old in os.listdir(self.path):
+                if old.startswith("part-") and old.endswith(".cs"):
+                    os.remove(f"{self.path}/{old}")
+        for f in files:
+            part = os.path.basename(f).rsplit("-", 1)[0]
+            os.replace(f, f"{self.path}/{part}.cs" if self.overwrite else f"{self.path}/{part}-{self.job}.cs")
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages) -> None:
+        import shutil
+
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class CsSource(DataSource):
@@ -114,21 +227,29 @@ class CsSource(DataSource):
         return "cs"
 
     def schema(self) -> StructType:
-        dt = np.load(self.options["path"], mmap_mode="r").dtype
+        dt = np.load(_files(self.options["path"])[0], mmap_mode="r").dtype
         names = [n.strip() for n in self.options.get("columns", "").split(",") if n.strip()] or list(dt.names)
         fields = [StructField(n, LongType() if n == "row_id" else _spark_type(dt[n])) for n in names if n != "row_id"]
         return StructType([StructField("row_id", LongType()), *fields] if "row_id" in names or self.options.get("rowid") == "true" else fields)
 
     def reader(self, schema: StructType) -> CsReader:
-        return CsReader(self.options["path"], schema.fieldNames(), int(self.options.get("rows", "65536")))
+        return CsReader(self.options["path"], schema, int(self.options.get("rows", "65536")))
 
     def writer(self, schema: StructType, overwrite: bool) -> CsWriter:
-        return CsWriter(self.options["path"], schema)
+        return CsWriter(self.options["path"], schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(CsSource)
+    spark.dataSource.register(MatrixSource)
+
+
+def write_cs(df: DataFrame, path: str, overwrite: bool = True) -> None:
+    """One file a partition, in the order of the partition (K1)."""
+    register(df.sparkSession)
+    df.write.format("cs").option("path", path).mode("overwrite" if overwrite else "append").save()
 
 
 def read_cs(spark: SparkSession, path: str, columns: list[str] | None = None, row_id: bool = False) -> DataFrame:
@@ -142,12 +263,113 @@ def uids(spark: SparkSession, path: str) -> DataFrame:
     return read_cs(spark, path, ["uid"])
 
 
+class Member:
+    """Where the values of an array lie: a file, or a stored or compressed member of an archive."""
+
+    def __init__(self, path: str, key: str | None):
+        self.path, self.member, self.start = path, None, 0
+        if key is None:
+            with open(path, "rb") as f:
+                self.shape, fortran, self.dtype = _npy_header(f)
+                self.start = f.tell()
+        else:
+            with zipfile.ZipFile(path) as z:
+                info = z.getinfo(f"{key}.npy")
+                with z.open(info) as f:
+                    self.shape, fortran, self.dtype = _npy_header(f)
+                    inside = f.tell()
+                if info.compress_type == zipfile.ZIP_STORED:
+                    with open(path, "rb") as f:
+                        f.seek(info.header_offset + 26)
+                        self.start = info.header_offset + 30 + sum(struct.unpack("<2H", f.read(4))) + inside
+                else:
+                    self.member, self.start = info.filename, inside
+        if fortran and len(self.shape) > 1 or self.dtype.hasobject:
+            raise ValueError("a matrix in C order without Python objects is needed")
+        self.width = int(np.prod(self.shape[1:], dtype=np.int64))
+        self.bytes = self.width * self.dtype.itemsize
+
+    def blocks(self, start: int, stop: int, rows: int) -> Iterator[np.ndarray]:
+        """Rows by seeking; a compressed member is read through up to ``start``."""
+        with zipfile.ZipFile(self.path).open(self.member) if self.member else open(self.path, "rb") as f:
+            at, skip = self.start + start * self.bytes, 1 << 20
+            if self.member:
+                while at > 0:
+                    at -= len(f.read(min(at, skip)))
+            else:
+                f.seek(at)
+            for a in range(start, stop, rows):
+                n = min(rows, stop - a)
+                yield np.frombuffer(f.read(n * self.bytes), self.dtype).reshape(n, self.width)
+
+
+def _npy_header(f) -> tuple[tuple, bool, np.dtype]:
+    version = np.lib.format.read_magic(f)
+    return (np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0)(f)
+
+
+class MatrixReader(DataSourceReader):
+    def __init__(self, path: str, key: str | None, rows: int):
+        self.path, self.key, self.rows = path, key, rows
+
+    def partitions(self):
+        m = Member(self.path, self.key)
+        n = m.shape[0] if m.shape else 0
+        return _ranges(self.path, n, n or 1) if m.member else _ranges(self.path, n, self.rows)
+
+    def read(self, p: RowRange) -> Iterator[pa.RecordBatch]:
+        m, at = Member(p.path, self.key), p.start
+        for x in m.blocks(p.start, p.stop, 8192):
+            values = pa.array(np.ascontiguousarray(x, np.float64).ravel())
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(x))), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * m.width), values)], ["row_id", "v"])
+            at += len(x)
+
+
+class MatrixSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "matrix"
+
+    def schema(self) -> str:
+        return "row_id long, v array<double>"
+
+    def reader(self, schema: StructType) -> MatrixReader:
+        return MatrixReader(self.options["path"], self.options.get("key"), int(self.options.get("rows", "65536")))
+
+
 def read_matrix(spark: SparkSession, path: str, name: str = "z", key: str | None = None) -> DataFrame:
-    """A ``.npy`` or, with ``key``, ``.npz`` matrix as row_id, vector (S11, S12); one-dimensional ones are widened."""
-    data = np.load(path, allow_pickle=False)
-    x = np.asarray(data[key] if key else data, float)
-    x = x[:, None] if x.ndim == 1 else x
-    return spark.createDataFrame(pd.DataFrame({"row_id": np.arange(len(x)), name: x.tolist()}), f"row_id long, {name} array<double>")
+    """A ``.npy`` or, with ``key``, ``.npz`` matrix as row_id, vector (S11, S12); one-dimensional ones are widened.
+
+    Executors read ranges of rows by their place in the file; only its header is read on the driver.
+    """
+    register(spark)
+    r = spark.read.format("matrix").option("path", path)
+    return (r.option("key", key) if key else r).load().withColumnRenamed("v", name)
+
+
+class _Arrays(pickle.Unpickler):
+    """Admits arrays and nothing else."""
+
+    def find_class(self, module: str, name: str):
+        if (module.removeprefix("numpy.").removeprefix("_core.").removeprefix("core."), name) in {("multiarray", "_reconstruct"), ("multiarray", "scalar"), ("numeric", "_frombuffer"), ("numpy", "ndarray"), ("numpy", "dtype")} or module == "_codecs" and name == "encode":
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} is not an array")
+
+
+def read_pickle(spark: SparkSession, path: str, name: str = "z") -> DataFrame:
+    """Pickled matrices (one file or a pattern) as path, row_id, vector (S5); a file is read by one task, several by several."""
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                x = np.asarray(_Arrays(io.BytesIO(content)).load(), np.float64)
+                x = x[:, None] if x.ndim == 1 else x
+                for a in range(0, len(x), 8192):
+                    part = x[a : a + 8192]
+                    yield pa.RecordBatch.from_arrays([pa.array([p] * len(part)), pa.array(np.arange(a, a + len(part))), pa.array(part.tolist(), pa.list_(pa.float64()))], ["path", "row_id", name])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"path string, row_id long, {name} array<double>")
 
 
 def component_latent(df: DataFrame, modes: int = 3) -> DataFrame:

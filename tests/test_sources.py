@@ -1,11 +1,15 @@
 """Readers, writers and the stream."""
 
+import pathlib
+import pickle
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
 from simplexa.plans import fixtures as fx
-from simplexa.operators import confusion
+from simplexa.operators import confusion, exports
 from simplexa.sources import formats
 from simplexa.streaming import populations as stream
 
@@ -32,6 +36,75 @@ def test_cs_round_trip(spark, tmp_path):
     assert sorted(back["uid"].tolist()) == sorted(t["uid"].tolist())
 
 
+def test_cs_scan_pushes_comparisons(spark, tmp_path):
+    t = table(500)
+    t["alignments3D/split"] = np.arange(500) % 7
+    with open(tmp_path / "in.cs", "wb") as f:
+        np.save(f, t)
+    df = formats.read_cs(spark, str(tmp_path / "in.cs"), row_id=True)
+    split = F.col("`alignments3D/split`")
+    kept = df.where((split >= 2) & split.isin(2, 5) & (F.col("row_id") < 400) & (F.col("uid") < -5) & (F.col("`blob/path`") == "a.mrc"))
+    want = [i for i in range(400) if i % 7 in (2, 5) and int(t["uid"][i].astype(np.int64)) < -5]
+    assert sorted(r.row_id for r in kept.collect()) == want
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "row_id" in plan and "400" not in plan.split("BatchScan")[0]  # the comparison runs in the scan
+    row = df.where("row_id = 3").first()
+    assert row["alignments3D_multi/class_posterior"] == t["alignments3D_multi/class_posterior"][3].tolist()
+
+
+def test_cs_sink_commits_whole_or_not_at_all(spark, tmp_path):
+    out = str(tmp_path / "out")
+    df = spark.createDataFrame([(i, [float(i), 0.5], "é" * (i % 3)) for i in range(50)], "uid long, z array<double>, name string").repartition(3)
+    formats.write_cs(df, out)
+    formats.write_cs(df.limit(7), out)  # replaces
+    back = formats.read_cs(spark, out)
+    assert back.count() == 7 and {(r.uid, tuple(r.z), r.name) for r in back.collect()} <= {(r.uid, tuple(r.z), r.name) for r in df.collect()}
+    formats.write_cs(df, out, overwrite=False)
+    assert formats.read_cs(spark, out).count() == 57
+    bad = df.withColumn("z", F.when(F.col("uid") == 20, F.array(F.lit(1.0))).otherwise(F.col("z")))
+    with pytest.raises(Exception, match="one length"):
+        formats.write_cs(bad, out, overwrite=False)
+    assert formats.read_cs(spark, out).count() == 57 and not [f for f in (tmp_path / "out").iterdir() if f.name.startswith("_staging")]
+
+
+def test_subset_with_twin(spark, tmp_path):
+    main = spark.createDataFrame([(i, float(i)) for i in range(60)], "uid long, w double").repartition(4)
+    twin = spark.createDataFrame([(i, i * 2) for i in range(5, 70)], "uid long, defocus int").repartition(2)
+    chosen = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(0, 80, 3)], "uid long, class string")
+    counts = {r["class"]: r.n for r in exports.subset(chosen, main, str(tmp_path / "x"), twin=twin, files=2).collect()}
+    ids = [i for i in range(0, 60, 3) if i >= 5]
+    assert counts == {"a": sum(i % 2 == 0 for i in ids), "b": sum(i % 2 == 1 for i in ids)}
+    for c in "ab":
+        files = sorted((tmp_path / "x" / c / "main").glob("*.cs"))
+        assert len(files) == len(list((tmp_path / "x" / c / "passthrough").glob("*.cs")))
+        for f in files:
+            a, b = np.load(f), np.load(str(f).replace("/main/", "/passthrough/"))
+            assert a["uid"].tolist() == b["uid"].tolist() == sorted(a["uid"].tolist()) and a.dtype.names == ("uid", "w") and b.dtype.names == ("uid", "defocus")
+
+
+def test_matrices_by_ranges(spark, tmp_path):
+    x = np.random.default_rng(0).normal(size=(1000, 3)).astype("f4")
+    np.save(tmp_path / "x.npy", x)
+    np.savez(tmp_path / "x.npz", a=x, b=np.arange(5))
+    np.savez_compressed(tmp_path / "c.npz", a=x)
+    for path, key in (("x.npy", None), ("x.npz", "a"), ("c.npz", "a")):
+        df = formats.read_matrix(spark, str(tmp_path / path), "m", key)
+        got = {r.row_id: r.m for r in df.collect()}
+        assert np.array_equal(np.array([got[i] for i in range(1000)]), x.astype(float))
+    assert [r.z for r in formats.read_matrix(spark, str(tmp_path / "x.npz"), key="b").orderBy("row_id").collect()] == [[float(i)] for i in range(5)]
+    reader = formats.MatrixReader(str(tmp_path / "x.npz"), "a", 100)
+    assert len(reader.partitions()) == 10  # a stored member is cut into ranges
+    for i in range(2):
+        with open(tmp_path / f"z.{i}.pkl", "wb") as f:
+            pickle.dump(x[: 10 + i], f)
+    z = formats.read_pickle(spark, str(tmp_path / "z.*.pkl"))
+    assert z.groupBy("path").count().count() == 2 and z.count() == 21
+    with open(tmp_path / "bad.pkl", "wb") as f:
+        pickle.dump(pathlib.Path("x"), f)
+    with pytest.raises(Exception, match="is not an array"):
+        formats.read_pickle(spark, str(tmp_path / "bad.pkl")).count()
+
+
 def test_mrc_round_trip(spark, tmp_path):
     v = np.random.default_rng(1).random((3, 4, 5)).astype("f4")
     (tmp_path / "a.mrc").write_bytes(formats.mrc_bytes(v, 1.5))

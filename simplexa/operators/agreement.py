@@ -41,6 +41,15 @@ def ari(df: DataFrame, a: str, b: str) -> DataFrame:
     return one.select(F.when(top == expected, 1.0).otherwise((F.col("s") - expected) / (top - expected)).alias("ari"))
 
 
+def ari_of(counts: np.ndarray) -> float:
+    """The same from a table of counts."""
+    c2 = lambda x: float((x * (x - 1) / 2).sum())
+    sa, sb = c2(counts.sum(1)), c2(counts.sum(0))
+    total = c2(counts.sum(keepdims=True))
+    expected, top = (sa * sb / total if total else 0.0), (sa + sb) / 2
+    return 1.0 if top == expected else (c2(counts) - expected) / (top - expected)
+
+
 def v_measures(df: DataFrame, a: str, b: str) -> DataFrame:
     """Homogeneity, completeness, V-measure and arithmetic-mean NMI."""
     t = contingency(df, a, b)

@@ -357,9 +357,10 @@ def posterior_append(spark, sf):
     return t.agg(F.count("*").alias("n"), F.avg(F.get("p", F.lit(0))).alias("p0"), F.avg(F.get("p", F.lit(2))).alias("p2"))
 
 
-@query("select u::decimal(20,0)::varchar as uid from (values ('5'),('18446744073709551611')) v(u)")
+@query("select (case when o_orderkey%2=0 then o_orderkey::hugeint else 18446744073709551616::hugeint-o_orderkey end)::varchar as uid from orders")
 def unsigned_keys(spark, sf):
-    t = spark.createDataFrame([("5",), ("18446744073709551611",)], "u string")
+    k = F.col("o_orderkey").cast("decimal(20,0)")
+    t = fx.table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, k).otherwise(F.lit("18446744073709551616").cast("decimal(20,0)") - k).cast("decimal(20,0)").cast("string").alias("u"))
     return t.select(sx.bit_pattern(F.col("u")).alias("k")).select(sx.unsigned(F.col("k")).cast("string").alias("uid"))
 
 
@@ -610,12 +611,12 @@ def conditional_mean_path(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from simplexa.plans import more_queries  # noqa: F401  (registers its own)
+    from simplexa.plans import fitted_queries, more_queries  # noqa: F401  (register their own)
 
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from simplexa.plans import more_queries  # noqa: F401
+    from simplexa.plans import fitted_queries, more_queries  # noqa: F401
 
     return dict(ORACLES)

@@ -69,11 +69,14 @@ def trainlog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two maps on a 12 x 12 x 12 grid: mean discount and mean tax of the rows that fall on each point, from whole numbers."""
     axis = lambda name: spark.range(12).select(F.col("id").cast("int").alias(name))
-    sq = lambda c, at: (F.col(c) - at) * (F.col(c) - at)
-    va = F.exp(-(sq("x", 5) + sq("y", 5) + sq("z", 5)) / 8.0)
-    vb = F.exp(-(sq("x", 6) + sq("y", 5) + sq("z", 4)) / 9.0)
-    return axis("x").crossJoin(axis("y")).crossJoin(axis("z")).select("x", "y", "z", va.alias("va"), vb.alias("vb"))
+    on = lambda c: F.pmod(F.floor(c), F.lit(12)).cast("int")
+    whole = lambda c: F.sum(F.round(F.col(c) * 100).cast("long"))
+    found = table(spark, sf_dir, "lineitem").groupBy(on("l_quantity").alias("x"), on("l_partkey").alias("y"), on("l_suppkey").alias("z")).agg(F.count("*").alias("n"), whole("l_discount").alias("a"), whole("l_tax").alias("b"))
+    grid = axis("x").crossJoin(axis("y")).crossJoin(axis("z"))  # the points of the grid
+    mean = lambda c, top: F.coalesce(F.col(c) / (F.col("n") * float(top)), F.lit(0.0))
+    return grid.join(found, ["x", "y", "z"], "left").select("x", "y", "z", mean("a", 10).alias("va"), mean("b", 8).alias("vb"))
 
 
 #: The same views in DuckDB SQL, as a WITH chain.
@@ -86,7 +89,7 @@ SQL = {
     "fx_passthrough": "select uid, e/100000 as alpha, 10000+q*100 as df1, 10000+q*90+t*5000 as df2 from fx_rows where uid%20<>1",
     "fx_latent": "select vec_id as uid, [embedding[1]::double,embedding[2]::double,embedding[3]::double,embedding[4]::double] as z, label as hard from embeddings",
     "fx_trainlog": "select datediff('day', date '2024-01-01', ts::date)::int as epoch, avg(value) as loss, count(*) as n from events group by 1",
-    "fx_voxels": "select x::int as x,y::int as y,z::int as z, exp(-((x-5)*(x-5)+(y-5)*(y-5)+(z-5)*(z-5))/8.0::double) as va, exp(-((x-6)*(x-6)+(y-5)*(y-5)+(z-4)*(z-4))/9.0::double) as vb from range(12) a(x), range(12) b(y), range(12) c(z)",
+    "fx_voxels": "select g.x, g.y, g.z, coalesce(a/(n*10.0::double), 0) as va, coalesce(b/(n*8.0::double), 0) as vb from (select x::int as x, y::int as y, z::int as z from range(12) a(x), range(12) b(y), range(12) c(z)) g left join (select (floor(l_quantity)::bigint%12)::int as x, (l_partkey%12)::int as y, (l_suppkey%12)::int as z, count(*) as n, sum(round(l_discount*100)::bigint)::bigint as a, sum(round(l_tax*100)::bigint)::bigint as b from lineitem group by 1,2,3) f using (x,y,z)",
 }
 #: What each view needs before it.
 NEEDS = {"fx_job_a": ["fx_rows"], "fx_job_b": ["fx_rows"], "fx_prot_a": ["fx_rows", "fx_job_a"], "fx_prot_b": ["fx_rows", "fx_job_b"], "fx_passthrough": ["fx_rows"]}

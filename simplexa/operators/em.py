@@ -24,6 +24,8 @@ from simplexa.session import ship
 CUMULATIVE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 #: rows that are weighted at once
 ROWS = 8192
+#: up to so many tasks, their sums are added up on the driver
+FEW = 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +43,7 @@ def poisson_weights(keys: np.ndarray, reps: Sequence[int], seed: int = 0) -> np.
     return np.searchsorted(CUMULATIVE, (h >> np.uint64(11)).astype(np.float64) / (1 << 53), side="right").astype(np.float64)
 
 
-def summed(rows: DataFrame, run, width: int) -> dict[int, np.ndarray]:
+def summed(rows: DataFrame, run, width: int, tasks: int | None = None) -> dict[int, np.ndarray]:
     """Vectors (model, stats) of all tasks, added up by model; ``run`` maps batches to {model: vector}."""
     ship(rows.sparkSession)
 
@@ -49,8 +51,14 @@ def summed(rows: DataFrame, run, width: int) -> dict[int, np.ndarray]:
         total = run(b for b in batches if b.num_rows)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], ["model", "stats"])
 
-    long = rows.mapInArrow(task, "model int, stats array<double>").select("model", F.posexplode("stats").alias("at", "v"))
+    partial = rows.mapInArrow(task, "model int, stats array<double>")
     out: dict[int, np.ndarray] = {}
+    if (tasks or rows.rdd.getNumPartitions()) <= FEW:  # so few rows need no shuffle of their own
+        found = partial.toArrow()
+        for m, v in zip(found.column("model").to_pylist(), found.column("stats").to_pylist(), strict=True):
+            out.setdefault(m, np.zeros(width))[: len(v)] += v
+        return out
+    long = partial.select("model", F.posexplode("stats").alias("at", "v"))
     for r in long.groupBy("model", "at").agg(F.sum("v").alias("v")).collect():  # models x statistics
         out.setdefault(r.model, np.zeros(width))[r["at"]] = r.v
     return out
@@ -88,7 +96,7 @@ def _statistics(x: np.ndarray, w: np.ndarray, model: tuple) -> np.ndarray:
     return np.concatenate(([w.sum(), (w * ll).sum()], np.concatenate((r.sum(0)[:, None], r.T @ x, second.reshape(len(second), -1)), 1).ravel()))
 
 
-def expectation(rows: DataFrame, models: dict[int, tuple], d: int, weight: str | None = None, reps: bool = False, seed: int = 0) -> dict[int, np.ndarray]:
+def expectation(rows: DataFrame, models: dict[int, tuple], d: int, weight: str | None = None, reps: bool = False, seed: int = 0, tasks: int | None = None) -> dict[int, np.ndarray]:
     """Sufficient statistics of each model over ``rows`` (see ``columns``); with ``reps`` the model's number is its replicate.
 
     The last column is the key where replicates are weighted, or the weight.
@@ -111,7 +119,7 @@ def expectation(rows: DataFrame, models: dict[int, tuple], d: int, weight: str |
                         total[m] += _statistics(x, b.column(d).to_numpy(zero_copy_only=False).astype(float) if weight else np.ones(len(x)), p)
         return total
 
-    return summed(rows, run, max(sizes.values()))
+    return summed(rows, run, max(sizes.values()), tasks)
 
 
 def maximisation(stats: np.ndarray, k: int, d: int, reg: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,10 +138,11 @@ def fit(df: DataFrame, vector: str, d: int, starts: Sequence[tuple], *, reg: flo
     """
     rows = columns(df, vector, d, *([key] if reps else [weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        tasks = rows.rdd.getNumPartitions()
         models = {i: tuple(np.asarray(p, float) for p in s) for i, s in enumerate(starts)}
         last, live, done = dict.fromkeys(models, -math.inf), dict(models), {}
         for it in range(1, max_iter + 1):
-            for m, s in expectation(rows, live, d, weight, reps, seed).items():
+            for m, s in expectation(rows, live, d, weight, reps, seed, tasks).items():
                 ll = s[1] / s[0]
                 models[m] = maximisation(s, len(models[m][0]), d, reg)
                 if abs(ll - last[m]) < tol:
@@ -142,7 +151,7 @@ def fit(df: DataFrame, vector: str, d: int, starts: Sequence[tuple], *, reg: flo
             live = {m: models[m] for m in models if m not in done}
             if not live:
                 break
-        final = expectation(rows, models, d, weight, reps, seed)
+        final = expectation(rows, models, d, weight, reps, seed, tasks)
         return [{"model": models[m], "loglik": final[m][1] / final[m][0], "n": final[m][0], "n_iter": done.get(m, max_iter), "converged": m in done} for m in models]
     finally:
         rows.unpersist()

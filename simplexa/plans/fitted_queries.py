@@ -199,9 +199,9 @@ def density_agreement(spark, sf):
 
 @query()
 def held_out_models(spark, sf):
-    """Held-out log density of mixtures of 1 to 6 components and of kernel densities."""
+    """Held-out log density of mixtures of 1 to 4 components and of kernel densities."""
     t = latent.standardise(fx.latent(spark, sf), "z", 4)[0].select("uid", "x")
-    rows = [(f"mixture_{r['k']}", r["held_out"]) for r in gmm.held_out(t, "x", 4, range(1, 7))]
+    rows = [(f"mixture_{r['k']}", r["held_out"]) for r in gmm.held_out(t, "x", 4, range(1, 5))]
     rows += [(f"kernel_{r['bandwidth']:g}", r["held_out"]) for r in kernel.held_out(t, "x", 4)]
     return spark.createDataFrame(rows, "model string, held_out double")
 
@@ -225,13 +225,13 @@ def bootstrap_confusion(spark, sf):
 @query()
 def selection_curves(spark, sf):
     t = latent.standardise(fx.latent(spark, sf), "z", 4)[0].select("uid", "x")
-    rows = [(r["k"], r["bic"], r["silhouette"]) for r in selection.curves(t, "x", 4, range(2, 11))]
+    rows = [(r["k"], r["bic"], r["silhouette"]) for r in selection.curves(t, "x", 4, range(2, 6), n_init=1)]
     return spark.createDataFrame(rows, "k int, bic double, silhouette double")
 
 
 @query()
 def axis_mixture(spark, sf):
-    t = selection.axis_mixture(_pc(spark, sf).select("uid", "hard", "pc1"), "pc1", 3)
+    t = selection.axis_mixture(_pc(spark, sf).select("uid", "hard", "pc1"), "pc1", 3, n_init=2)
     return t.groupBy("label", "confident").agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"), F.avg("pc1").alias("mean"))
 
 

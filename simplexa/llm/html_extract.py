@@ -35,7 +35,11 @@ from simplexa.llm.common import small_batches
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?>(?:"[^"]*"|'[^']*'|[^"'>])*))>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.DOTALL)
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
+#: One attribute with its value, so that nothing inside a value is taken for a name.
+ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]++)))?""")
+NAMING = {"class", "id", "role"}
+#: Elements that are text themselves: of a name of several parts only the last tells what they are.
+TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "li", "dd", "dt", "td", "th"}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 #: Elements whose content is not markup (fixed by the HTML standard).
@@ -79,16 +83,23 @@ def _own_weight(tag: str, attrs: str, inside: bool) -> tuple[float, bool]:
     if tag == "header" and inside:
         w = 0.0  # the heading of an article
     hidden = False
-    if attrs and ("=" in attrs or "hidden" in attrs):
+    if attrs and ("=" in attrs or "hidden" in attrs.lower()):
         low = 0.0
         for key, *values in ATTR.findall(attrs):
             value = next((v for v in values if v), "")
-            if key.lower() == "hidden" or key.lower() == "aria-hidden" and value == "true":
+            key = key.lower()
+            if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 hidden = True
-            for part in NAME_PART.findall(value):
-                x = NAME_WEIGHT.get(part.lower(), 0.0)
-                low = min(low, x) if x < 0 else low
-                w += x if x > 0 and tag in ("div", "section", "main") else 0.0
+            if key not in NAMING:
+                continue
+            for token in value.split():
+                parts = NAME_PART.findall(token)
+                if parts and (tag in TEXTUAL or parts[-1].lower() == "article"):
+                    parts = parts[-1:]
+                for part in parts:
+                    x = NAME_WEIGHT.get(part.lower(), 0.0)
+                    low = min(low, x) if x < 0 else low
+                    w += x if x > 0 and tag in ("div", "section", "main") else 0.0
         w += low
     return w, hidden
 

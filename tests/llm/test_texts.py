@@ -155,6 +155,26 @@ def test_page():
     assert html_extract.main_text(PAGE) == "A title\nLong text of an article & more, it says a lot of words <here>.\nShort.\n1\ntwo"
 
 
+@pytest.mark.parametrize(
+    "open_",
+    ['<p style="overflow:hidden">', '<p title="the hidden cost">', '<p data-state="not-hidden">', "<p data-class=sidebar>", '<p id="related-work">', '<p class="lead share-price">'],
+)
+def test_names_inside_values_hide_nothing(open_):
+    long = "A paragraph of an article that says a good many words about something."
+    page = f"<html><body><article><h1>Head</h1><p>{long}</p>{open_}{long} Again.</p></article></body></html>"
+    assert html_extract.main_text(page) == f"Head\n{long}\n{long} Again."
+    assert html_extract.main_text(page.replace(open_, "<p HIDDEN>")) == html_extract.main_text(page.replace(open_, '<p aria-hidden = "TRUE">')) == f"Head\n{long}"
+
+
+def test_head_of_a_name_tells():
+    long = "A paragraph of an article that says a good many words about something."
+    body = f"<p>{long}</p><p>{long} More.</p><p><a href='/hidden-valley'>{long}</a></p>"
+    for open_ in ('<div id="menu-costs-article">', "<article>"):
+        text = html_extract.main_text(f"<html><body>{open_}{body}</body></html>")
+        assert text.startswith(f"{long}\n{long} More.")
+    assert html_extract.main_text(f'<html><body><article><p>{long}</p><h2 class="search-results">Results</h2><blockquote class="share-price">{long}</blockquote></article></body></html>') == f"{long}\nResults\n{long}"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<div class=ad>", "</div>", "<b", ">", "<article>", "</article>", "text ", "&amp;", "&#x41;", "<!--", "-->", '"', "<script>", "</script>", "<br/>", "<a href='x'>", "</a>", "<"]), max_size=40))
 def test_any_markup(parts):

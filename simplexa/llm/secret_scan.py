@@ -3,9 +3,9 @@
 A lexer reads source and configuration syntax out of free text.  Three rules yield
 the base kinds: ``assign`` (a sensitive target name, an assignment sign, a value),
 ``access`` and ``hex`` (token shapes).  A fourth rule reads every assignment
-(``name = "literal"``, ``"name": 'literal'``, ``NAME=literal``, ``a = b``,
-``name = f("literal")``, ``<name>literal</name>``, the first line of a block scalar) into
-name-literal and name-name pairs.  Names bound to names are resolved to the literals
+(``name = "literal"``, ``"name": 'literal'``, ``name: Type = "literal"``, ``NAME=literal``, ``a = b``,
+``name = f("literal")``, ``set name "literal"``, ``<name>literal</name>``, the first line of a block scalar; literals with
+prefixes, in triple quotes or backticks, or joined by plus) into name-literal and name-name pairs.  Names bound to names are resolved to the literals
 bound to them there (constant propagation in the order of the text), and every literal is scored by how sensitive the
 names that reach it are and by its own randomness.  Literals that score at least
 ``threshold`` and overlap no base span are added as ``literal``, or as ``constant``
@@ -41,15 +41,25 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 HINTS = ("passw", "secret", "token", "api")
 KINDS = ("assign", "access", "hex", "literal", "constant")
 
-NAME, QUOTED = r"[A-Za-z_][A-Za-z0-9_.-]*+", r"""(?:"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')"""
-#: An assignment (a quoted literal with escapes, a call, the first line of a block scalar, or a bare token behind the
-#: sign) or an element around a literal.  Names and blanks are of any length and possessive, so that the search stays linear.
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+#: A string literal of up to two prefix letters; the innermost matched group is its content.
+QUOTED = r"""(?:[bfruBFRU]{0,2}+(?:\"{3}((?:[^"\\]|\\.|"(?!""))*+)\"{3}|'{3}((?:[^'\\]|\\.|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)')|`((?:[^`\\\n]|\\.)*+)`)"""
+ANNOTATION = r"(?:[ \t]*+:[ \t]*+[A-Za-z_][A-Za-z0-9_.<>\[\]?|]*+(?=[ \t]*+=))?"
+ARGUMENTS = r"[^()\n]*+(?:\([^()\n]*+\)[^()\n]*+)*+"
+#: An assignment (a name, perhaps in parentheses or with a type; a sign; then literals joined by plus, a call, the first
+#: line of a block scalar, or a bare token that is not the beginning of an expression), a setting without a sign, or an
+#: element around a literal.  Names and blanks are of any length and possessive, so that the search stays linear.
 PAIR = re.compile(
-    rf"""(?<![A-Za-z0-9_.-])(?P<name>{NAME})["']?[ \t]*+(?::=|=>|[:=])[ \t]*+(?:(?P<quoted>{QUOTED})|(?P<call>{NAME})\((?P<args>[^()\n]*+)\)|[|>][+-]?[ \t]*+\n[ \t]++(?P<block>[^\s]++)|(?P<bare>[A-Za-z0-9+/_.=-]+))"""
+    rf"""(?<![A-Za-z0-9_.-])(?P<name>{NAME})["'`]?\)?{ANNOTATION}[ \t]*+(?::=|=>|[:=])[ \t]*+(?:(?P<quoted>{QUOTED}(?:[ \t]*+[+][ \t]*+{QUOTED})*+)|(?:new[ \t]++)?(?P<call>{NAME})\((?P<args>{ARGUMENTS})\)|[|>][+-]?[ \t]*+\n[ \t]++(?P<block>[^\s]++)|(?P<bare>[A-Za-z0-9+/_.=!@#%^&*~$-]++)(?![(\[{{]))"""
+    rf"""|(?<![A-Za-z0-9_.-])set[ \t]++(?P<setting>{NAME})[ \t]++(?P<value>{QUOTED})"""
     rf"""|<(?P<element>{NAME})(?:[ \t][^<>\n]*+)?>[ \t]*+(?P<inner>[^<>\s]++)[ \t]*+</""",
-    re.ASCII,
+    re.ASCII | re.DOTALL,
 )
-STRING = re.compile(QUOTED, re.ASCII)
+STRING = re.compile(QUOTED, re.ASCII | re.DOTALL)
+#: What lies between two joined literals.
+JOINT = re.compile(r"""["'`][ \t]*[+][ \t]*[bfruBFRU]{0,2}["'`]""")
+#: Calls that fetch a value under the name they are given.
+LOOKUP = re.compile(r"(?i)(?:env|get|lookup|read|input|prompt|fetch|load)[A-Za-z0-9_]*\Z", re.ASCII)
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How strongly a word of a target name tells of a secret.
@@ -66,7 +76,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str) -> float:
     """Bits a character, more for mixed classes, nothing for placeholders and phrases."""
     n = len(value)
-    if n < 8 or PLACEHOLDER.match(value) or " " in value:
+    if n < 8 or PLACEHOLDER.match(value) or " " in value or value.startswith("$"):
         return 0.0
     bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -85,17 +95,25 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _content(text: str, start: int, end: int) -> tuple[int, int]:
+    """From the first to the last character inside the literals that a value is made of."""
+    found = list(STRING.finditer(text, start, end))
+    return found[0].start(found[0].lastindex), found[-1].end(found[-1].lastindex)
+
+
 def lexed(text: str) -> list[tuple[str, int, int, bool]]:
     """(name, start and end of the value, literal for certain) of every assignment, call argument and element."""
     pairs = []
     for m in PAIR.finditer(text):
         if m["element"] is not None:
             pairs.append((m["element"], *m.span("inner"), True))
+        elif m["setting"] is not None:
+            pairs.append((m["setting"], *_content(text, *m.span("value")), True))
         elif m["quoted"] is not None:
-            pairs.append((m["name"], m.start("quoted") + 1, m.end("quoted") - 1, True))
+            pairs.append((m["name"], *_content(text, *m.span("quoted")), True))
         elif m["call"] is not None:
-            at = m.start("args")
-            pairs += [(m["name"], at + q.start() + 1, at + q.end() - 1, True) for q in STRING.finditer(m["args"])]
+            own = not LOOKUP.search(m["call"])  # what is looked up by a name is no secret
+            pairs += [(m["name"], *q.span(q.lastindex), True) for q in STRING.finditer(text, *m.span("args")) if own]
         else:
             which = "block" if m["block"] is not None else "bare"
             pairs.append((m["name"], *m.span(which), which == "block"))
@@ -129,7 +147,7 @@ def reached(text: str, pairs: list[tuple[str, int, int, bool]]) -> dict[int, flo
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], threshold: float) -> list[tuple[int, int, int]]:
-    if "=" not in text and ":" not in text and "</" not in text:
+    if "=" not in text and ":" not in text and "</" not in text and "set" not in text:
         return []
     pairs = lexed(text)
     if not pairs:
@@ -142,7 +160,7 @@ def added_spans(text: str, base: list[tuple[int, int, int]], threshold: float) -
     starts, ends = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
     found = []
     for (a, b), (own, far) in sorted(spans.items()):
-        if max(own, far) <= 0 or (value := literal_score(text[a:b])) <= 0 or max(own, far) + value < threshold:
+        if max(own, far) <= 0 or (value := literal_score(JOINT.sub("", text[a:b]))) <= 0 or max(own, far) + value < threshold:
             continue
         before = bisect_left(starts, b)  # base spans that start before the end
         if before and ends[before - 1] > a:

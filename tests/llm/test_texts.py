@@ -136,6 +136,48 @@ def test_aligned_assignments(blanks):
         assert [(text[a:b], k) for a, k, b in secret_scan.added_spans(text, secret_scan.base_spans(text), 5.0)] == [(secret, kind)]
 
 
+#: One assignment a syntax; the target is filled in for the name and the literal for the value.
+SYNTAXES = [
+    'const {n}: string = "{v}";', '{n}: str = "{v}"', 'let {n}: String = "{v}";', '{n} = """{v}"""', "{n} = \'\'\'{v}\'\'\'", "const {n} = `{v}`;", '{n} = b"{v}"', '{n} = f"{v}"', 'set {n} "{v}"',
+    'String {n} = new String("{v}");', '({n}) = "{v}"', "{n} = {v}", "{n}={v}", '{{"{n}": "{v}"}}', "{n}: '{v}'", '{n} := "{v}"', "\'{n}\' => \'{v}\'", '{n} = decode("{v}", f("x"))', "{n}: |\n  {v}", "<{n}>{v}</{n}>",
+]
+
+
+def test_planted_assignments():
+    """Precision and recall over 20 syntaxes, sensitive and plain names, random and ordinary values."""
+    rng = random.Random(4)
+    hit = wanted = false = 0
+    for shape in SYNTAXES:
+        for name in ("db_pwd", "dbPwd", "SIGNING_KEY", "auth_header", "clientCredential"):
+            value = "".join(rng.choice("ABCDEFGHJKMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789") for _ in range(20))
+            text = "x = 1\n" + shape.format(n=name, v=value) + "\ny = 2"
+            found = [(text[a:b], k) for a, k, b in secret_scan.added_spans(text, secret_scan.base_spans(text), 5.0)]
+            wanted += 1
+            hit += (value, 3) in found
+            false += len([f for f in found if f[0] != value])
+            for n, v in (("title", value), (name, "changeme"), (name, "$" + "{VALUE_OF_IT}"), ("colour", "burgundy")):
+                plain = shape.format(n=n, v=v)
+                false += len(secret_scan.added_spans(plain, [], 5.0))
+    assert hit >= 0.95 * wanted and false <= 0.05 * wanted, (hit, wanted, false)
+
+
+def test_values_that_are_no_literals():
+    for text in ('db_pwd = os.environ.get("X_OF_THE_TOOL_42", f("y"))', "db_pwd = config.read_password_of(user)[0]", 'auth_key = getenv("AUTH_KEY_OF_7_TOOLS")', "db_pwd = ${DB_PWD_9xK}"):
+        assert secret_scan.added_spans(text, [], 5.0) == []
+    text = 'db_pwd = "Zx81kPq9" + "2LmVbT55"'
+    assert [text[a:b] for a, _, b in secret_scan.added_spans(text, [], 5.0)] == ['Zx81kPq9" + "2LmVbT55']
+
+
+def test_lexer_is_linear():
+    import time
+
+    for piece in ('a="', "set x ", "(((((", '"""', "a: b<c|", "`", "name = f(" * 3):
+        text = piece * 60_000
+        began = time.perf_counter()
+        secret_scan.lexed(text)
+        assert time.perf_counter() - began < 5
+
+
 def test_secret_table(spark):
     rows = spark.createDataFrame([*ODD, (5, "é token = abcdefghijkl0", 1, "", 0.0)], EXTRA)
     got = {r.doc_id: r for r in secret_scan.scan(rows).collect()}

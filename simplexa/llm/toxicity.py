@@ -35,11 +35,12 @@ from pyspark.sql import functions as F
 from simplexa.llm.common import bucket_expr, small_batches
 
 WORD = re.compile(r"[^\W_]+")
-FOREIGN = re.compile(r"[Ͱ-ϿЀ-ӿＡ-ｚ]")
 MIXED = re.compile(r"[\w@$]*[0-9@$][\w@$]*")
 LETTER = re.compile(r"[^\W\d_]")
 #: Letters of other scripts that look like Latin ones (fixed values).
 HOMOGLYPHS = str.maketrans("авеіјкмнорсѕтухԁԛαεικνορτυχ", "abeijkmhopcstyxdqaeikvoptux") | {c: chr(c - 0xFEE0) for c in range(0xFF21, 0xFF5B)}
+#: A letter that the table folds.
+FOREIGN = re.compile(f"[{''.join(map(chr, HOMOGLYPHS))}]")
 #: Digits and signs used as letters (fixed values).
 LEET = str.maketrans("01345789@$", "oieastbgas")
 
@@ -89,10 +90,15 @@ class Model:
                 masked.append((start, end))
             elif w > found.get(start, 0.0):
                 found[start] = w
-        for a, b in masked:
-            for s in [s for s in found if a <= s < b]:
-                del found[s]
-        return sorted(found.items())
+        out, reach, at = [], -1, 0
+        masked.sort()
+        for start, w in sorted(found.items()):  # one sweep over hits and exceptions
+            while at < len(masked) and masked[at][0] <= start:
+                reach = max(reach, masked[at][1])
+                at += 1
+            if start >= reach:
+                out.append((start, w))
+        return out
 
     def features(self, words: list[str]) -> tuple[float, float, int]:
         h = self.hits(words)

@@ -60,6 +60,28 @@ def test_bpe_table(spark):
     assert bpe.encode_decode(df.limit(0), RANKS, P.PATTERN).count() == 0
 
 
+def test_exceptions_mask_in_one_sweep():
+    """Hits against a plain search for every pattern at every place; many exceptions in a long text; a letter beyond U+04FF."""
+    import time
+
+    rng = random.Random(5)
+    model = toxicity.Model({" fool ": 2.0, " foo": 1.0, " bad ": 1.5, " b": 0.5}, [" no fool ", " bad luck ", " fool a bad "])
+    for _ in range(300):
+        words = [rng.choice(["fool", "foolish", "bad", "luck", "no", "a", "bee"]) for _ in range(rng.randint(0, 12))]
+        text = f" {' '.join(words)} "
+        at = lambda p: [i for i in range(len(text)) if text.startswith(p, i)]  # noqa: E731, B023
+        found = {}
+        for p, w in model.weights.items():
+            for i in at(p):
+                found[i] = max(w, found.get(i, 0.0))
+        gone = {j for p in model.exceptions for i in at(p) for j in range(i, i + len(p) - 1)}  # its last blank begins the next word
+        assert model.hits(words) == sorted((i, w) for i, w in found.items() if i not in gone)
+    began = time.perf_counter()
+    assert len(model.hits(["bad", "luck", "bad"] * 40_000)) == 40_000
+    assert time.perf_counter() - began < 5
+    assert toxicity.fold("\u0501umb") == ["dumb"]
+
+
 def test_fold():
     assert toxicity.fold("l0ser ＩＤＩＯＴ раthetic 2024 a@b") == ["loser", "idiot", "pathetic", "2024", "aab"]
 

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
 from simplexa.operators.quantiles import quantiles
 from simplexa.operators.joins import align
+from simplexa.session import ship
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -98,12 +100,41 @@ def hungarian_confusion(df: DataFrame, ref: str, pred: str) -> tuple[np.ndarray,
 
 
 def silhouette(df: DataFrame, vector: str, label: str, n: int = 2000, seed: int = 0, key: str = "uid") -> DataFrame:
-    """Mean Euclidean silhouette of a deterministic sample of n rows."""
-    s = df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).select(F.col(key).alias("k"), F.col(vector).alias("v"), F.col(label).alias("l"))
-    a, b = s.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.col("l").alias("la")), s
-    d = a.crossJoin(F.broadcast(b)).where("ka <> k").groupBy("ka", "la", "l").agg(F.avg(sx.distance(F.col("va"), F.col("v"))).alias("d"))  # n rows at most
-    per = d.groupBy("ka").agg(F.max(F.when(F.col("la") == F.col("l"), F.col("d"))).alias("a"), F.min(F.when(F.col("la") != F.col("l"), F.col("d"))).alias("b"))
-    return per.agg(F.avg(F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"))
+    """Mean Euclidean silhouette of a deterministic sample of n rows.
+
+    The sample, no longer than n, goes to all tasks; each measures a share of its rows against it.
+    Rows alone in their class count 0; rows without a vector or a class take no part.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    chosen = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull()).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n).select(F.col(vector).cast("array<double>").alias("v"), F.col(label).alias("l")).toArrow()
+    x = np.array(chosen.column("v").to_pylist()).reshape(chosen.num_rows, -1)
+    names, code = np.unique(np.array(chosen.column("l").to_pylist()), return_inverse=True)
+    if len(names) < 2:
+        return spark.createDataFrame([(0.0 if len(names) else None,)], "silhouette double")
+    sizes = np.bincount(code)
+    held = spark.sparkContext.broadcast((x, code, sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, code, sizes = held.value
+        member = np.eye(len(sizes))[code]
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for at in range(0, len(ids), 256):
+                i = ids[at : at + 256]
+                d = np.zeros((len(i), len(x)))
+                for c in x.T:
+                    d += (c[i][:, None] - c[None, :]) ** 2
+                sums = np.sqrt(d) @ member
+                own, r = code[i], np.arange(len(i))
+                a = sums[r, own] / np.maximum(sizes[own] - 1, 1)
+                means = sums / sizes
+                means[r, own] = np.inf
+                b = means.min(1)
+                s = np.where(sizes[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(s)], ["s"])
+
+    return spark.range(len(x)).repartition(max(1, len(x) // 512)).mapInArrow(run, "s double").agg(F.avg("s").alias("silhouette"))
 
 
 def posterior_quality(df: DataFrame, k: int, posterior: str = "posterior") -> DataFrame:

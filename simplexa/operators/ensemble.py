@@ -30,19 +30,23 @@ def temperature(df: DataFrame, target: float, lo: float = 1e-3, hi: float = 1e3,
     The mean entropy grows with T.  Each pass over the rows evaluates ``width``
     temperatures and narrows the bracket ``width + 1``-fold.
     """
-    a, b = mean_entropies(df, [lo, hi], posterior)
-    if target <= a:
-        return lo
-    if target >= b:
-        return hi
-    while hi - lo > xtol:
-        ratio = (hi / lo) ** (1 / (width + 1))
-        ts = [lo * ratio ** (i + 1) for i in range(width)]
-        hs = mean_entropies(df, ts, posterior)
-        below = [t for t, h in zip(ts, hs, strict=True) if h < target]
-        above = [t for t, h in zip(ts, hs, strict=True) if h >= target]
-        lo, hi = max([lo, *below]), min([hi, *above])
-    return (lo + hi) / 2
+    df = df.select(posterior).persist()
+    try:
+        a, b = mean_entropies(df, [lo, hi], posterior)
+        if target <= a:
+            return lo
+        if target >= b:
+            return hi
+        while hi - lo > xtol:
+            ratio = (hi / lo) ** (1 / (width + 1))
+            ts = [lo * ratio ** (i + 1) for i in range(width)]
+            hs = mean_entropies(df, ts, posterior)
+            below = [t for t, h in zip(ts, hs, strict=True) if h < target]
+            above = [t for t, h in zip(ts, hs, strict=True) if h >= target]
+            lo, hi = max([lo, *below]), min([hi, *above])
+        return (lo + hi) / 2
+    finally:
+        df.unpersist()
 
 
 def _pooled(joined: DataFrame, lambdas: Sequence[float], k: int, pools: Sequence[str], *others: str) -> DataFrame:

@@ -162,10 +162,10 @@ def continuity(df: DataFrame, column: str, key: str = "uid", seed: int = 0) -> d
     return {"delta_bic": gain, "separation": sep, "min_weight": float(two.model.weights.min()), "discrete": bool(gain > 10 and sep > 2 and two.model.weights.min() > 0.10)}
 
 
-def held_out(df: DataFrame, vector: str, d: int, ks: range, seed: int = 0, key: str = "uid") -> list[dict]:
+def held_out(df: DataFrame, vector: str, d: int, ks: range, seed: int = 0, key: str = "uid", **options) -> list[dict]:
     """Mean log likelihood of the 30 % of rows that were not fitted."""
     train, test = kernel.halves(df, key=key, seed=seed)
-    fits = fit_all(train, vector, d, [_start(train, vector, d, k, "seed", 1e-6, seed, key) for k in ks], key=key)
+    fits = fit_all(train, vector, d, [_start(train, vector, d, k, "seed", 1e-6, seed, key) for k in ks], key=key, **options)
     scores = em.expectation(em.columns(test, vector, d), {i: (f.model.weights, f.model.means, f.model.covs) for i, f in enumerate(fits)}, d)
     return [{"k": k, "held_out": float(scores[i][1] / scores[i][0])} for i, k in enumerate(ks)]
 

@@ -547,7 +547,7 @@ def bootstrap_ci(spark, sf):
 
 @query()
 def temperature(spark, sf):
-    j = _both(spark, sf).cache()
+    j = _both(spark, sf)
     target = j.agg(F.avg(sx.entropy(F.col("p_a"))).alias("h")).first().h
     return spark.createDataFrame([(float(target), ensemble.temperature(j, target, posterior="p_b", xtol=1e-3))], "target double, temperature double")
 

@@ -201,7 +201,7 @@ def density_agreement(spark, sf):
 def held_out_models(spark, sf):
     """Held-out log density of mixtures of 1 to 4 components and of kernel densities."""
     t = latent.standardise(fx.latent(spark, sf), "z", 4)[0].select("uid", "x")
-    rows = [(f"mixture_{r['k']}", r["held_out"]) for r in gmm.held_out(t, "x", 4, range(1, 5))]
+    rows = [(f"mixture_{r['k']}", r["held_out"]) for r in gmm.held_out(t, "x", 4, range(1, 5), tol=1e-4)]
     rows += [(f"kernel_{r['bandwidth']:g}", r["held_out"]) for r in kernel.held_out(t, "x", 4)]
     return spark.createDataFrame(rows, "model string, held_out double")
 
@@ -225,7 +225,7 @@ def bootstrap_confusion(spark, sf):
 @query()
 def selection_curves(spark, sf):
     t = latent.standardise(fx.latent(spark, sf), "z", 4)[0].select("uid", "x")
-    rows = [(r["k"], r["bic"], r["silhouette"]) for r in selection.curves(t, "x", 4, range(2, 6), n_init=1)]
+    rows = [(r["k"], r["bic"], r["silhouette"]) for r in selection.curves(t, "x", 4, range(2, 6), n_init=1, tol=1e-4)]
     return spark.createDataFrame(rows, "k int, bic double, silhouette double")
 
 
@@ -240,26 +240,6 @@ def junk_rows(spark, sf):
     return selection.junk_filter(fx.latent(spark, sf), "z", 4).groupBy("label", "junk").agg(F.count("*").alias("n"), F.avg(sx.norm(F.col("z"))).alias("mean_norm"))
 
 
-@query()
-def mixture_quality(spark, sf):
-    """Quality of one mixture in log-ratio space and of one in latent space."""
-    a, f = _fit(spark, sf)
-    z = latent.standardise(fx.latent(spark, sf), "z", 4)[0].select("uid", "x")
-    spaces = [("log_ratio", selection.quality(a, f, "x")), ("latent", selection.quality(z, gmm.fit(z, "x", 4, K, init="seed", n_init=4), "x"))]
-    names = ["mean_max", "median_max", "share_08", "share_09", "mean_entropy", "silhouette", "min_separation", "mean_separation"]
-    return spark.createDataFrame([(s, q["n"], q["dim"], *[float(q[c]) for c in names]) for s, q in spaces], "space string, n long, dim int, " + ", ".join(f"{c} double" for c in names))
-
-
-@query()
-def ensemble_settings(spark, sf):
-    """The sweep over pools and weights with corrected populations, agreement with a referee and the calibrated row."""
-    both = _both(spark, sf)
-    own = both.select("uid", F.col("hard_a").alias("hard"), sx.alr(F.col("p_a"), K).alias("x"))
-    referee = selection.aligned(gmm.predict(own, gmm.fit(own, "x", 2, K, init="hard").model, "x"), "hard", K).select("uid", F.col("label").alias("referee"))
-    t = ensemble.temperature(both, both.agg(F.avg(sx.entropy(F.col("p_a"))).alias("h")).first().h, posterior="p_b")
-    return ensemble.ensemble_sweep(both.join(referee, "uid"), [i / 20 for i in range(21)], K, t, referee="referee")
-
-
 @query()
 def ensemble_populations(spark, sf):
     return ensemble.ensemble_export(_both(spark, sf), 0.5, K)[1]

@@ -8,8 +8,11 @@ separators, and so do runs too short for any window made of their words, which l
 occurrence.  The FM-index of this sequence is searched backwards for every window,
 occurrences are located by sampled suffix positions, and their spans merged by document.
 
-The windows travel with the tasks in blocks of at most ``block_words`` words (one block
-is bounded, so it may be broadcast); a larger benchmark takes one pass a block.
+The items are dealt to blocks of at most ``block_bytes`` of folded text (a longer item is
+cut where its windows allow it: pieces share ``window`` - 1 words) and the blocks lie in
+a table.  The driver holds one block at a time, whose size it has checked, and broadcasts
+it; a worker builds its windows once.  A benchmark of several blocks takes a pass a block,
+each written before the next.
 
 Cases: null and empty texts have no words and no hits; null or wordless items make no
 window; items with the same id count once; texts are read whole; repeated rows give
@@ -19,25 +22,26 @@ repeated results; without a benchmark nothing is hit; further columns are ignore
 
 from __future__ import annotations
 
-import hashlib
-import pickle
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from simplexa.llm.common import small_batches
+from simplexa.llm.common import Scratch, small_batches
 from simplexa.llm.fm_index import FMIndex
 
 _WORD = rb"0123456789abcdefghijklmnopqrstuvwxyz"
 FOLD = bytes(c if c >= 0x80 else (c + 32 if 65 <= c <= 90 else c) if bytes([c]).lower() in [_WORD[i : i + 1] for i in range(36)] else 32 for c in range(256))
 WORDS = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+#: folded text of the items of a block; its windows take about a hundred times as much in a worker
+BLOCK_BYTES = 4_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -137,17 +141,86 @@ class Shard:
         return spans, items
 
 
-def _blocks(bench: DataFrame, window: int, block_words: int) -> list[bytes]:
-    """The items in blocks, read through an iterator a partition at a time."""
-    blocks, items, size = [], [], 0
-    for r in bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text").where(F.col("text").isNotNull()).toLocalIterator():
-        if words := words_of(r.text):
-            if size and size + len(words) > block_words:
-                blocks.append(pickle.dumps(Windows(items, window)))
-                items, size = [], 0
-            items.append((r.i, words))
-            size += len(words)
-    return [*blocks, pickle.dumps(Windows(items, window))]
+class Block:
+    """A block of items; its windows are built once a worker."""
+
+    def __init__(self, items: list[tuple[str, bytes]], window: int):
+        self.items, self.window = items, window
+        self.built: Windows | None = None
+
+    def windows(self) -> Windows:
+        if self.built is None:
+            self.built = Windows([(i, t.split(b" ")) for i, t in self.items], self.window)
+        return self.built
+
+    def __getstate__(self) -> tuple:
+        return self.items, self.window
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)
+
+
+def _pieces(words: list[bytes], window: int, limit: int) -> Iterator[bytes]:
+    """The words joined by spaces, in pieces of about ``limit`` bytes at most that lose no window."""
+    a = 0
+    while True:
+        b, size = a, 0
+        while b < len(words) and (size <= limit or b - a < 2 * window):
+            size += len(words[b]) + 1
+            b += 1
+        yield b" ".join(words[a:b])
+        if b == len(words):
+            return
+        a = b - window + 1
+
+
+def _dealt(bench: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """(block, item, words): tasks fold the items and fill blocks of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, block, size = TaskContext.get().partitionId(), 0, 0
+        for b in batches:
+            out = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for piece in _pieces(words_of(text), window, block_bytes // 2):
+                    if not piece:
+                        continue
+                    if size and size + len(piece) > block_bytes:
+                        block, size = block + 1, 0
+                    size += len(piece)
+                    out.append((task << 32 | block, item, piece))
+            kinds = [pa.int64(), pa.string(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["block", "item", "words"])
+
+    items = bench.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    return items.mapInArrow(run, "block long, item string, words binary")
+
+
+def _blocks(bench: DataFrame, window: int, block_bytes: int) -> Iterator[Block]:
+    """The blocks, one at a time; small neighbours are put together.  At least one, be it empty."""
+    scratch = Scratch(bench.sparkSession, "benchmark")
+    dealt = scratch.table(_dealt(bench, window, block_bytes), "blocks")
+    sizes = dealt.groupBy("block").agg(F.sum(F.length("words")).alias("size")).orderBy("block").toLocalIterator()
+    group: list[int] = []
+    held = 0
+    found = False
+    for r in sizes:
+        if group and held + r.size > block_bytes:
+            yield _read(dealt, group, window)
+            found, group, held = True, [], 0
+        group.append(r.block)
+        held += r.size
+    if group or not found:
+        yield _read(dealt, group, window)
+    scratch.drop()
+
+
+def _read(dealt: DataFrame, blocks: list[int], window: int) -> Block:
+    # at most block_bytes of words, as summed before
+    rows = dealt.where(F.col("block").between(blocks[0], blocks[-1])).select("item", "words").collect() if blocks else []
+    return Block([(r.item, bytes(r.words)) for r in rows], window)
 
 
 STATE = "doc_id long, text string, n_words long, spans array<long>, items array<string>"
@@ -163,14 +236,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _pass(block: bytes, shard_words: int, last: bool):
-    """Adds what one block of windows finds to the spans and items of every document.
-
-    The passes of several blocks follow each other within a task; the last gives no text.
-    """
+def _pass(block: Broadcast, shard_words: int, last: bool):
+    """Adds what one block of windows finds to the spans and items of every document; the last pass gives no text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = pickle.loads(block)
+        windows = block.value.windows()
         rows: list[tuple] = []
         shard = Shard(windows)
 
@@ -198,13 +268,11 @@ def _pass(block: bytes, shard_words: int, last: bool):
     return run
 
 
-def find(docs: DataFrame, bench: DataFrame, *, window: int = 10, shard_words: int = 1_000_000, block_words: int = 4_000_000) -> DataFrame:
+def find(docs: DataFrame, bench: DataFrame, *, window: int = 10, shard_words: int = 1_000_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its words, words hit, items found."""
     small_batches(docs.sparkSession)
-    blocks = _blocks(bench, window, block_words)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
-    for i, block in enumerate(blocks):
-        found = found.mapInArrow(_pass(block, shard_words, i + 1 == len(blocks)), STATE)
+    found = _over_blocks(found, bench, window, block_bytes, lambda block, last: (_pass(block, shard_words, last), STATE))
     n_hit = _covered("spans")
     return found.select(
         "doc_id",
@@ -221,25 +289,43 @@ def _covered(spans: str):
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def remove(docs: DataFrame, bench: DataFrame, *, window: int = 10, shard_words: int = 1_000_000, block_words: int = 4_000_000) -> DataFrame:
+def remove(docs: DataFrame, bench: DataFrame, *, window: int = 10, shard_words: int = 1_000_000, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents, all columns, with every hit span cut from ``text`` (from its first to its last word)."""
     small_batches(docs.sparkSession)
     at = docs.schema.names.index("text")
-    blocks = _blocks(bench, window, block_words)
-    # the text stays as it is until all blocks have searched it; spans travel in a last column
-    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.array().cast("array<long>").alias("_spans"))
+    # the text stays as it is until all blocks have searched it; spans travel in a last column, found by its place
+    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.array().cast("array<long>").alias(f"_spans_{uuid.uuid4().hex}"))
     wide = found.schema
-    for i, block in enumerate(blocks):
-        last = i + 1 == len(blocks)
-        found = found.mapInArrow(_cutter(block, at, last), docs.schema if last else wide)
+    return _over_blocks(found, bench, window, block_bytes, lambda block, last: (_cutter(block, at, last), docs.schema if last else wide))
+
+
+def _over_blocks(found: DataFrame, bench: DataFrame, window: int, block_bytes: int, stage) -> DataFrame:
+    """A pass a block; all but the last are written, so that a block leaves the cluster before the next comes."""
+    context, scratch = found.sparkSession.sparkContext, Scratch(found.sparkSession, "decontaminated")
+    blocks = _blocks(bench, window, block_bytes)
+    block, read = next(blocks), None
+    while block is not None:
+        following = next(blocks, None)
+        sent = context.broadcast(block)
+        run, schema = stage(sent, following is None)
+        found = found.mapInArrow(run, schema)
+        if following is not None:
+            path = scratch.path("pass")
+            found.write.parquet(path)
+            found = found.sparkSession.read.schema(found.schema).parquet(path)
+            if read:
+                scratch.remove(read)
+            read = path
+            sent.destroy()
+        block = following
     return found
 
 
-def _cutter(block: bytes, at: int, last: bool):
+def _cutter(block: Broadcast, at: int, last: bool):
     """Adds the spans of one block to those in the last column; the last block's pass cuts all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = pickle.loads(block)
+        windows = block.value.windows()
         for b in batches:
             shard = Shard(windows)
             texts = b.column(at).to_pylist()

@@ -10,8 +10,8 @@ equal offsets, so every repeat is found though only about one place in six is in
 
 Index.  ``FingerprintIndex.ingest`` takes a batch.  Its fingerprints form an immutable
 run, sorted and bucketed by hash, which is merge-joined bucket by bucket (no exchange)
-with the runs of earlier batches; runs are compacted into one when they exceed
-``max_runs``.  What is returned are the places, of the batch and of the history, whose
+with the runs of earlier batches; where these are more than ``max_runs``, they are
+compacted into one before the batch meets them.  Runs lie in the shared folder.  What is returned are the places, of the batch and of the history, whose
 fingerprint occurs more than once.
 
 Verification.  For windows with such a fingerprint, 128-bit digests of all their words
@@ -195,14 +195,12 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, *, window: int, anchor: int, max_runs: int = 4):
         self.spark, self.window, self.anchor, self.max_runs = spark, window, anchor, max_runs
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"simplexa_fp_{uuid.uuid4().hex}"
+        self.scratch = Scratch(spark, "fingerprints")
         self.runs: list[str] = []
-        self.made = 0
 
     def _write(self, df: DataFrame) -> str:
-        self.made += 1
-        name = f"{self.name}_{self.made}"
-        df.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(name)
+        self.scratch.tables.append(name := f"simplexa_fp_{uuid.uuid4().hex}")
+        df.write.bucketBy(self.buckets, "fp").sortBy("fp").option("path", self.scratch.path("run")).format("parquet").saveAsTable(name)
         return name
 
     def compact(self) -> None:
@@ -211,7 +209,7 @@ class FingerprintIndex:
         merged = rows.select("fp", F.col("a.doc").alias("doc"), F.col("a.pos").alias("pos"), "total", F.lit(True).alias("first"), F.lit(None).cast("binary").alias("packed"))
         old, self.runs = self.runs, [self._write(merged)]
         for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            self.scratch.forget(name)
 
     def _rows(self, runs: list[str]) -> DataFrame:
         """A row for each fingerprint of each run."""
@@ -222,7 +220,12 @@ class FingerprintIndex:
         return out
 
     def ingest(self, docs: DataFrame) -> DataFrame:
-        """Add a batch (doc, text); returns (doc, pos, packed) of places whose fingerprint is not unique."""
+        """Add a batch (doc, text); returns (doc, pos, packed) of places whose fingerprint is not unique.
+
+        What the call before returned must be written by now, for runs that are compacted go.
+        """
+        if len(self.runs) > self.max_runs:
+            self.compact()
         w = Window.partitionBy("fp", F.col("pos") < 0)
         dealt = fingerprints(docs, self.window, self.anchor).repartition(self.buckets, "fp")
         ranked = dealt.withColumn("total", F.sum("n").over(w)).withColumn("nth", F.row_number().over(w.orderBy("doc", "pos")))
@@ -238,14 +241,8 @@ class FingerprintIndex:
         self.runs.append(new)
         return found
 
-    def settle(self) -> None:
-        """Compact if there are more than ``max_runs`` runs; what ``ingest`` returned must be written by then."""
-        if len(self.runs) > self.max_runs:
-            self.compact()
-
     def drop(self) -> None:
-        for i in range(1, self.made + 1):
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{i}")
+        self.scratch.drop()
 
 
 def _places(found: list[int] | None, packed: list[bytes] | None) -> np.ndarray:
@@ -340,7 +337,7 @@ def _digests(pending: DataFrame, window: int, anchor: int) -> DataFrame:
 _OUT = "doc long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def dedup(docs: DataFrame, *, window: int = 20, anchor: int = 10, batches: int = 2, max_runs: int = 1, texts: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, *, window: int = 20, anchor: int = 10, batches: int = 3, max_runs: int = 1, texts: bool = False) -> DataFrame:
     """One row per document: its words, how many are removed, digest of the rest (with ``texts`` also the rest)."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -357,7 +354,6 @@ def dedup(docs: DataFrame, *, window: int = 20, anchor: int = 10, batches: int =
         if i < len(cuts):
             part = part.where(F.col("doc") <= cuts[i])
         found = early.table(index.ingest(part))
-        index.settle()
         candidates = found if candidates is None else candidates.unionByName(found)
     index.drop()
     prepared = scratch.table(_prepare(docs, candidates), "prepared")

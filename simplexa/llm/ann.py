@@ -9,7 +9,8 @@ the sample needs for ``target_recall``; distances there are computed exactly.
 
 Equal vectors are one entry that carries its smallest ids, so a vector that a third of
 all rows hold is one entry; parts are searched in blocks of bounded size, each by a task
-of its own, and the best of each block are merged by query.
+of its own for a bounded lot of the part's queries, and the best of each are merged by
+query.  Tables a search is done with are removed; its result stays in the shared folder.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or
 non-finite components, and rows without an id, take no part; an id with several vectors asks
@@ -214,7 +215,7 @@ _BEST = "query_id long, vec_id long, score double"
 
 
 def _rerank(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The k best of each block for each of its part's queries."""
+    """The k best of each block for each query of a lot of its part's."""
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
@@ -235,10 +236,11 @@ def _rerank(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
                 out[2].extend(float(s) for s, _ in found)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["query_id", "vec_id", "score"])
 
-    return queries.groupBy("part", "block").cogroup(rows.groupBy("part", "block")).applyInArrow(best, _BEST)
+    at = ["part", "block", "lot"]
+    return queries.groupBy(*at).cogroup(rows.groupBy(*at)).applyInArrow(best, _BEST)
 
 
-def search(vectors: DataFrame, *, every: int = 100, k: int = 10, sample_rows: int = 8192, block_rows: int = 4096, target_recall: float = 0.94) -> DataFrame:
+def search(vectors: DataFrame, *, every: int = 100, k: int = 10, sample_rows: int = 8192, block_rows: int = 4096, lot_rows: int = 4096, target_recall: float = 0.94) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     small_batches(spark, 2000)
@@ -259,17 +261,26 @@ def search(vectors: DataFrame, *, every: int = 100, k: int = 10, sample_rows: in
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))) & F.exists("vec", lambda v: v != 0)
     wanted = wanted.where((F.col("query_id") % every == 0) & (F.size("vec") == dims.d) & finite).groupBy("query_id").agg(F.min("vec").alias("vec"))
 
+    result = Scratch(spark, "neighbours")
+
     def run(asked: DataFrame, probes: int) -> DataFrame:
         routed = _routed(asked.select("query_id", "vec"), model, probes, "query_id long, vec array<double>")
-        spread = routed.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        found = _rerank(spread.select("part", "block", "query_id", "vec"), rows, k)
+        routed = scratch.table(routed, "routed")
+        # a row a part again: in how many lots its queries are dealt, and its rows given to each
+        lots = routed.groupBy("part").agg(F.ceil(F.count("*") / lot_rows).cast("int").alias("lots"))
+        asking = routed.join(F.broadcast(lots), "part").withColumn("lot", F.pmod(F.xxhash64("query_id"), "lots").cast("int"))
+        asking = asking.join(F.broadcast(blocks), "part").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        held = rows.join(F.broadcast(lots), "part").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
+        found = _rerank(asking.select("part", "block", "lot", "query_id", "vec"), held.select("part", "block", "lot", "vec", "ids"), k)
         w = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    first = scratch.table(run(wanted, model.probes))
+    first = result.table(run(wanted, model.probes))
     if model.probes < model.parts:
         short = wanted.join(first.groupBy("query_id").count().where(F.col("count") >= k), "query_id", "left_anti")
         if not short.isEmpty():
+            short = scratch.table(short, "short")
             again = run(short, model.parts)
-            first = first.join(short.select("query_id"), "query_id", "left_anti").unionByName(again)
+            first = result.table(first.join(short.select("query_id"), "query_id", "left_anti").unionByName(again))
+    scratch.drop()
     return first

@@ -301,16 +301,16 @@ def brute_hits(docs, bench, window):
     return out
 
 
-@pytest.mark.parametrize("block", [5, 10**6])
+@pytest.mark.parametrize("block", [20, 10**6])
 def test_benchmark(spark, block):
     rng = random.Random(block)
     letters = [f"w{i}" for i in range(6)] + ["É", "x_Y", "1"]
     docs = [(900, None), (901, ""), (None, "w1 w2 w3")] + [(i, rng.choice([" ", ", "]).join(rng.choice(letters) for _ in range(rng.randint(0, 60)))) for i in range(25)]
     bench = [(None, "w1 w2"), (1, None), (2, " - "), (3, "w1")] + [(10 + i, " ".join(rng.choice(letters).upper() for _ in range(rng.randint(1, 14)))) for i in range(8)]
     d, b = spark.createDataFrame(odd(docs), EXTRA), spark.createDataFrame(bench, "item_id long, text string")
-    got = [tuple(r) for r in decontam.find(d, b, window=4, shard_words=50, block_words=block).collect()]
+    got = [tuple(r) for r in decontam.find(d, b, window=4, shard_words=50, block_bytes=block).collect()]
     assert by_id(got) == by_id(brute_hits(docs, bench, 4))
-    cut = decontam.remove(d, b.where("item_id >= 10"), window=4, block_words=block)
+    cut = decontam.remove(d, b.where("item_id >= 10"), window=4, block_bytes=block)
     assert cut.columns == d.columns and cut.count() == len(docs)
     assert decontam.find(d, b.limit(0)).where("contaminated").count() == 0 and decontam.find(d.limit(0), b).count() == 0
 
@@ -327,11 +327,22 @@ def test_remove_over_blocks(spark):
     bench = [(10, "a b c d"), (11, "c d e f"), (12, "p q r s")]
     d, b = spark.createDataFrame(odd(docs), EXTRA), spark.createDataFrame(bench, "item_id long, text string").coalesce(1)
     for block in (4, 10**6):
-        cut = decontam.remove(d, b, window=4, block_words=block)
+        cut = decontam.remove(d, b, window=4, block_bytes=block)
         assert cut.columns == d.columns
         assert {r.doc_id: r.text for r in cut.collect()} == {1: "x  y", 2: "p q  r s", 3: "plain", 4: None}
 
 
+def test_long_items_are_cut_without_loss(spark):
+    """One item far above the size of a block, in pieces that share all but a word of a window."""
+    rng = random.Random(3)
+    long = [f"w{rng.randint(0, 30)}" for _ in range(400)]
+    docs = [(i, " ".join(long[k : k + n])) for i, (k, n) in enumerate((rng.randint(0, 380), rng.randint(1, 30)) for _ in range(60))]
+    bench = [(1, " ".join(long)), (2, "w1 w2"), (2, "w1 w2")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    got = [tuple(r) for r in decontam.find(d, b, window=6, block_bytes=300).collect()]
+    assert by_id(got) == by_id(brute_hits(docs, bench, 6))
+
+
 def test_fm_index():
     rng = np.random.default_rng(0)
     for _ in range(30):
@@ -421,7 +432,8 @@ def test_seating():
 # --- neighbours ------------------------------------------------------------------------
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("lot", [7, 4096])
+def test_neighbours(spark, lot):
     rng = np.random.default_rng(0)
     centres = rng.normal(0, 1, (40, 16))
     x = centres[rng.integers(0, 40, 9000)] + rng.normal(0, 0.3, (9000, 16))
@@ -430,7 +442,7 @@ def test_neighbours(spark):
     rows += [(9100, None), (9200, [0.0] * 16), (9300, [float("nan")] * 16), (9400, [1.0] * 5), (None, [1.0] * 16), (9500, [None] * 16)]
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, part int").repartition(4)
     got = defaultdict(list)
-    for r in ann.search(df).orderBy("query_id", "rank").collect():
+    for r in ann.search(df, lot_rows=lot).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
     y = x.astype(np.float32).astype(float)
     assert sorted(got) == list(range(0, 9000, 100))

@@ -135,27 +135,51 @@ def _noise(component: str, seed: int, d: int):
     return [F.sqrt(-2 * F.ln(unit(2 * i))) * F.cos(2 * math.pi * unit(2 * i + 1)) for i in range(d)]
 
 
+def _root(cov: np.ndarray) -> np.ndarray:
+    """A matrix whose square is ``cov``: Cholesky's, or of a singular one that of its eigenvectors."""
+    try:
+        return np.linalg.cholesky(cov)
+    except np.linalg.LinAlgError:
+        values, vectors = np.linalg.eigh(cov)
+        return vectors * np.sqrt(np.maximum(values, 0))
+
+
 def sampled_confusion(spark: SparkSession, weights: np.ndarray, means: np.ndarray, covs: np.ndarray, n: int = 50_000, seed: int = 0, use_weights: bool = True) -> DataFrame:
     """Sample every component, classify by posterior (R1) or, without weights, by likelihood (R2)."""
     k, d = means.shape
-    chol = np.linalg.cholesky(covs)
+    chol = np.array([_root(c) for c in covs])
     base = spark.range(k).select(F.col("id").cast("int").alias("i")).crossJoin(spark.range(n)).select("i", "id", *[e.alias(f"e{a}") for a, e in enumerate(_noise("i", seed, d))])
     pick = lambda f: F.element_at(F.array(*[F.lit(float(f(c))) for c in range(k)]), F.col("i") + 1)
-    x = [pick(lambda c, a=a: means[c, a]) + sum(pick(lambda c, a=a, b=b: chol[c, a, b]) * F.col(f"e{b}") for b in range(a + 1)) for a in range(d)]
+    x = [pick(lambda c, a=a: means[c, a]) + sum(pick(lambda c, a=a, b=b: chol[c, a, b]) * F.col(f"e{b}") for b in range(d) if chol[:, a, b].any()) for a in range(d)]
     pts = base.select("i", *[v.alias(f"x{a}") for a, v in enumerate(x)])
     dens = F.array(*[log_density([F.col(f"x{a}") for a in range(d)], means[c], covs[c]) + F.lit(math.log(weights[c]) if use_weights else 0.0) for c in range(k)])
     return hard_confusion(pts.select("i", sx.argmax(dens).alias("pred")), "i", "pred", k).select("i", "j", "value")
 
 
 def log_density(x: list, mean: np.ndarray, cov: np.ndarray):
-    """Gaussian log density as a column expression."""
-    inv, d = np.linalg.inv(cov), len(mean)
+    """Gaussian log density as a column expression; of a singular covariance the distance alone, by pseudo-inverse."""
+    d = len(mean)
+    try:
+        np.linalg.cholesky(cov)
+        inv, constant = np.linalg.inv(cov), -0.5 * (d * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1])
+    except np.linalg.LinAlgError:
+        inv, constant = np.linalg.pinv(cov), 0.0
     diff = [x[a] - F.lit(float(mean[a])) for a in range(d)]
     quad = F.lit(0.0)
     for a in range(d):
         for b in range(a, d):
             quad = quad + F.lit(float(inv[a, b] * (1 if a == b else 2))) * diff[a] * diff[b]
-    return F.lit(float(-0.5 * (d * math.log(2 * math.pi) + np.linalg.slogdet(cov)[1]))) - quad * 0.5
+    return F.lit(float(constant)) - quad * 0.5
+
+
+def monte_carlo_confusion(spark: SparkSession, model, n: int = 50_000, seed: int = 0) -> DataFrame:
+    """Confusion of a fitted mixture by draws from each component, classified by posterior."""
+    return sampled_confusion(spark, model.weights, model.means, model.covs, n, use_weights=True, seed=seed)
+
+
+def equal_prior_confusion(spark: SparkSession, model, n: int = 50_000, seed: int = 0) -> DataFrame:
+    """The same, classified by likelihood (R2)."""
+    return sampled_confusion(spark, model.weights, model.means, model.covs, n, use_weights=False, seed=seed)
 
 
 def analytical_multiclass(spark: SparkSession, stats: dict[int, tuple[int, np.ndarray, np.ndarray]], k: int, n: int = 50_000, minimum: int = 10, reg: float = 1e-6, seed: int = 0) -> DataFrame:

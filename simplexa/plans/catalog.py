@@ -475,7 +475,14 @@ def map_best_flip(spark, sf):
     return volumes.best_flip(fx.voxels(spark, sf), 12).select("cc")
 
 
-@query()
+#: Fourier coefficients of both maps, term by term, at signed frequencies; shells by rounded radius
+DFT = (
+    "select kx, ky, kz, sum(va*cos(w)) as ra, sum(va*sin(w)) as ia, sum(vb*cos(w)) as rb, sum(vb*sin(w)) as ib from "
+    "(select kx, ky, kz, va, vb, 2*pi()*((kx*x+ky*y+kz*z)%12)/12 as w from fx_voxels, range(-6,6) a(kx), range(-6,6) b(ky), range(-6,6) c(kz)) group by 1, 2, 3"
+)
+
+
+@query(f"select 'a-b' as pair, s as shell, round(s/12.0, 6)::double as freq, round(sum(ra*rb+ia*ib)/sqrt(sum(ra*ra+ia*ia)*sum(rb*rb+ib*ib)), 6) as fsc from (select *, round(sqrt(kx*kx+ky*ky+kz*kz))::bigint as s from ({DFT})) where s<=6 group by s", "fx_voxels")
 def fsc(spark, sf):
     return volumes.fsc(fx.voxels(spark, sf).withColumn("pair", F.lit("a-b")))
 
@@ -571,7 +578,14 @@ def lda_axes(spark, sf):
     return latent.separability(fx.latent(spark, sf), "z", 4)
 
 
-@query()
+@query(
+    "with m as (select " + ", ".join(f"covar_samp(embedding[{i}]::double, embedding[{j}]::double)+{0.0001 if i == j else 0.0} as c{i}{j}" for i in range(1, 5) for j in range(i, 5)) + " from embeddings), "
+    # the squares are the roots of a quadratic whose product is the ratio of the determinants
+    "q as (select c11*c22-c12*c12 as x, c33*c44-c34*c34 as y, abs(c13*c24-c14*c23) as p, "
+    "(c22*(c44*c13*c13-2*c34*c13*c14+c33*c14*c14)-2*c12*(c44*c13*c23-c34*(c13*c24+c14*c23)+c33*c14*c24)+c11*(c44*c23*c23-2*c34*c23*c24+c33*c24*c24)) as t from m), "
+    "r as (select sqrt(t/(x*y)/2+sqrt(greatest(t*t/(x*x*y*y)/4-p*p/(x*y), 0))) as big, p/sqrt(x*y) as prod from q) "
+    "select 0::int as i, round(big, 6) as corr from r union all select 1::int, round(prod/big, 6) from r"
+)
 def cca(spark, sf):
     t = fx.latent(spark, sf).select(F.slice("z", 1, 2).alias("a"), F.slice("z", 3, 2).alias("b"))
     return spark.createDataFrame([(i, float(c)) for i, c in enumerate(latent.canonical_correlations(t, "a", 2, "b", 2))], "i int, corr double")

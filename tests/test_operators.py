@@ -305,3 +305,25 @@ def test_mode_count(spark):
     assert modes.mode_count(df.where("uid < 0"), "z").first().modes == 0
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(30)], "uid long, z array<double>")
     assert modes.mode_count(same, "z").first().modes == 1
+
+
+def test_singular_covariance_by_pseudo_inverse(spark):
+    """A component on a line: its draws stay on it, and its density is the distance alone (as numpy has it)."""
+    w, m = np.array([0.5, 0.5]), np.array([[0.0, 0.0], [1.5, 1.0]])
+    c = np.array([[[1.0, 1.0], [1.0, 1.0]], [[0.5, 0.1], [0.1, 0.8]]])
+    got = {(r.i, r.j): r.value for r in confusion.sampled_confusion(spark, w, m, c, 20_000, use_weights=False).collect()}
+    rng = np.random.default_rng(0)
+    for i in range(2):
+        x = m[i] + rng.normal(size=(20_000, 2)) @ (np.array([[1.0, 1.0], [0.0, 0.0]]) if i == 0 else np.linalg.cholesky(c[1]).T)
+        line = -0.5 * np.einsum("ni,ij,nj->n", x - m[0], np.linalg.pinv(c[0]), x - m[0])
+        full = -0.5 * np.einsum("ni,ij,nj->n", x - m[1], np.linalg.inv(c[1]), x - m[1]) - np.log(2 * np.pi) - 0.5 * np.log(np.linalg.det(c[1]))
+        assert got[i, 1] == pytest.approx(np.mean(full > line), abs=0.02)
+
+
+def test_exports():
+    import simplexa
+
+    assert len(simplexa.__all__) == 18 and all(callable(getattr(simplexa, n)) for n in simplexa.__all__)
+    assert set(simplexa.__all__) <= set(dir(simplexa))
+    with pytest.raises(AttributeError):
+        simplexa.nothing

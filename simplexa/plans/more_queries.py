@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
-from simplexa.operators import agreement, confusion, exports, filters, joins, landscape, latent, modes, ordered, populations, setops, volumes
+from simplexa.operators import agreement, confusion, exports, filters, joins, landscape, latent, modes, ordered, populations, rigid, setops, volumes
 from simplexa.plans import fixtures as fx
 from simplexa.plans.catalog import BOTH, ORACLES, P3, K, _both, query
 
@@ -381,3 +381,53 @@ def map_reproducibility(spark, sf):
 @query()
 def mode_count(spark, sf):
     return modes.mode_count(fx.latent(spark, sf), "z")
+
+
+# --- resampled, moved and projected grids ----------------------------------------------
+
+
+def _tent(position: str, voxel: str) -> str:
+    return f"(1-abs({position}-{voxel}))"
+
+
+STEP = {c: f"(o.{c}*({11 / 7!r}::double))" for c in "xyz"}
+
+
+@query(
+    ", o as (select x::int as x, y::int as y, z::int as z from range(8) a(x), range(8) b(y), range(8) c(z)) " + " union all ".join(f"select '{m}' as map, o.x, o.y, o.z, round(sum(v.v{m}*" + "*".join(_tent(STEP[c], f"v.{c}") for c in "xyz") + "), 6) as v from o join fx_voxels v on " + " and ".join(f"abs({STEP[c]}-v.{c})<1" for c in "xyz") + " group by 2,3,4" for m in "ab"),
+    "fx_voxels",
+)
+def map_zoom(spark, sf):
+    return rigid.resampled(_maps(spark, sf), 12, 8).select("map", *volumes.AXES, "v")
+
+
+#: two poses, entries by rows in the order z, y, x, and translations that leave no value halfway between two roundings
+POSES = {0: ((1.0, 0.0, 0.0, 0.0, 0.8, -0.6, 0.0, 0.6, 0.8), (0.0, 0.13711337, 0.22937719)), 1: ((0.48, -0.8, 0.36, 0.64, 0.6, 0.48, -0.6, 0.0, 0.8), (0.23713391, -0.51297713, 0.91373179))}
+_POSITION = {c: "+".join(f"r[{3 * i + j + 1}]*({d}-5.5-s[{j + 1}])" for j, d in enumerate("zyx")) + "+5.5" for i, c in enumerate("zyx")}
+MOVED = (
+    ", pose as (" + " union all ".join(f"select {t}::int as t, {[*r]}::double[] as r, {[*s]}::double[] as s" for t, (r, s) in POSES.items()) + ")"
+    ", o as (select t, x::int as x, y::int as y, z::int as z, " + ", ".join(f"{p} as p{c}" for c, p in _POSITION.items()) + " from pose, range(12) a(x), range(12) b(y), range(12) c(z))"
+    ", h as (select t, x, y, z, (" + " and ".join(f"p{c}>=-1e-9 and p{c}<=11+1e-9" for c in "zyx") + ") as inside, " + ", ".join(f"least(greatest(p{c},0),11) as p{c}" for c in "zyx") + " from o)"
+    ", e as (select t, h.x, h.y, h.z, bool_and(inside) as inside, " + ", ".join(f"sum(v.v{m}*" + "*".join(_tent(f"p{c}", f"v.{c}") for c in "zyx") + f") as v{m}" for m in "ab") + " from h join fx_voxels v on " + " and ".join(f"abs(p{c}-v.{c})<1" for c in "zyx") + " group by 1,2,3,4) "
+)
+
+
+def _poses(spark):
+    return spark.createDataFrame([(m, t, [*r], [*s]) for m in "ab" for t, (r, s) in POSES.items()], "map string, t int, r array<double>, shift array<double>")
+
+
+@query(MOVED + " union all ".join(f"select '{m}' as map, t, x, y, z, round(v{m}, 6) as v from e" for m in "ab"), "fx_voxels")
+def map_moved(spark, sf):
+    return rigid.moved(_maps(spark, sf), _poses(spark), 12)
+
+
+@query(MOVED + " union all ".join(f"select '{m}' as map, t, x, y, round(sum(case when inside then v{m} else 0 end), 6) as v from e group by 2,3,4" for m in "ab"), "fx_voxels")
+def map_projections(spark, sf):
+    return rigid.projections(_maps(spark, sf), _poses(spark), 12)
+
+
+@query()
+def rigid_alignment(spark, sf):
+    """The motion that fits the second map best to the first (checked on planted motions in the tests)."""
+    pairs = fx.voxels(spark, sf).withColumn("pair", F.lit("a-b"))
+    return rigid.align(pairs, 12).select("pair", "cc_raw", "cc", "degrees", *[F.get("shift", F.lit(i)).alias(f"shift_{c}") for i, c in enumerate("zyx")])

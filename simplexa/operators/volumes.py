@@ -82,25 +82,26 @@ def dense(pdf: pd.DataFrame, column: str) -> np.ndarray:
     return out
 
 
-def shells(a: np.ndarray, b: np.ndarray, voxel: float = 1.0) -> pd.DataFrame:
-    """Fourier shell correlation by integer radius."""
+def shells(a: np.ndarray, b: np.ndarray, voxel: float = 1.0, whole: bool = False) -> pd.DataFrame:
+    """Fourier shell correlation by rounded radius up to n / 2, or by the ``whole`` part of the radius below n / 2."""
     n = a.shape[0]
     fa, fb = np.fft.fftn(a), np.fft.fftn(b)
     k = np.fft.fftfreq(n) * n
-    r = np.rint(np.sqrt(k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2)).astype(int).ravel()
-    top = n // 2 + 1
+    radius = np.sqrt(k[:, None, None] ** 2 + k[None, :, None] ** 2 + k[None, None, :] ** 2)
+    r = (np.floor(radius) if whole else np.rint(radius)).astype(int).ravel()
+    top = n // 2 if whole else n // 2 + 1
     add = lambda v: np.bincount(r, v.ravel(), top)[:top]
     num, den = add((fa * fb.conj()).real), np.sqrt(add(np.abs(fa) ** 2) * add(np.abs(fb) ** 2))
     freq = np.arange(top) / (n * voxel)
     return pd.DataFrame({"shell": np.arange(top), "freq": freq, "fsc": np.where(den > 0, num / np.where(den > 0, den, 1), 0.0)})
 
 
-def fsc(pairs: DataFrame, voxel: float = 1.0) -> DataFrame:
+def fsc(pairs: DataFrame, voxel: float = 1.0, whole: bool = False) -> DataFrame:
     """Shell correlation of each pair (pair, x, y, z, va, vb); a pair's two grids meet in one task (V3, V7)."""
     ship(pairs.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = shells(dense(pdf, "va"), dense(pdf, "vb"), voxel)
+        out = shells(dense(pdf, "va"), dense(pdf, "vb"), voxel, whole)
         out.insert(0, "pair", pdf["pair"].iloc[0])
         return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from simplexa.functions import simplex as sx
 from simplexa.operators import agreement, confusion, exports, filters, joins, landscape, latent, modes, ordered, populations, rigid, setops, volumes
 from simplexa.plans import fixtures as fx
-from simplexa.plans.catalog import BOTH, ORACLES, P3, K, _both, query
+from simplexa.plans.catalog import BOTH, DFT, ORACLES, P3, K, _both, query
 
 Z = [f"z[{i}]" for i in (1, 2, 3, 4)]
 A3 = "fx_prot_a"
@@ -383,6 +383,11 @@ def mode_count(spark, sf):
     return modes.mode_count(fx.latent(spark, sf), "z")
 
 
+@query(f"select 'a-b' as pair, s as shell, round(s/12.0, 6)::double as freq, round(sum(ra*rb+ia*ib)/sqrt(sum(ra*ra+ia*ia)*sum(rb*rb+ib*ib)), 6) as fsc from (select *, floor(sqrt(kx*kx+ky*ky+kz*kz))::bigint as s from ({DFT})) where s<6 group by s", "fx_voxels")
+def fsc_whole_radius(spark, sf):
+    return volumes.fsc(fx.voxels(spark, sf).withColumn("pair", F.lit("a-b")), whole=True)
+
+
 # --- resampled, moved and projected grids ----------------------------------------------
 
 

@@ -251,6 +251,15 @@ def test_volumes():
     rng = np.random.default_rng(0)
     v = rng.random((8, 8, 8))
     assert np.allclose(volumes.shells(v, v)["fsc"], 1)
+    assert np.allclose(volumes.shells(v, v, whole=True)["fsc"], 1) and len(volumes.shells(v, v, whole=True)) == 4
+    # the two ways of counting shells differ only in which coefficients meet
+    w = rng.random((8, 8, 8))
+    f, g, at = np.fft.fftn(v), np.fft.fftn(w), np.fft.fftfreq(8) * 8
+    for whole, part in ((False, np.rint), (True, np.floor)):
+        cells = [c for c in np.ndindex(8, 8, 8) if part(np.sqrt(sum(at[i] ** 2 for i in c))) == 2]
+        num = sum((f[c] * np.conj(g[c])).real for c in cells)
+        den = np.sqrt(sum(abs(f[c]) ** 2 for c in cells) * sum(abs(g[c]) ** 2 for c in cells))
+        assert volumes.shells(v, w, whole=whole)["fsc"][2] == pytest.approx(num / den)
     m = np.zeros((7, 7, 7), bool)
     m[1, 1, 1] = m[4:6, 4:6, 4:6] = True
     assert volumes.largest_component(m).sum() == 8 and volumes.dilate(m).sum() > m.sum() and volumes.soft_edge(m, 1.0).max() == 1

@@ -66,6 +66,43 @@ def v_measures(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.withColumn("v_measure", F.when(F.col("homogeneity") + F.col("completeness") == 0, 0.0).otherwise(2 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness"))))
 
 
+def _expected_cell(x: float, y: float, n: float, block: int = 65_536) -> float:
+    """One cell's share of the expected mutual information, over every count m it can take.
+
+    Probabilities follow from that of the mode by their ratios; from the mode outwards they fall, in both
+    directions faster and faster, so a direction ends where what is left adds nothing to a double.  That is after a few
+    deviations, so that the work grows with the root of n.
+    """
+    lo, hi = max(1.0, x + y - n), min(x, y)
+    if lo > hi:
+        return 0.0
+    mode = min(max(math.floor((x + 1) * (y + 1) / (n + 2)), lo), hi)
+    # relative weights, so that the large logarithms cancel in the sum instead of the exponent
+    weight = value = 0.0
+    part = lambda m, w: (w.sum(), (w * m / n * np.log(n * m / (x * y))).sum())
+    for up in (True, False):
+        m, last = mode, 1.0
+        if up:
+            weight, value = 1.0, mode / n * math.log(n * mode / (x * y))
+        while (m < hi if up else m > lo) and last > 1e-40:
+            steps = np.arange(1, min(block, (hi - m) if up else (m - lo)) + 1)
+            at = m + steps if up else m - steps
+            ratio = (x - at + 1) * (y - at + 1) / (at * (n - x - y + at)) if up else (at + 1) * (n - x - y + at + 1) / ((x - at) * (y - at))
+            w = last * np.cumprod(ratio)
+            s, v = part(at, w)
+            weight, value, m, last = weight + s, value + v, float(at[-1]), float(w[-1])
+    if lo == 1 and x + y <= n:  # m = 0 has a weight too, though it adds nothing
+        weight += math.exp(_log_ratio_to(0.0, mode, x, y, n))
+    return value / weight
+
+
+def _log_ratio_to(m: float, mode: float, x: float, y: float, n: float) -> float:
+    """Logarithm of the probability of m over that of the mode."""
+    lg = math.lgamma
+    at = lambda v: lg(v + 1) + lg(x - v + 1) + lg(y - v + 1) + lg(n - x - y + v + 1)
+    return at(mode) - at(m)
+
+
 def ami(counts: np.ndarray) -> float:
     """Adjusted mutual information, arithmetic mean; expectation under the hypergeometric model."""
     a, b, n = counts.sum(1), counts.sum(0), counts.sum()
@@ -73,15 +110,7 @@ def ami(counts: np.ndarray) -> float:
         return 1.0
     h = lambda x: -sum(v / n * math.log(v / n) for v in x if v > 0)
     mi = sum(counts[i, j] / n * math.log(n * counts[i, j] / (a[i] * b[j])) for i in range(len(a)) for j in range(len(b)) if counts[i, j] > 0)
-    lg = math.lgamma
-    emi = 0.0
-    for x in a:
-        for y in b:
-            lo, hi = int(max(1, x + y - n)), int(min(x, y))
-            fixed = lg(x + 1) + lg(y + 1) + lg(n - x + 1) + lg(n - y + 1) - lg(n + 1)
-            for m in range(lo, hi + 1):
-                p = math.exp(fixed - lg(m + 1) - lg(x - m + 1) - lg(y - m + 1) - lg(n - x - y + m + 1))
-                emi += m / n * math.log(n * m / (x * y)) * p
+    emi = sum(_expected_cell(float(x), float(y), float(n)) for x in a for y in b)
     top = (h(a) + h(b)) / 2
     return 1.0 if abs(top - emi) < 1e-15 else float((mi - emi) / (top - emi))
 

@@ -30,16 +30,17 @@ def load_posteriors(df: DataFrame, posterior: str = "posterior", uid: str = "uid
 def renormalised_protein(df: DataFrame, k: int, dummies: int = 6) -> DataFrame:
     """Real-class posteriors of all rows, renormalised."""
     real, _ = class_split(k, dummies)
-    return df.select("uid", sx.normalise(sx.take(F.col("posterior"), real)).alias("posterior"))
+    return df.select("uid", sx.normalise_parts([F.get("posterior", F.lit(i)) for i in real]).alias("posterior"))
 
 
 def protein_only(df: DataFrame, k: int, dummies: int = 6, protein: Sequence[int] | None = None) -> DataFrame:
     """Rows whose hard class is real; real components renormalised; class numbers closed up."""
     real, _ = class_split(k, dummies, protein)
     hard = sx.argmax(F.col("posterior"))
-    kept = df.select("uid", "posterior", hard.alias("h")).where(F.col("h").isin(real))
+    kept = sx.computed(df.select("uid", "posterior"), h=hard).where(F.col("h").isin(real))
     place = (F.array_position(F.array(*[F.lit(i) for i in real]), F.col("h")) - 1).cast("int")
-    return kept.select("uid", place.alias("hard"), sx.normalise(sx.take(F.col("posterior"), real)).alias("posterior"))
+    own = sx.computed(kept.withColumnRenamed("posterior", "all"), hard=place, posterior=sx.normalise_parts([F.get("all", F.lit(i)) for i in real]))
+    return own.select("uid", "hard", "posterior")
 
 
 def above(df: DataFrame, threshold: float, vector: str = "posterior", inclusive: bool = False) -> DataFrame:

@@ -5,8 +5,24 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from simplexa.operators import agreement
+from simplexa.functions import simplex as sx
+from simplexa.operators import agreement, filters
+from simplexa.plans import fixtures as fx
+
+
+def test_filters_do_not_copy_nested_expressions(spark, sf001):
+    strict = filters.above(fx.prot_a(spark, sf001), 0.6).groupBy("hard").count()
+    plan = strict._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FLOOR") + plan.count("floor") <= 2  # the weight is computed in one place
+
+
+def test_normalise_computes_its_argument_once(spark):
+    calls = spark.range(1).select(sx.normalise(sx.normalise(sx.normalise(F.array(F.lit(1.0), F.lit(3.0))))).alias("p"))
+    assert calls.first().p == [0.25, 0.75]
+    text = spark.range(1).select(sx.js(sx.normalise(F.array(F.col("id") + 1.0, F.lit(3.0))), F.array(F.lit(0.5), F.lit(0.5)))).columns[0]
+    assert text.count("id") == 1
 
 
 @pytest.mark.parametrize("x,y,n", [(3, 4, 10), (1, 1, 1000), (1, 1, 2), (5, 5, 5), (30, 1, 31), (200, 300, 1000), (1, 50, 50)])

@@ -1,5 +1,6 @@
 """Many mixtures and many bootstrap replicates over one pass of the rows.
 
+Equal vectors are one row with their number (or summed weights) before a fit begins.
 Rows stream through tasks as Arrow batches of scalar columns.  A task holds the sufficient
 statistics of every live model or replicate and sends one row each at its end; Spark sums
 them, so that rows are never copied and what is shuffled does not grow with them.  Replicate
@@ -24,6 +25,8 @@ from simplexa.session import ship
 CUMULATIVE = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
 #: rows that are weighted at once
 ROWS = 8192
+#: rows that are worth a task of their own
+SHARE = 32_768
 #: up to so many tasks, their sums are added up on the driver
 FEW = 64
 
@@ -96,10 +99,11 @@ def _statistics(x: np.ndarray, w: np.ndarray, model: tuple) -> np.ndarray:
     return np.concatenate(([w.sum(), (w * ll).sum()], np.concatenate((r.sum(0)[:, None], r.T @ x, second.reshape(len(second), -1)), 1).ravel()))
 
 
-def expectation(rows: DataFrame, models: dict[int, tuple], d: int, weight: str | None = None, reps: bool = False, seed: int = 0, tasks: int | None = None) -> dict[int, np.ndarray]:
+def expectation(rows: DataFrame, models: dict[int, tuple], d: int, weight: str | None = None, reps: bool = False, seed: int = 0, tasks: int | None = None, drawn: bool = False) -> dict[int, np.ndarray]:
     """Sufficient statistics of each model over ``rows`` (see ``columns``); with ``reps`` the model's number is its replicate.
 
-    The last column is the key where replicates are weighted, or the weight.
+    The last column is the key where replicates are weighted, or the weight; with ``drawn`` a column of weights a replicate
+    (see ``collapsed_replicates``) stands there instead.
     """
     sizes = {m: 2 + len(p[0]) * (1 + d + d * d) for m, p in models.items()}
 
@@ -110,7 +114,7 @@ def expectation(rows: DataFrame, models: dict[int, tuple], d: int, weight: str |
                 b = whole.slice(a, ROWS)
                 x = _x(b, d)
                 if reps:
-                    w = poisson_weights(b.column(d).to_numpy(zero_copy_only=False), list(models), seed)
+                    w = np.column_stack([b.column(d + m).to_numpy(zero_copy_only=False) for m in models]) if drawn else poisson_weights(b.column(d).to_numpy(zero_copy_only=False), list(models), seed)
                 for i, (m, p) in enumerate(models.items()):
                     if reps:
                         at = w[:, i] > 0
@@ -131,18 +135,71 @@ def maximisation(stats: np.ndarray, k: int, d: int, reg: float) -> tuple[np.ndar
     return weights / weights.sum(), means, covs
 
 
+def collapsed(rows: DataFrame, d: int, weight: str | None = None) -> DataFrame:
+    """Equal vectors as one row, the last column their summed weight (or their number): measured data repeat, and a fit
+    then passes over different vectors only."""
+    return rows.groupBy(*[f"x{i}" for i in range(d)]).agg((F.sum(F.col(weight).cast("double")) if weight else F.count("*").cast("double")).alias("w"))
+
+
+def collapsed_replicates(rows: DataFrame, d: int, reps: int, seed: int, least: float = 4.0, live: int = 20_000) -> DataFrame | None:
+    """Equal vectors as one row with their summed Poisson weights, a column a replicate; None where they would be more numbers than
+    ``least`` times the rows.
+
+    The last column of ``rows`` is the key.  A task holds at most ``live`` vectors before it passes their sums on.
+    """
+    one = rows.agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64(*[f"x{i}" for i in range(d)])).alias("distinct")).first()
+    if one.distinct * reps > least * one.n:
+        return None
+    ship(rows.sparkSession)
+    names = [*[f"x{i}" for i in range(d)], *[f"r{i}" for i in range(reps)]]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, sums = np.empty((0, d)), np.empty((0, reps))
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in (*keys.T, *sums.T)], names)
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, ROWS):
+                b = whole.slice(a, ROWS)
+                x = np.concatenate((keys, _x(b, d)))
+                w = np.concatenate((sums, poisson_weights(b.column(d).to_numpy(zero_copy_only=False), range(reps), seed)))
+                keys, at = np.unique(x, axis=0, return_inverse=True)
+                order = np.argsort(at.ravel(), kind="stable")
+                sums = np.add.reduceat(w[order], np.searchsorted(at.ravel()[order], np.arange(len(keys))), axis=0)
+                if len(keys) > live:
+                    yield packed()
+                    keys, sums = np.empty((0, d)), np.empty((0, reps))
+        if len(keys):
+            yield packed()
+
+    partial = rows.mapInArrow(task, ", ".join(f"{c} double" for c in names))
+    return partial.groupBy(*names[:d]).agg(*[F.sum(c).alias(c) for c in names[d:]])
+
+
 def fit(df: DataFrame, vector: str, d: int, starts: Sequence[tuple], *, reg: float = 1e-6, max_iter: int = 500, tol: float = 1e-5, weight: str | None = None, reps: bool = False, key: str = "uid", seed: int = 0) -> list[dict]:
     """EM from each start at once; a model leaves the passes when its mean log likelihood moves by less than ``tol``.
 
     With ``reps`` the i-th start is fitted to the i-th bootstrap replicate.
     """
-    rows = columns(df, vector, d, *([key] if reps else [weight] if weight else [])).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = columns(df, vector, d, *([key] if reps else [weight] if weight else []))
+    drawn = False  # whether the replicates' weights are columns already
+    if reps:
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        if (summed_up := collapsed_replicates(rows, d, len(starts), seed)) is not None:
+            whole, rows, drawn = rows, summed_up.persist(StorageLevel.MEMORY_AND_DISK), True
+    else:
+        rows, weight = collapsed(rows, d, weight).persist(StorageLevel.MEMORY_AND_DISK), "w"
+    kept = rows
     try:
-        tasks = rows.rdd.getNumPartitions()
+        tasks = min(rows.rdd.getNumPartitions(), max(1, math.ceil(rows.count() / SHARE)))
+        rows = rows.coalesce(tasks)  # a pass over few rows is not worth many tasks
+        if drawn:
+            whole.unpersist()
         models = {i: tuple(np.asarray(p, float) for p in s) for i, s in enumerate(starts)}
         last, live, done = dict.fromkeys(models, -math.inf), dict(models), {}
         for it in range(1, max_iter + 1):
-            for m, s in expectation(rows, live, d, weight, reps, seed, tasks).items():
+            for m, s in expectation(rows, live, d, weight, reps, seed, tasks, drawn).items():
                 ll = s[1] / s[0]
                 models[m] = maximisation(s, len(models[m][0]), d, reg)
                 if abs(ll - last[m]) < tol:
@@ -151,10 +208,10 @@ def fit(df: DataFrame, vector: str, d: int, starts: Sequence[tuple], *, reg: flo
             live = {m: models[m] for m in models if m not in done}
             if not live:
                 break
-        final = expectation(rows, models, d, weight, reps, seed, tasks)
+        final = expectation(rows, models, d, weight, reps, seed, tasks, drawn)
         return [{"model": models[m], "loglik": final[m][1] / final[m][0], "n": final[m][0], "n_iter": done.get(m, max_iter), "converged": m in done} for m in models]
     finally:
-        rows.unpersist()
+        kept.unpersist()
 
 
 def replicate_moments(df: DataFrame, vector: str, d: int, k: int, reps: int, *, label: str = "hard", key: str = "uid", seed: int = 0, second: bool = False) -> np.ndarray:

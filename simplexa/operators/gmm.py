@@ -84,10 +84,13 @@ def _from_hard(df: DataFrame, vector: str, d: int, k: int, label: str, reg: floa
     return Mixture(weights / weights.sum(), means, covs)
 
 
-def seeded(df: DataFrame, vector: str, d: int, k: int, seed: int, reg: float, key: str = "uid") -> Mixture:
-    """Spread-out starting means from a hashed sample of at most 2,000 rows."""
-    rows = df.select(vector).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(2000).collect()
-    x = np.array([r[0] for r in rows])
+def sample(df: DataFrame, vector: str, seed: int, key: str = "uid") -> np.ndarray:
+    """At most 2,000 rows, the first by a hash."""
+    return np.array([r[0] for r in df.select(vector).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(2000).collect()])
+
+
+def seeded(x: np.ndarray, d: int, k: int, seed: int, reg: float) -> Mixture:
+    """Spread-out starting means from a ``sample``."""
     rng = np.random.default_rng(seed)
     means = [x[rng.integers(len(x))]]
     while len(means) < k:
@@ -97,8 +100,14 @@ def seeded(df: DataFrame, vector: str, d: int, k: int, seed: int, reg: float, ke
     return Mixture(np.full(k, 1 / k), np.array(means), np.tile(cov, (k, 1, 1)))
 
 
-def _start(df: DataFrame, vector: str, d: int, k: int, init: str | Mixture, reg: float, seed: int, key: str) -> Mixture:
-    return init if isinstance(init, Mixture) else seeded(df, vector, d, k, seed, reg, key) if init == "seed" else _from_hard(df, vector, d, k, init, reg)
+def _starts(df: DataFrame, vector: str, d: int, ks: Sequence[int], init: str | Mixture, reg: float, seed: int, key: str) -> list[Mixture]:
+    """A start for each number of components; those by seed share one sample."""
+    if isinstance(init, Mixture):
+        return [init for _ in ks]
+    if init != "seed":
+        return [_from_hard(df, vector, d, k, init, reg) for k in ks]
+    x = sample(df, vector, seed, key)
+    return [seeded(x, d, k, seed, reg) for k in ks]
 
 
 def fit_all(df: DataFrame, vector: str, d: int, starts: Sequence[Mixture], **options) -> list[Fit]:
@@ -109,7 +118,7 @@ def fit_all(df: DataFrame, vector: str, d: int, starts: Sequence[Mixture], **opt
 
 def fit(df: DataFrame, vector: str, d: int, k: int, *, init: str | Mixture = "hard", reg: float = 1e-6, max_iter: int = 500, tol: float = 1e-5, seed: int = 0, n_init: int = 1, weight: str | None = None, key: str = "uid") -> Fit:
     """Full-covariance mixture (M1): ``init`` names a label column, is "seed", or is a mixture to start from; of ``n_init`` seeds the best."""
-    starts = [_start(df, vector, d, k, init, reg, seed + i, key) for i in range(n_init if init == "seed" else 1)]
+    starts = [_starts(df, vector, d, [k], init, reg, seed + i, key)[0] for i in range(n_init if init == "seed" else 1)]
     return max(fit_all(df, vector, d, starts, reg=reg, max_iter=max_iter, tol=tol, weight=weight, key=key), key=lambda f: f.loglik)
 
 
@@ -120,7 +129,7 @@ def diagnostics(f: Fit) -> dict:
 
 def bic_sweep(df: DataFrame, vector: str, d: int, ks: range, *, reg: float = 1e-6, seed: int = 0, key: str = "uid", init: str = "seed", **options) -> list[dict]:
     """Criteria for a range of component numbers, fitted in the same passes (M4, M5)."""
-    starts = [_start(df, vector, d, k, init, reg, seed, key) for k in ks]
+    starts = _starts(df, vector, d, ks, init, reg, seed, key)
     fits = fit_all(df, vector, d, starts, reg=reg, key=key, **options)
     return [{"k": k, "bic": f.bic, "aic": f.aic, "loglik": f.loglik, "converged": f.converged, "min_weight": float(f.model.weights.min())} for k, f in zip(ks, fits, strict=True)]
 
@@ -165,7 +174,7 @@ def continuity(df: DataFrame, column: str, key: str = "uid", seed: int = 0) -> d
 def held_out(df: DataFrame, vector: str, d: int, ks: range, seed: int = 0, key: str = "uid", **options) -> list[dict]:
     """Mean log likelihood of the 30 % of rows that were not fitted."""
     train, test = kernel.halves(df, key=key, seed=seed)
-    fits = fit_all(train, vector, d, [_start(train, vector, d, k, "seed", 1e-6, seed, key) for k in ks], key=key, **options)
+    fits = fit_all(train, vector, d, _starts(train, vector, d, ks, "seed", 1e-6, seed, key), key=key, **options)
     scores = em.expectation(em.columns(test, vector, d), {i: (f.model.weights, f.model.means, f.model.covs) for i, f in enumerate(fits)}, d)
     return [{"k": k, "held_out": float(scores[i][1] / scores[i][0])} for i, k in enumerate(ks)]
 

@@ -19,7 +19,8 @@ def curves(df: DataFrame, vector: str, d: int, ks: Sequence[int], *, rows: int =
 
     The silhouette is that of a sample of ``rows`` rows; with one component there is none.
     """
-    starts = [(k, gmm.seeded(df, vector, d, k, seed + i, 1e-6, key)) for k in ks for i in range(n_init)]
+    samples = [gmm.sample(df, vector, seed + i, key) for i in range(n_init)]
+    starts = [(k, gmm.seeded(x, d, k, seed + i, 1e-6)) for k in ks for i, x in enumerate(samples)]
     fits = gmm.fit_all(df, vector, d, [m for _, m in starts], key=key, **options)
     best = {k: max((f for (j, _), f in zip(starts, fits, strict=True) if j == k), key=lambda f: f.loglik) for k in ks}
     out = []

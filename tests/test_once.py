@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
-from simplexa.operators import agreement, filters
+from simplexa.operators import agreement, em, filters
 from simplexa.plans import fixtures as fx
 
 
@@ -37,3 +37,31 @@ def test_expected_information_of_large_counts_is_quick():
     t = time.time()
     agreement.ami(np.full((3, 3), 2.0e7) + np.eye(3) * 1e6)
     assert time.time() - t < 5  # it took a term for each possible count
+
+
+def _repeated(spark, n=6000):
+    v = F.array((F.col("id") % 7 - 3.0) + (F.col("id") % 3) * 0.1, (F.col("id") % 5) * 0.5)
+    return spark.range(n).select(F.col("id").alias("uid"), v.alias("x"))
+
+
+START = (np.array([0.5, 0.5]), np.array([[-1.0, 0.0], [1.0, 1.0]]), np.array([np.eye(2)] * 2))
+
+
+def test_fit_passes_over_different_vectors(spark):
+    df = _repeated(spark)
+    rows = em.columns(df, "x", 2)
+    few = em.collapsed(rows, 2)
+    assert few.count() == 105 and few.agg(F.sum("w")).first()[0] == 6000
+    a, b = em.expectation(rows, {0: START}, 2)[0], em.expectation(few, {0: START}, 2, "w")[0]
+    assert np.allclose(a, b, rtol=1e-12)
+    assert em.fit(df, "x", 2, [START], max_iter=5)[0]["n"] == 6000
+
+
+def test_replicates_pass_over_different_vectors(spark):
+    rows = em.columns(_repeated(spark), "x", 2, "uid")
+    few = em.collapsed_replicates(rows, 2, 3, seed=4, live=50)
+    assert few.count() == 105
+    models = dict.fromkeys(range(3), START)
+    a, b = em.expectation(rows, models, 2, reps=True, seed=4), em.expectation(few, models, 2, reps=True, seed=4, drawn=True)
+    assert all(np.allclose(a[m], b[m], rtol=1e-10) for m in models)
+    assert em.collapsed_replicates(em.columns(spark.range(100).select(F.col("id").alias("uid"), F.array(F.col("id") * 1.5).alias("x")), "x", 1, "uid"), 1, 30, 0) is None

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
 from simplexa.operators import agreement, populations
+from simplexa.session import ship
 
 #: Pool functions by name: weight of a class from (a, b, ln a, ln b, lambda); weights are normalised after.
 POOLS: dict[str, Callable[..., Column]] = {
@@ -20,8 +22,41 @@ POOLS: dict[str, Callable[..., Column]] = {
 
 def mean_entropies(df: DataFrame, temperatures: Sequence[float], posterior: str = "posterior") -> list[float]:
     """Mean entropy of the softened posteriors for several temperatures, in one pass."""
-    row = df.agg(*[F.avg(sx.entropy(sx.soften(F.col(posterior), float(t)))).alias(f"h{i}") for i, t in enumerate(temperatures)]).first()
-    return [row[f"h{i}"] for i in range(len(temperatures))]
+    return _mean_entropies(_logs(df, posterior), temperatures)
+
+
+def _logs(df: DataFrame, posterior: str) -> DataFrame:
+    """Logarithms of the clipped components less their largest, which softening does not change."""
+    logs = F.transform(sx.clip_low(F.col(posterior)), lambda x: F.ln(x))
+    return df.select(sx.once(logs, lambda v: sx.once(F.array_max(v), lambda top: F.transform(v, lambda x: x - top))).alias("logs"))
+
+
+def _mean_entropies(logs: DataFrame, temperatures: Sequence[float]) -> list[float]:
+    """Tasks sum the entropies of all temperatures in numpy, and pass on a sum each."""
+    ship(logs.sparkSession)
+    ts = [float(t) for t in temperatures]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(ts)), 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = b.column(0)
+            if column.null_count:
+                column = column.drop_null()
+            sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+            flat = column.flatten().to_numpy(zero_copy_only=False)
+            for k in np.unique(sizes[sizes > 0]):  # vectors of one size at once
+                x = flat[np.repeat(sizes == k, sizes)].reshape(-1, k)
+                n += len(x)
+                for i, t in enumerate(ts):
+                    w = np.exp(x / t)
+                    p = np.maximum(w / np.maximum(w.sum(1, keepdims=True), sx.TINY), sx.TINY)
+                    total[i] -= (p * np.log(p)).sum()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "h"])
+
+    found = logs.mapInArrow(task, "n long, h array<double>").agg(F.sum("n").alias("n"), *[F.sum(F.get("h", F.lit(i))).alias(f"h{i}") for i in range(len(ts))]).first()
+    return [found[f"h{i}"] / found.n if found.n else None for i in range(len(ts))]
 
 
 def temperature(df: DataFrame, target: float, lo: float = 1e-3, hi: float = 1e3, xtol: float = 1e-4, posterior: str = "posterior", width: int = 8) -> float:
@@ -30,9 +65,9 @@ def temperature(df: DataFrame, target: float, lo: float = 1e-3, hi: float = 1e3,
     The mean entropy grows with T.  Each pass over the rows evaluates ``width``
     temperatures and narrows the bracket ``width + 1``-fold.
     """
-    df = df.select(posterior).persist()
+    df = _logs(df, posterior).persist()
     try:
-        a, b = mean_entropies(df, [lo, hi], posterior)
+        a, b = _mean_entropies(df, [lo, hi])
         if target <= a:
             return lo
         if target >= b:
@@ -40,7 +75,7 @@ def temperature(df: DataFrame, target: float, lo: float = 1e-3, hi: float = 1e3,
         while hi - lo > xtol:
             ratio = (hi / lo) ** (1 / (width + 1))
             ts = [lo * ratio ** (i + 1) for i in range(width)]
-            hs = mean_entropies(df, ts, posterior)
+            hs = _mean_entropies(df, ts)
             below = [t for t, h in zip(ts, hs, strict=True) if h < target]
             above = [t for t, h in zip(ts, hs, strict=True) if h >= target]
             lo, hi = max([lo, *below]), min([hi, *above])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
-from simplexa.operators import agreement, em, filters
+from simplexa.operators import agreement, em, ensemble, filters
 from simplexa.plans import fixtures as fx
 
 
@@ -65,3 +65,10 @@ def test_replicates_pass_over_different_vectors(spark):
     a, b = em.expectation(rows, models, 2, reps=True, seed=4), em.expectation(few, models, 2, reps=True, seed=4, drawn=True)
     assert all(np.allclose(a[m], b[m], rtol=1e-10) for m in models)
     assert em.collapsed_replicates(em.columns(spark.range(100).select(F.col("id").alias("uid"), F.array(F.col("id") * 1.5).alias("x")), "x", 1, "uid"), 1, 30, 0) is None
+
+
+def test_mean_entropies_as_by_columns(spark):
+    df = spark.createDataFrame([([0.7, 0.2, 0.1],), ([1.0, 0.0, 0.0],), ([0.5, 0.5],), (None,)], "posterior array<double>")
+    ts = [0.01, 1.0, 30.0]
+    want = [df.agg(F.avg(sx.entropy(sx.soften(F.col("posterior"), t)))).first()[0] for t in ts]
+    assert ensemble.mean_entropies(df, ts) == pytest.approx(want, abs=1e-12)

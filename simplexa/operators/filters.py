@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from simplexa.functions import simplex as sx
 from simplexa.operators.quantiles import quantiles
+from simplexa.session import ship
 
 
 def class_split(k: int, dummies: int = 6, protein: Sequence[int] | None = None) -> tuple[list[int], list[int]]:
@@ -49,6 +55,38 @@ def above(df: DataFrame, threshold: float, vector: str = "posterior", inclusive:
     return df.where(m >= threshold if inclusive else m > threshold)
 
 
+def divergences(df: DataFrame, a: str = "p_a", b: str = "p_b") -> DataFrame:
+    """Adds ``js``, the divergence of two vectors of one length, by the C library's logarithm.
+
+    Rows that tie at a percentile are on its one side or the other by their last bits, and the JVM's logarithm differs in those
+    from that of SQL engines in C.
+    """
+    ship(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField("js", T.DoubleType())])
+    at = [df.columns.index(a), df.columns.index(b)]
+
+    def components(v: pa.Array) -> list[np.ndarray]:
+        x = np.maximum(v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1), sx.TINY)
+        total = sum(x.T[1:], x[:, 0])
+        return [c / total for c in x.T]
+
+    def half(v: list[np.ndarray], mid: list[np.ndarray]) -> np.ndarray:
+        terms = [x * np.fromiter(map(math.log, (x / m).tolist()), float, len(x)) for x, m in zip(v, mid, strict=True)]
+        return sum(terms[1:], terms[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            js = pa.nulls(batch.num_rows, pa.float64())
+            both = pc.and_(pc.is_valid(batch.column(at[0])), pc.is_valid(batch.column(at[1])))
+            if pc.any(both).as_py():
+                x, y = (components(batch.column(i).filter(both)) for i in at)
+                mid = [(u + v) / 2 for u, v in zip(x, y, strict=True)]
+                js = pc.replace_with_mask(js, both, pa.array((half(x, mid) + half(y, mid)) / 2))
+            yield pa.RecordBatch.from_arrays([*batch.columns, js], [*batch.schema.names, "js"])
+
+    return df.mapInArrow(run, schema)
+
+
 def confidence_tiers(df: DataFrame, js: str = "js", agree: str = "agree") -> DataFrame:
     """full, hard, hcperm, hc: nested by agreement and by divergence below its 66th and 33rd percentile."""
     p66, p33 = (F.lit(x).cast("double") for x in quantiles(df, js, [0.66, 0.33]))

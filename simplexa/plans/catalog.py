@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from simplexa.functions import simplex as sx
 from simplexa.operators import agreement, confusion, ensemble, exports, filters, gmm, joins, landscape, latent, ordered, populations, resample, setops, volumes
 from simplexa.plans import fixtures as fx
+from simplexa.session import Written
 
 K = 3  # real classes of the fixtures
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,7 +257,12 @@ def js_divergence_summary(spark, sf):
 
 @query(JS + ", c as (select quantile_cont(js,0.66) as p66, quantile_cont(js,0.33) as p33 from d) select case when hard_a=hard_b and js<p33 then 'hc' when hard_a=hard_b and js<p66 then 'hcperm' when hard_a=hard_b then 'hard' else 'full' end as tier, count(*) as n from d, c group by 1", "fx_prot_a", "fx_prot_b")
 def confidence_tiers(spark, sf):
-    return filters.confidence_tiers(_js(spark, sf).withColumn("agree", (F.col("hard_a") == F.col("hard_b")).cast("int"))).groupBy("tier").agg(F.count("*").alias("n"))
+    both = joins.two_experts(fx.prot_a(spark, sf), fx.prot_b(spark, sf, c_library=True))
+    written = Written(spark, "tiers")  # read for the percentiles and for the tiers
+    t = written(filters.divergences(both.select("p_a", "p_b", (F.col("hard_a") == F.col("hard_b")).cast("int").alias("agree"))).select("agree", "js"))
+    found = filters.confidence_tiers(t).groupBy("tier").agg(F.count("*").alias("n")).collect()  # a row a tier
+    written.drop()
+    return spark.createDataFrame([tuple(r) for r in found], "tier string, n long")
 
 
 @query("select hard, count(*) as n, round(avg(ln(greatest(posterior[1],1e-9)/greatest(posterior[2],1e-9))), 6) as mean_ratio from fx_prot_a where posterior[1]+posterior[2]>1.0/3 group by 1", "fx_prot_a")

@@ -72,3 +72,19 @@ def test_mean_entropies_as_by_columns(spark):
     ts = [0.01, 1.0, 30.0]
     want = [df.agg(F.avg(sx.entropy(sx.soften(F.col("posterior"), t)))).first()[0] for t in ts]
     assert ensemble.mean_entropies(df, ts) == pytest.approx(want, abs=1e-12)
+
+
+def test_divergences_to_the_last_bit(spark, sf01):
+    """Every divergence as DuckDB computes it, so that ties at a percentile fall on the same side."""
+    import duckdb
+
+    from simplexa.operators import joins
+    from simplexa.plans import catalog
+
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{sf01}/lineitem.parquet'")
+    want = dict(con.execute(fx.with_views(catalog.JS + "select uid, js from d", "fx_prot_a", "fx_prot_b")).fetchall())
+    both = joins.two_experts(fx.prot_a(spark, sf01), fx.prot_b(spark, sf01, c_library=True))
+    assert {r.uid: r.js for r in filters.divergences(both).select("uid", "js").collect()} == want
+    odd = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), (None, [1.0, 0.0])], "p_a array<double>, p_b array<double>")
+    assert [r.js for r in filters.divergences(odd).collect()] == [0.0, None]

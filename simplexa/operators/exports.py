@@ -10,11 +10,16 @@ from simplexa.session import Written
 from simplexa.sources import formats
 
 
-def subset(selection: DataFrame, table: DataFrame, path: str, by: str = "class", key: str = "uid", twin: DataFrame | None = None, files: int = 1) -> DataFrame:
+#: rows of a file where the number of files is not given
+FILE_ROWS = 500_000
+
+
+def subset(selection: DataFrame, table: DataFrame, path: str, by: str = "class", key: str = "uid", twin: DataFrame | None = None, files: int | None = None) -> DataFrame:
     """Selected rows of a table as ``.cs`` files, ``path``/<class>/main, one folder a class (K1, K2, G10); returns rows by class.
 
     With ``twin`` the passthrough fields of the same rows go to ``path``/<class>/passthrough, in the same
-    files and order; a row must be in both tables.  Rows are ordered by key.
+    files and order; a row must be in both tables.  Rows are ordered by key
+    within a file.  A class has ``files`` files, dealt by key; without it one for every ``FILE_ROWS`` rows.
     """
     rows = table.join(selection.select(key, F.col(by).alias("_by")), key)
     if twin is not None:
@@ -23,8 +28,8 @@ def subset(selection: DataFrame, table: DataFrame, path: str, by: str = "class",
     written = Written(table.sparkSession, "subset")
     held = written(rows)  # both tables are cut from the same rows
     counts = held.groupBy(F.col("_by").alias(by)).agg(F.count("*").alias("n")).orderBy(by).collect()
-    for name, _ in counts:
-        mine = held.where(F.col("_by").eqNullSafe(F.lit(name))).repartition(files, key).sortWithinPartitions(key)
+    for name, n in counts:
+        mine = held.where(F.col("_by").eqNullSafe(F.lit(name))).repartition(files or -(-n // FILE_ROWS), key).sortWithinPartitions(key)
         formats.write_cs(mine.select(*own), f"{path}/{name}/main")
         if twin is not None:
             formats.write_cs(mine.select("_twin.*"), f"{path}/{name}/passthrough")

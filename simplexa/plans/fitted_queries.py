@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+from pathlib import Path
+
 import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from simplexa.functions import simplex as sx
@@ -159,6 +163,12 @@ def structured_round_trip(spark, sf):
     return spark.createDataFrame([tuple(r) for r in rows], "hard int, n long, total double, first long")
 
 
+def _by_file(spark, folder):
+    """The rows of a structured folder with the name of their file: row numbers count within one."""
+    files = [formats.read_cs(spark, f, row_id=True).withColumn("file", F.lit(Path(f).name)) for f in formats.part_files(folder)]
+    return functools.reduce(DataFrame.unionByName, files)
+
+
 @query("select a.hard as class, count(*) as n, round(sum(p.df1), 6) as defocus, 0::bigint as out_of_order from fx_prot_a a join fx_passthrough p using (uid) group by 1", "fx_prot_a", "fx_passthrough")
 def subset_with_twin(spark, sf):
     """Classes exported with their passthrough fields; both files of a class hold the same rows in one order."""
@@ -167,8 +177,8 @@ def subset_with_twin(spark, sf):
     counts = exports.subset(own.select("uid", F.col("hard").alias("class")), own.select("uid", "posterior"), f"{_local(written)}/x", twin=fx.passthrough(spark, sf)).collect()
     rows = []
     for r in counts:
-        main, twin = (formats.read_cs(spark, f"{_local(written)}/x/{r['class']}/{part}", row_id=True) for part in ("main", "passthrough"))
-        both = main.select("row_id", F.col("uid").alias("a")).join(twin.select("row_id", F.col("uid").alias("b"), "df1"), "row_id")
+        main, twin = (_by_file(spark, f"{_local(written)}/x/{r['class']}/{part}") for part in ("main", "passthrough"))
+        both = main.select("file", "row_id", F.col("uid").alias("a")).join(twin.select("file", "row_id", F.col("uid").alias("b"), "df1"), ["file", "row_id"])
         rows.append((r["class"], *both.agg(F.count("*"), F.sum("df1"), F.sum((F.col("a") != F.col("b")).cast("long"))).first()))
     written.drop()
     return spark.createDataFrame(rows, "class int, n long, defocus double, out_of_order long")

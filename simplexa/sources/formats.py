@@ -40,7 +40,7 @@ def _spark_type(dt: np.dtype):
     return IntegerType() if dt.kind in "iu" and dt.itemsize < 4 or dt == np.int32 else LongType()
 
 
-def _files(path: str) -> list[str]:
+def part_files(path: str) -> list[str]:
     """The file, or the part files of a folder in their order; row numbers count within a file."""
     import os
 
@@ -97,7 +97,7 @@ class CsReader(DataSourceReader):
                 yield f
 
     def partitions(self):
-        return [r for f in _files(self.path) for r in _ranges(f, len(np.load(f, mmap_mode="r")), self.rows)]
+        return [r for f in part_files(self.path) for r in _ranges(f, len(np.load(f, mmap_mode="r")), self.rows)]
 
     def _kept(self, part: np.ndarray, first: int) -> np.ndarray:
         keep = np.ones(len(part), bool)
@@ -227,7 +227,7 @@ class CsSource(DataSource):
         return "cs"
 
     def schema(self) -> StructType:
-        dt = np.load(_files(self.options["path"])[0], mmap_mode="r").dtype
+        dt = np.load(part_files(self.options["path"])[0], mmap_mode="r").dtype
         names = [n.strip() for n in self.options.get("columns", "").split(",") if n.strip()] or list(dt.names)
         fields = [StructField(n, LongType() if n == "row_id" else _spark_type(dt[n])) for n in names if n != "row_id"]
         return StructType([StructField("row_id", LongType()), *fields] if "row_id" in names or self.options.get("rowid") == "true" else fields)

@@ -31,6 +31,8 @@ CELL_ROWS = 128
 PIVOTS = 4096
 #: queries of a cell that are searched by one task
 BLOCK = 4096
+#: distances that a task holds at once
+MATRIX = 1 << 20
 #: the triangle inequality is trusted up to rounding
 SLACK = 1 + 1e-9
 
@@ -54,6 +56,12 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(out)
 
 
+def _lots(rows: int, columns: int) -> Iterator[slice]:
+    """The rows of a matrix of distances in lots of at most ``MATRIX`` entries, or of one row."""
+    step = max(1, MATRIX // max(1, columns))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 class Cells:
     """Points with their cell, and how far each cell reaches from its pivot."""
 
@@ -70,9 +78,10 @@ class Cells:
 
         def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    d = _distances(_matrix(b.column(1)), p)
-                    yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "v", "weight", "cell", "off"])
+                for lot in _lots(b.num_rows, len(p)):
+                    c = b.slice(lot.start, lot.stop - lot.start)
+                    d = _distances(_matrix(c.column(1)), p)
+                    yield pa.RecordBatch.from_arrays([*c.columns, pa.array(d.argmin(1).astype(np.int32)), pa.array(d.min(1))], ["id", "v", "weight", "cell", "off"])
 
         self.points = self.written(pts.select("id", "v", "weight").mapInArrow(place, "id long, v array<double>, weight long, cell int, off double"))
         self.radius = np.zeros(len(p))
@@ -85,10 +94,12 @@ class Cells:
 
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if b.num_rows:
-                    near = _distances(_matrix(b.column(1)), p) - radius[None, :]
-                    q, c = np.nonzero(near <= b.column(3).to_numpy()[:, None] * SLACK + 1e-300)
-                    t = b.take(pa.array(q))
+                # a row may go to every cell
+                for lot in _lots(b.num_rows, 16 * len(p)):
+                    part = b.slice(lot.start, lot.stop - lot.start)
+                    near = _distances(_matrix(part.column(1)), p) - radius[None, :]
+                    q, c = np.nonzero(near <= part.column(3).to_numpy()[:, None] * SLACK + 1e-300)
+                    t = part.take(pa.array(q))
                     yield pa.RecordBatch.from_arrays([*t.columns, pa.array(c.astype(np.int32))], ["id", "v", "comp", "bound", "cell"])
 
         out = asked.select("id", "v", "comp", "bound").mapInArrow(route, "id long, v array<double>, comp long, bound double, cell int")
@@ -109,8 +120,10 @@ def neighbours(cells: Cells, k: int) -> DataFrame:
 
     def own(t: pa.Table) -> pa.Table:
         x = _matrix(t.column("v"))
-        d = _distances(x, x)
-        bound = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) >= k else np.full(len(x), np.inf)
+        bound = np.full(len(x), np.inf)
+        if len(x) >= k:
+            for lot in _lots(len(x), len(x)):
+                bound[lot] = np.partition(_distances(x[lot], x), k - 1, axis=1)[:, k - 1]
         return pa.table([t.column("id"), t.column("v"), pa.nulls(len(x), pa.int64()), pa.array(bound)], ["id", "v", "comp", "bound"])
 
     asked = cells.points.select("id", "v", "cell").groupBy("cell").applyInArrow(own, "id long, v array<double>, comp long, bound double")
@@ -119,8 +132,9 @@ def neighbours(cells: Cells, k: int) -> DataFrame:
         out: list[list] = [[], [], [], []]
         if asked.num_rows and held.num_rows:
             ids, weights = held.column("id").to_numpy(), held.column("weight").to_numpy()
-            d = _distances(_matrix(asked.column("v")), _matrix(held.column("v")))
-            for q, bound, row in zip(asked.column("id").to_pylist(), asked.column("bound").to_pylist(), d, strict=True):
+            x, y = _matrix(asked.column("v")), _matrix(held.column("v"))
+            rows = (row for lot in _lots(len(x), len(y)) for row in _distances(x[lot], y))
+            for q, bound, row in zip(asked.column("id").to_pylist(), asked.column("bound").to_pylist(), rows, strict=True):
                 at = np.flatnonzero(row <= bound)
                 at = at[np.lexsort((ids[at], row[at]))][:k]
                 for column, values in zip(out, ([q] * len(at), row[at].tolist(), ids[at].tolist(), weights[at].tolist()), strict=True):
@@ -225,13 +239,16 @@ def _foreign(asked: pa.Table, there: pa.Table) -> pa.Table:
     if asked.num_rows and there.num_rows:
         comp, core, ids, bound = (asked.column(c).to_numpy() for c in ("comp", "core", "id", "bound"))
         comp2, core2, ids2 = (there.column(c).to_numpy() for c in ("comp", "core", "id"))
-        w = np.maximum(_distances(_matrix(asked.column("v")), _matrix(there.column("v"))), np.maximum(core[:, None], core2[None, :]))
-        w[comp[:, None] == comp2[None, :]] = np.inf
-        low = w.min(1)
-        for i in np.flatnonzero((low <= bound) & np.isfinite(low)):
-            for j in np.flatnonzero(w[i] == low[i]):
-                e = (float(low[i]), *sorted((int(ids[i]), int(ids2[j]))), int(comp2[j]))
-                best[int(comp[i])] = min(e, best.get(int(comp[i]), e))
+        x, y = _matrix(asked.column("v")), _matrix(there.column("v"))
+        for lot in _lots(len(x), len(y)):
+            w = np.maximum(_distances(x[lot], y), np.maximum(core[lot, None], core2[None, :]))
+            w[comp[lot, None] == comp2[None, :]] = np.inf
+            low = w.min(1)
+            for i in np.flatnonzero((low <= bound[lot]) & np.isfinite(low)):
+                q = lot.start + int(i)
+                for j in np.flatnonzero(w[i] == low[i]):
+                    e = (float(low[i]), *sorted((int(ids[q]), int(ids2[j]))), int(comp2[j]))
+                    best[int(comp[q])] = min(e, best.get(int(comp[q]), e))
     rows = [(c, lo, hi, w, into) for c, (w, lo, hi, into) in best.items()]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
     return pa.table([pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["comp", "a", "b", "w", "into"])

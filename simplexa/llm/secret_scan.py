@@ -59,7 +59,7 @@ STRING = re.compile(QUOTED, re.ASCII | re.DOTALL)
 #: What lies between two joined literals.
 JOINT = re.compile(r"""["'`][ \t]*[+][ \t]*[bfruBFRU]{0,2}["'`]""")
 #: Calls that fetch a value under the name they are given.
-LOOKUP = re.compile(r"(?i)(?:env|get|lookup|read|input|prompt|fetch|load)[A-Za-z0-9_]*\Z", re.ASCII)
+LOOKUP = re.compile(r"(?i)(?:env|get|lookup|read|input|prompt|fetch)[A-Za-z0-9_]*\Z", re.ASCII)
 IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z", re.ASCII)
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: How strongly a word of a target name tells of a secret.

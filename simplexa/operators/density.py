@@ -12,8 +12,7 @@ spanning tree of all mutual reachabilities; edges are ordered by weight and ends
 ties make no cycles.
 
 Components are merged and the condensed tree is built on the driver, from no more than n - 1
-tree edges, which is why ``clusters`` works on a sample of at most ``rows`` points, as the
-reference analysis does.
+tree edges: its memory grows with the number of distinct vectors, all of which take part.
 """
 
 from __future__ import annotations
@@ -153,10 +152,15 @@ def cores(near: DataFrame, min_samples: int, k: int) -> DataFrame:
     return near.select("id", step["d"].alias("core"), reach.alias("reach"), "near")
 
 
-def _lightest(edges: DataFrame) -> dict[int, tuple]:
-    """The first edge (w, lo, hi, into) of each component in the order of weight and ends."""
+def _lightest(edges: DataFrame, *known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(comp, w, lo, hi, into): the first edge of each component, among the ``known`` too, in the order of weight and ends."""
     found = edges.groupBy("comp").agg(F.min(F.struct("w", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "into")).alias("e"))
-    return {r.comp: tuple(r.e) for r in found.collect()}
+    found = found.select("comp", "e.*").toArrow()
+    new = [found.column(c).to_numpy() for c in ("comp", "w", "lo", "hi", "into")]
+    comp, w, lo, hi, into = (np.concatenate(c) for c in zip(known, new, strict=True)) if known else new
+    order = np.lexsort((hi, lo, w, comp))
+    order = order[np.concatenate(([True], np.diff(comp[order]) != 0))[: len(order)]]
+    return tuple(c[order] for c in (comp, w, lo, hi, into))
 
 
 def _to_pivots(cells: Cells, state: DataFrame, ids: np.ndarray, core: np.ndarray, comp: np.ndarray) -> DataFrame:
@@ -190,7 +194,7 @@ def spanning_tree(cells: Cells, info: DataFrame) -> list[tuple[int, int, float]]
     """(a, b, w): the minimum spanning tree of mutual reachability, from ``reached``.
 
     Edges are found by Spark; the driver holds the component of each point and the tree,
-    both no longer than the sample.
+    both no longer than the points are many.
     """
     spark = cells.spark
     core = info.select("id", "core")
@@ -200,7 +204,7 @@ def spanning_tree(cells: Cells, info: DataFrame) -> list[tuple[int, int, float]]
     known_core = core.orderBy("id").toArrow()
     ids, cored = known_core.column("id").to_numpy(), known_core.column("core").to_numpy()
     pivot = np.searchsorted(ids, cells.pivot_ids)
-    comp, tree = ids.copy(), {}
+    comp, tree = ids.copy(), []
     while len(np.unique(comp)) > 1:
         comps = spark.createDataFrame(pa.table({"id": ids, "comp": comp}))
         state = held.join(comps, "id")
@@ -210,27 +214,21 @@ def spanning_tree(cells: Cells, info: DataFrame) -> list[tuple[int, int, float]]
         best = _lightest(apart.unionByName(back).unionByName(_to_pivots(cells, state, ids[pivot], cored[pivot], comp[pivot])))
 
         # points that may have a nearer one than their list holds
-        bounds = spark.createDataFrame(pa.table({"comp": list(best), "bound": [e[0] for e in best.values()]}))
+        bounds = spark.createDataFrame(pa.table({"comp": best[0], "bound": best[1]}))
         open_ = state.join(bounds, "comp").where("reach <= bound and core <= bound").select("id", "v", "comp", "bound", "core")
         whole = state.groupBy("cell").agg(F.min("comp").alias("comp"), F.max("comp").alias("other")).where("comp = other").select("cell", "comp")
         routed = cells.routed(open_, whole).join(core, "id")
-        for c, e in _lightest(cells.visit(routed, state.select("cell", "id", "v", "comp", "core"), _foreign, "comp long, a long, b long, w double, into long")).items():
-            best[c] = min(best[c], e)
+        at, w, lo, hi, into = _lightest(cells.visit(routed, state.select("cell", "id", "v", "comp", "core"), _foreign, "comp long, a long, b long, w double, into long"), *best)
+        edges, first = np.unique(np.stack((lo, hi), axis=1), axis=0, return_index=True)
+        tree.extend(zip(*edges.T.tolist(), w[first].tolist(), strict=True))
 
-        up = {c: c for c in best}
-
-        def top(c: int, up: dict = up) -> int:
-            while up[c] != c:
-                up[c] = up[up[c]]
-                c = up[c]
-            return c
-
-        for c, (w, lo, hi, into) in best.items():
-            tree[lo, hi] = w
-            x, y = sorted((top(c), top(into)))
-            up[y] = x
-        comp = np.array([top(c) for c in comp.tolist()], np.int64)
-    return [(a, b, w) for (a, b), w in tree.items()]
+        # each component points over its edge; as edges are in one order, only two that share theirs point at each other
+        up, own = np.searchsorted(at, into), np.arange(len(at))
+        up = np.where((up[up] == own) & (own < up), own, up)
+        while (up != up[up]).any():
+            up = up[up]
+        comp = at[up[np.searchsorted(at, comp)]]
+    return tree
 
 
 def _foreign(asked: pa.Table, there: pa.Table) -> pa.Table:
@@ -325,19 +323,18 @@ def condensed(ids: np.ndarray, weights: np.ndarray, core: np.ndarray, edges: lis
     return out
 
 
-def clusters(df: DataFrame, vector: str, *, min_cluster_size: int = 2000, min_samples: int = 50, rows: int = 40_000, key: str = "uid", seed: int = 0, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """(key, label) of a hashed sample of at most ``rows`` rows; -1 is noise.
+def clusters(df: DataFrame, vector: str, *, min_cluster_size: int = 2000, min_samples: int = 50, key: str = "uid", cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(key, label) of every row; -1 is noise.
 
     Rows without a key or with nulls or non-finite components have no label and are absent.
     """
     spark = df.sparkSession
-    sample = df.where(F.col(key).isNotNull()).orderBy(F.xxhash64(key, F.lit(seed)), key).limit(rows)
-    kept = Written(spark, "density-sample")
-    sample = kept(sample.select(F.col(key), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("v")))
-    pts = kept(points(sample, "v", key))
+    kept = Written(spark, "density-rows")
+    keyed = kept(df.where(F.col(key).isNotNull()).select(F.col(key), F.transform(F.col(vector), lambda x: x.cast("double") + 0.0).alias("v")))
+    pts = kept(points(keyed, "v", key))
     found = pts.select("id", "weight").orderBy("id").toArrow()
     if not found.num_rows:
-        return spark.createDataFrame([], sample.select(key, F.lit(-1).alias("label")).schema)
+        return spark.createDataFrame([], keyed.select(key, F.lit(-1).alias("label")).schema)
     cells = Cells(pts, cell_rows)
     info = reached(cells, min_samples)
     edges = spanning_tree(cells, info)
@@ -346,4 +343,4 @@ def clusters(df: DataFrame, vector: str, *, min_cluster_size: int = 2000, min_sa
     cells.written.drop()
     label = condensed(ids, weights, core, edges, min_cluster_size)
     named = spark.createDataFrame(pa.table({"id": ids, "label": label.astype(np.int32)}))
-    return sample.join(pts.join(named, "id").select("v", "label"), "v").select(key, "label")
+    return keyed.join(pts.join(named, "id").select("v", "label"), "v").select(key, "label")

@@ -189,7 +189,7 @@ def subset_with_twin(spark, sf):
 
 def _clusters(spark, sf):
     t = latent.standardise(fx.latent(spark, sf), "z", 4)[0]
-    least = max(5, min(t.count(), 40_000) // 20)  # as 2,000 is to 40,000
+    least = max(5, min(t.count(), 40_000) // 20)  # 2,000 at most, which 40,000 rows have
     return density.clusters(t, "x", min_cluster_size=least, min_samples=max(3, least // 40))
 
 

@@ -102,3 +102,12 @@ def test_odd_rows(spark):
     assert sum(got.values()) == 101  # rows without a vector take no part
     assert density.clusters(df.limit(0), "z").count() == 0
     assert [r.label for r in density.clusters(df.limit(1), "z", min_samples=1).collect()] == [-1]
+
+
+def test_all_rows_are_labelled(spark):
+    """More rows than the sample that was read before, of few distinct vectors."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(45_000).select(F.col("id").alias("uid"), F.array((F.col("id") % 9).cast("double"), F.when(F.col("id") % 2 == 0, 0.0).otherwise(500.0)).alias("z"))
+    got = density.clusters(df, "z", min_cluster_size=10_000, min_samples=50)
+    assert Counter(map(tuple, got.groupBy(F.col("uid") % 2, "label").count().collect())) == Counter([(0, 0, 22_500), (1, 1, 22_500)])
